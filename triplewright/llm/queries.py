@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm import chat_format, exact_dedup
-from triplewright.llm.common import table
+from triplewright.llm import chat_format, exact_dedup, language_id
+from triplewright.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,8 +36,8 @@ WITH given AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), placed AS (
   SELECT *, row_number() OVER w - 1 AS spot, lag(role) OVER w AS before, lead(conv_id) OVER w IS NULL AS is_last,
-         length(text) + len(regexp_extract_all(text, '\|</?s>|\[/?(?:SYS|INST|OUT|TURN)\]|\[ROLE\]')) AS text_chars,
-         length(role) + len(regexp_extract_all(role, '\|</?s>|\[/?(?:SYS|INST|OUT|TURN)\]|\[ROLE\]')) AS role_chars
+         length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?(?:SYS|INST|OUT|TURN)\]|\[ROLE\]')) AS text_chars,
+         length(role) + len(regexp_extract_all(role, '\\|</?s>|\[/?(?:SYS|INST|OUT|TURN)\]|\[ROLE\]')) AS role_chars
   FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), judged AS (
   SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user')
@@ -72,3 +72,12 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc("doc_id") % 4 == 2
+    filters = language_id.fit(docs.where(~held_out))
+    found = language_id.predict(docs, filters)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "coverage")
