@@ -6,8 +6,10 @@ Three combining steps, each grouping by the full content beside its digest:
 2. salted: those rows meet per (digest, salt, text), so a group of copies is dealt over ``salts`` tasks;
 3. globally: at most ``salts`` winners per text are combined into one.
 
-Rows are then matched to their winner by digest. Digests that two different texts share (none is
-known for SHA-256) are matched by content on a path of their own, so content decides there as well.
+Rows are then matched to their winner by digest: the fewer than ``LARGE_SHARE`` groups that each hold more
+than one part in ``LARGE_SHARE`` of all rows are broadcast, the others joined by shuffle, so no group of
+copies meets in one task. Digests that two different texts share (none is known for SHA-256) are matched by
+content on a path of their own, so content decides there as well.
 
 Defined results: a null text counts as empty; null ids lose to any id; rows that repeat both id and text
 are members of their group each, and ``drop_copies`` keeps one of them; an empty table gives an empty
@@ -16,12 +18,15 @@ table; extra columns are carried by ``drop_copies`` under any name and ignored b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.llm.common import materialize, whole
 
 SALTS = 16
+LARGE_SHARE = 1000
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,13 +45,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: doc_id, keep_id (largest id among equal texts), group_size, kept, text_sha256."""
     keyed = _keyed(docs, id_col, text_col)
     winners = materialize(_winners(keyed, salts), "dedup-winners")
+    rows = keyed.select("doc_id", "digest")
+    total = winners.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    large = F.broadcast(winners.where(F.col("group_size") > total // LARGE_SHARE))  # fewer than LARGE_SHARE rows
+    small = winners.where(F.col("group_size") <= total // LARGE_SHARE)
+    parts = [rows.join(large, "digest"), rows.join(large, "digest", "left_anti").join(small, "digest")]
     shared = winners.groupBy("digest").count().where("count > 1").select("digest")
-    plain = keyed.select("doc_id", "digest").join(shared, "digest", "left_anti").join(winners, "digest")
-    clash = keyed.join(shared, "digest", "left_semi")
-    clash_winners = clash.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    clash = clash.join(clash_winners, ["digest", "text"]).select("digest", "doc_id", "keep_id", "group_size")
-    rows = plain.select("digest", "doc_id", "keep_id", "group_size").unionByName(clash)
-    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    if not shared.isEmpty():  # two texts with one digest: content decides
+        clash = keyed.join(shared, "digest", "left_semi")
+        groups = clash.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        parts = [p.join(shared, "digest", "left_anti") for p in parts] + [clash.join(groups, ["digest", "text"])]
+    found = reduce(DataFrame.unionByName, [p.select("digest", F.col("doc_id"), "keep_id", "group_size") for p in parts])
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def _match(left: Column, right: Column) -> Column:
