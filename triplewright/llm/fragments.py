@@ -1,0 +1,46 @@
+"""Token ids of whole texts from a ``tokenizers`` file, each distinct fragment encoded once.
+
+A text is cut before every blank that a non-blank character follows. The byte-level pattern never matches
+across such a place (a match holds a blank only at its start, unless it is all white space, and then it
+leaves the last blank to the next match), so the ids of the fragments joined are the ids of the text.
+"""
+
+from __future__ import annotations
+
+import os
+import re
+
+import numpy as np
+
+_CUT = re.compile(r" (?=\S)")
+_LONG = 256
+
+
+class FragmentEncoder:
+    """Ids as little-endian unsigned 32-bit bytes. Strings of special tokens in a text are ordinary text."""
+
+    def __init__(self, path: str, max_cached: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        self.max_cached = max_cached
+        self.cache: dict[str, bytes] = {}
+
+    def _ids(self, fragments: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(fragments, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [_CUT.split(t) for t in texts]
+        seen = self.cache
+        if len(seen) > self.max_cached:
+            seen.clear()
+        new = [f for f in set().union(*(s[1:] for s in split)) if f not in seen] if split else []
+        seen.update(zip(new, self._ids([" " + f for f in new]), strict=True))
+        heads = self._ids([s[0] for s in split])
+        out = [head + b"".join(map(seen.__getitem__, s[1:])) for head, s in zip(heads, split, strict=True)]
+        for f in new:
+            if len(f) > _LONG:
+                del seen[f]
+        return out

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm import chat_format, exact_dedup, language_id
+from triplewright.llm import chat_format, exact_dedup, language_id, packing
 from triplewright.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = language_id.fit(docs.where(~held_out))
     found = language_id.predict(docs, filters)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "coverage")
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
