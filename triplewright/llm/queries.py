@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm import chat_format, exact_dedup, language_id, packing
+from triplewright.llm import bpe_sql, chat_format, exact_dedup, language_id, packing, webp_lossless
 from triplewright.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe_sql.digests(bpe_sql.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+@query
+def op9_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp_lossless.digests(webp_lossless.store_and_read(table(spark, sf_dir, "documents")))
