@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm import bpe_sql, chat_format, exact_dedup, language_id, packing, webp_lossless
+from triplewright.llm import bpe_sql, chat_format, exact_dedup, language_id, packing, toxicity, webp_lossless
 from triplewright.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp_lossless.digests(webp_lossless.store_and_read(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_crc("doc_id") % 3 == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
