@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm import bpe_sql, chat_format, exact_dedup, language_id, packing, toxicity, webp_lossless
+from triplewright.llm import bpe_sql, chat_format, exact_dedup, jaccard_join, language_id, packing, toxicity, webp_lossless
 from triplewright.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_crc("doc_id") % 3 == 1
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
