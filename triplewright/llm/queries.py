@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triplewright.llm import bpe_sql, chat_format, exact_dedup, jaccard_join, language_id, packing, pii, toxicity, webp_lossless
+from triplewright.llm import bpe_sql, chat_format, exact_dedup, jaccard_join, language_id, lm_score, packing, pii, toxicity, webp_lossless
 from triplewright.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.fit(docs)).drop("masked")
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc("doc_id") % 5 == 1
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    scored = lm_score.score(table(spark, sf_dir, "documents"), ~held_out, path, vocabulary=50_257, end_id=50_256)
+    return scored.withColumn("held_out", held_out)
