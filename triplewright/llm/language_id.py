@@ -219,3 +219,19 @@ def predict(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", t
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double, coverage double")
+
+
+def keep_identified(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a language: not ``und``, and the language's filter holds at
+    least ``min_coverage`` of its n-grams."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Predictor(shared.value)
+        for b in batches:
+            for first in range(0, b.num_rows, 1000):
+                part = b.slice(first, 1000)
+                lang, _, cover = p.predict([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array([x != "und" and c >= min_coverage for x, c in zip(lang, cover, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
