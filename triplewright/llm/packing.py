@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplewright.llm.common import materialize
-from triplewright.llm.fragments import FragmentEncoder
+from triplewright.llm.token_ids import TextEncoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -178,7 +178,7 @@ class Plan:
         return self.sequence[i] + k // self.many[i], self.offset[i] + k % self.many[i] * length
 
 
-_ENCODERS: dict[str, FragmentEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
 def in_chunks(batch: pa.RecordBatch, column: int, chars: int = _CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -200,7 +200,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = FragmentEncoder(tokenizer_path)
+            _ENCODERS[tokenizer_path] = TextEncoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for part, texts in in_chunks(b, 1):
