@@ -26,12 +26,12 @@ ignored by ``near_groups`` and kept by ``drop_near_copies``; an empty table give
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,38 +45,102 @@ LEAF_SHINGLES = 2_000_000
 SMALL = 24
 PIVOTS = 16
 LARGE_SHARE = 1000
-_CACHED_WORDS = 400_000
 _CHUNK = 5_000_000  # shingles
+_PIECE = 1 << 20
+_BREAK = re.compile(rb"[\x09-\x0d\x20]")
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-class _Words(dict):
-    """Word -> 64-bit hash; forgets everything when it grows too large."""
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
+_POWERS: list[np.ndarray] = []
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHED_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, 2 * _PIECE)
+        inverse = pow(_BASE, -1, 1 << 64)
+        _POWERS[:] = [np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (_BASE, inverse)]
+    return _POWERS
 
-_WORDS = _Words()
 
+def _pieces(texts: list[str]) -> Iterator[tuple[bytes, list[int]]]:
+    """Lower-cased bytes of about ``_PIECE``, each text ended by a line feed, with the owner and end of each part.
 
-def shingles(text: str, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; A-Z lower-cased, words split at ASCII white space."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))  # a shorter text is one shingle
-    out = np.full(len(words) - width + 1, width, np.uint64)
+    A long text goes over several pieces, cut at white space.
+    """
+    held, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        data = text.encode().lower() + b"\n"
+        at = 0
+        while at < len(data):
+            end = len(data)
+            if end - at > _PIECE:
+                m = _BREAK.search(data, at + _PIECE)
+                end = m.end() if m else end
+            held.append(data[at:end])
+            size += end - at
+            owners += [i, size]
+            at = end
+            if size >= _PIECE:
+                yield b"".join(held), owners
+                held, owners, size = [], [], 0
+    if held:
+        yield b"".join(held), owners
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and how many each text has.
+
+    A word is a polynomial over its bytes: the difference of two prefix sums, moved to the origin by a power
+    of the inverse base, so all words of a piece are hashed at once.
+    """
+    hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+    for data, owners in _pieces(texts):
+        flat = np.frombuffer(data, np.uint8)
+        power, inverse = _powers(len(flat) + 1)
+        space = _SPACE[flat]
+        edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # the last byte is white space
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[: len(flat)], dtype=np.uint64)])
+        h = (sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _M[0]
+        h ^= h >> np.uint64(32)
+        h *= _M[1]
+        h ^= h >> np.uint64(29)
+        hashes.append(h)
+        np.add.at(counts, owners[::2], np.diff(np.searchsorted(start, [0, *owners[1::2]])))
+    return np.concatenate(hashes), counts
+
+
+def _combined(h: np.ndarray, width: int) -> np.ndarray:
+    out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
-        out = (out ^ h[k : len(words) - width + 1 + k]) * _M[0]
+        out = (out ^ h[k : len(h) - width + 1 + k]) * _M[0]
         out ^= out >> np.uint64(31)
     out *= _M[1]
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams; A-Z lower-cased, words split at ASCII white space.
+
+    A text of fewer words is one shingle; a text without words (or null) has none.
+    """
+    h, counts = word_hashes([t or "" for t in texts])
+    grams = _combined(h, width) if len(h) >= width else np.zeros(0, np.uint64)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= width:
+            found = np.sort(grams[at : at + n - width + 1])
+            keep = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=keep[1:])
+            out.append(found[keep])
+        else:
+            out.append(_combined(h[at : at + n], n) if n else np.zeros(0, np.uint64))
+        at += n
+    return out
 
 
 def digest(found: np.ndarray) -> bytes:
@@ -179,18 +243,6 @@ def join_region(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return u.roots(np.arange(len(sets)))
 
 
-def _sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(t or "", width) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(list(map(digest, found)), pa.binary())], ["doc_id", "n_shingles", "node"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary")
-
-
 def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent shingles (sorted) and their counts over all documents.
 
@@ -200,20 +252,22 @@ def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> tuple[np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
 
         def report() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+            values = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            n = np.diff(np.append(first, len(values)))
+            again = n > 1
+            return pa.record_batch([pa.array(values[first[again]].view(np.int64)), pa.array(n[again])], ["shingle", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.append(shingles(t or "", width))
-                size += len(held[-1])
+            for at in range(0, b.num_rows, 500):
+                held += shingle_sets(b.column(0).slice(at, 500).to_pylist(), width)
+                size = sum(map(len, held))
                 if size > _CHUNK:
                     yield report()
-                    held, size = [], 0
-        if size:
+                    held = []
+        if sum(map(len, held)):
             yield report()
 
     counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -223,36 +277,47 @@ def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> tuple[np.n
     return keys[order], top["n"].to_numpy(np.int64)[order]
 
 
-def seed_keys(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, salt (0 but for keys of many rows), node: the first ``n - ceil(t n) + 1`` shingles of each set."""
+def keyed_sets(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One row per row: doc_id, n_shingles, node (digest of the set), and its keys as arrays ``keys`` and ``salts``.
+
+    The keys are the first ``n - ceil(t n) + 1`` shingles; a salt is 0 but for keys of many rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY pairs of longs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = shared.value
+        frequent, counts = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                out_keys, out_salts, out_nodes = [], [], []
-                for t in b.slice(at, 2000).column(0).to_pylist():
-                    found = shingles(t or "", width)
-                    n = len(found)
-                    if not n:
-                        continue
-                    k = n - -(-percent * n // 100) + 1
-                    slot = np.searchsorted(keys, found)
-                    slot[slot == len(keys)] = 0
-                    often = np.where(keys[slot] == found, counts[slot], 0) if len(keys) else np.zeros(n, np.int64)
-                    rare = np.flatnonzero(often == 0)[:k]
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sets = shingle_sets(part.column(1).to_pylist(), width)
+                sizes = np.array([len(f) for f in sets], np.int64)
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                slot = np.minimum(np.searchsorted(frequent, flat), max(0, len(frequent) - 1))
+                often = np.where(frequent[slot] == flat, counts[slot], 0) if len(frequent) else np.zeros(len(flat), np.int64)
+                keys, salts, nodes, first = [], [], [], 0
+                for found, n in zip(sets, sizes.tolist(), strict=True):
+                    k = n - -(-percent * n // 100) + 1 if n else 0
+                    c = often[first : first + n]
+                    first += n
+                    rare = np.flatnonzero(c == 0)[:k]
                     if len(rare) < k:
-                        more = np.flatnonzero(often)
-                        rare = np.concatenate([rare, more[np.lexsort((found[more], often[more]))][: k - len(rare)]])
-                    node = digest(found)
-                    out_keys.append(found[rare])
-                    out_salts.append(int.from_bytes(node[:4], "little") % (1 + often[rare] // HOT))
-                    out_nodes += [node] * len(rare)
-                if out_keys:
-                    yield pa.record_batch([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(np.concatenate(out_salts).astype(np.int32)), pa.array(out_nodes, pa.binary())], ["key", "salt", "node"])
+                        more = np.flatnonzero(c)
+                        rare = np.concatenate([rare, more[np.lexsort((found[more], c[more]))][: k - len(rare)]])
+                    nodes.append(digest(found))
+                    keys.append(found[rare])
+                    salts.append(int.from_bytes(nodes[-1][:4], "little") % (1 + c[rare] // HOT))
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).astype(kind, copy=False)))
+                yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(nodes, pa.binary()), lists([k.view(np.int64) for k in keys], np.int64), lists(salts, np.int32)], ["doc_id", "n_shingles", "node", "keys", "salts"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary, keys array<long>, salts array<int>")
+
 
-    return docs.select("text").mapInArrow(run, "key long, salt int, node binary")
+def seed_keys(sets: DataFrame) -> DataFrame:
+    """key, salt, node: one row per key of a set."""
+    pair = F.explode(F.arrays_zip("keys", "salts")).alias("p")
+    return sets.select("node", pair).select(F.col("p.keys").alias("key"), F.col("p.salts").alias("salt"), "node")
 
 
 def seed_edges(keys: DataFrame) -> DataFrame:
@@ -275,7 +340,7 @@ def _members(docs: DataFrame, sets: DataFrame, seeds: DataFrame, width: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(t or "", width) for t in b.column(2).to_pylist()]
+            found = shingle_sets(b.column(2).to_pylist(), width)
             keep = [i for i, (f, node) in enumerate(zip(found, b.column(1).to_pylist(), strict=True)) if digest(f) == node]  # an id may have several texts
             part = b.take(pa.array(keep, pa.int64()))
             yield pa.record_batch([part.column(0), part.column(1), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["region", "node", "shingles"])
@@ -355,6 +420,7 @@ def region_links(members: DataFrame, percent: int) -> DataFrame:
         order = Window.partitionBy("region").orderBy(F.xxhash64("node"), "node")
         pivots = large.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS)
         pivots = pivots.select("region", "node", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        pivots = materialize(pivots, "pivots")  # PIVOTS rows per region and task; its own lineage, for the cogroup below
         found = large.select("region", "salt", "node", "shingles").groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt"))
         found = materialize(found.applyInPandas(_split(percent), "kind string, region string, node binary, shingles binary, other binary"), "voronoi")
         links.append(found.where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b")))
@@ -378,9 +444,8 @@ def region_links(members: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    sets = materialize(_sets_of(docs, width), "sets")
-    keys = seed_keys(docs, width, percent, heavy_shingles(docs, width))
-    seeds = components(seed_edges(keys), "seeds")
+    sets = materialize(keyed_sets(docs, width, percent, heavy_shingles(docs, width)), "sets")
+    seeds = components(seed_edges(seed_keys(sets)), "seeds")
     links = region_links(_members(docs, sets, seeds, width), percent)
     roots = components(links, "links")
     own = F.when(F.col("n_shingles") > 0, F.col("node"))
