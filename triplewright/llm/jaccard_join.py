@@ -2,9 +2,11 @@
 
 The Jaccard distance of shingle sets is a metric, but most texts are at distance 1 from nearly all others, so
 pivots taken from the whole table would tell nothing apart. Regions are therefore seeded first, without
-losing a pair: sets within the threshold share one of their first ``n - ceil(t n) + 1`` shingles in any
-fixed order, so each set is keyed by these (frequent shingles last), and sets that share a key, directly or
-through others, form a seed region. Links never cross seed regions. Within a region:
+losing a pair. Two sets within the threshold differ in at most d elements, so of d + 1 parts of the hash space
+at least one holds the same elements of both. Each set is keyed by the contents of its parts (``Parts`` has the
+details: size classes, empty parts), and sets that share a key, directly or through others, form a seed
+region. A part holds several shingles, so frequent passages alone don't join regions. Links never cross
+seed regions. Within a region:
 
 * pivots partition it into Voronoi regions: each set goes to its nearest pivot;
 * a set is replicated into the region of pivot p if its distance to p is at most that to its own pivot plus
@@ -38,14 +40,15 @@ from pyspark.sql import functions as F
 from triplewright.llm.common import materialize
 from triplewright.llm.components import components
 
-HEAVY = 200_000  # shingles whose counts order the keys
-HOT = 2_000  # rows of one key to a task
+HOT_SAMPLE = 100  # one text in so many tells which keys are hot
+HOT_SEEN = 20  # times that a hot key occurs among these
+HOT_KEYS = 100_000
+HOT_SALTS = 64
 LEAF_SETS = 1024
 LEAF_SHINGLES = 2_000_000
 SMALL = 24
 PIVOTS = 16
 LARGE_SHARE = 1000
-_CHUNK = 5_000_000  # shingles
 _PIECE = 1 << 20
 _BREAK = re.compile(rb"[\x09-\x0d\x20]")
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -243,92 +246,130 @@ def join_region(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return u.roots(np.arange(len(sets)))
 
 
-def heavy_shingles(docs: DataFrame, width: int, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` most frequent shingles (sorted) and their counts over all documents.
+def _empty_parts(elements: int, parts: int) -> float:
+    """How many parts hardly any set of so many elements leaves empty: 3.5 deviations above the mean."""
+    one, two = np.exp(elements * np.log1p(-1 / parts)), np.exp(elements * np.log1p(-2 / parts))
+    mean = parts * one
+    return mean + 3.5 * np.sqrt(max(0.0, mean + parts * (parts - 1) * two - mean**2))
 
-    A task reports the shingles that it meets more than once in a chunk of texts; sums of these are lower
-    bounds of the true counts. The counts only order the keys: any order gives the same links.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+class Parts:
+    """Keys of shingle sets such that sets within the threshold share one.
+
+    Sizes fall into classes [lo, hi). A pair is found in the class of its smaller set: a set is keyed in its own
+    class, and in the class below if a set there may be within the threshold. In a class, sets within the
+    threshold differ in at most d elements, d from its largest sizes. Sets are cut into m = d + 1 + e parts by
+    hash range, so at least e + 1 parts agree. A set with at most e empty parts then shares a part that isn't
+    empty with each partner; e is chosen so that hardly any set has more, and one that does is keyed by its
+    empty parts as well, where it meets all others of that kind. Sets too small for a partner have no keys.
+    """
 
-        def report() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            n = np.diff(np.append(first, len(values)))
-            again = n > 1
-            return pa.record_batch([pa.array(values[first[again]].view(np.int64)), pa.array(n[again])], ["shingle", "n"])
+    def __init__(self, percent: int, growth: float = 1.5, largest: int = 1 << 31):
+        self.percent = percent
+        self.least = -(-percent // (100 - percent))  # with fewer elements, only equal sets are within the threshold
+        lo, bounds, m, e = self.least, [], [], []
+        while lo <= largest:
+            hi = int(lo * growth) + 1
+            small, big = hi - 1, (hi - 1) * 100 // percent
+            d = (100 - percent) * (small + big) // (100 + percent)
+            parts = d + 2
+            while parts - d - 1 < _empty_parts(lo, parts):
+                parts += 1 + parts // 200
+            bounds.append(lo)
+            m.append(parts)
+            e.append(parts - d - 1)
+            lo = hi
+        self.lo, self.m, self.e = np.array(bounds), np.array(m), np.array(e)
+
+    def keys(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and the index of the set each belongs to."""
+        sizes = np.array([len(x) for x in sets], np.int64)
+        own = np.searchsorted(self.lo, sizes, "right") - 1
+        below = own - 1
+        reach = -(-self.percent * sizes // 100)  # the least size of a partner
+        also = np.flatnonzero((below >= 0) & (self.lo[np.maximum(own, 0)] - 1 >= reach))
+        mine = np.flatnonzero(own >= 0)
+        which, cls = np.concatenate([mine, also]), np.concatenate([own[mine], below[also]])
+        if not len(which):
+            return np.zeros(0, np.uint64), which
+        n = sizes[which]
+        flat = np.concatenate([sets[i] for i in which])
+        m = self.m[cls]
+        part = ((flat >> np.uint64(32)) * np.repeat(m, n).astype(np.uint64)) >> np.uint64(32)  # rises with the hash
+        owner = np.repeat(np.arange(len(which)), n)
+        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
+        sums = np.add.reduceat(_mixed(flat), first)
+        at, row = part[first], owner[first]
+        keys = _mixed(sums ^ _mixed(at + (cls[row].astype(np.uint64) << np.uint64(40))))
+        empty = m - np.bincount(row, minlength=len(which))
+        more_keys, more_rows = [keys], [row]
+        for i in np.flatnonzero(empty > self.e[cls]):
+            missing = np.setdiff1d(np.arange(m[i], dtype=np.uint64), at[row == i])
+            more_keys.append(_mixed(_mixed(missing + (np.uint64(cls[i]) << np.uint64(40))) + np.uint64(1)))
+            more_rows.append(np.full(len(missing), i))
+        return np.concatenate(more_keys), which[np.concatenate(more_rows)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def sets_of(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, node (digest of the set) of each row."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                held += shingle_sets(b.column(0).slice(at, 500).to_pylist(), width)
-                size = sum(map(len, held))
-                if size > _CHUNK:
-                    yield report()
-                    held = []
-        if sum(map(len, held)):
-            yield report()
+                part = b.slice(at, 500)
+                found = shingle_sets(part.column(1).to_pylist(), width)
+                yield pa.record_batch([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(list(map(digest, found)), pa.binary())], ["doc_id", "n_shingles", "node"])
 
-    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
-    keys = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = keys.argsort()
-    return keys[order], top["n"].to_numpy(np.int64)[order]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary")
 
 
-def keyed_sets(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per row: doc_id, n_shingles, node (digest of the set), and its keys as arrays ``keys`` and ``salts``.
+def short(node: bytes) -> int:
+    """The node's first 64 bits, which seed edges go by: two nodes with the same ones only share a seed region."""
+    return int.from_bytes(node[:8], "big", signed=True)
 
-    The keys are the first ``n - ceil(t n) + 1`` shingles; a salt is 0 but for keys of many rows.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most HEAVY pairs of longs
+
+def seed_keys(docs: DataFrame, width: int, percent: int, hot: np.ndarray | None = None) -> DataFrame:
+    """key, salt, node (short): one row per key of each row's set; hot keys are dealt over ``HOT_SALTS`` salts."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot if hot is not None else np.zeros(0, np.uint64))  # at most HOT_KEYS longs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
+        parts, hot = Parts(percent), shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                sets = shingle_sets(part.column(1).to_pylist(), width)
-                sizes = np.array([len(f) for f in sets], np.int64)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                slot = np.minimum(np.searchsorted(frequent, flat), max(0, len(frequent) - 1))
-                often = np.where(frequent[slot] == flat, counts[slot], 0) if len(frequent) else np.zeros(len(flat), np.int64)
-                keys, salts, nodes, first = [], [], [], 0
-                for found, n in zip(sets, sizes.tolist(), strict=True):
-                    k = n - -(-percent * n // 100) + 1 if n else 0
-                    c = often[first : first + n]
-                    first += n
-                    rare = np.flatnonzero(c == 0)[:k]
-                    if len(rare) < k:
-                        more = np.flatnonzero(c)
-                        rare = np.concatenate([rare, more[np.lexsort((found[more], c[more]))][: k - len(rare)]])
-                    nodes.append(digest(found))
-                    keys.append(found[rare])
-                    salts.append(int.from_bytes(nodes[-1][:4], "little") % (1 + c[rare] // HOT))
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).astype(kind, copy=False)))
-                yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(nodes, pa.binary()), lists([k.view(np.int64) for k in keys], np.int64), lists(salts, np.int32)], ["doc_id", "n_shingles", "node", "keys", "salts"])
+                sets = shingle_sets(b.column(0).slice(at, 500).to_pylist(), width)
+                keys, rows = parts.keys(sets)
+                nodes = np.array([short(digest(x)) for x in sets], np.int64)[rows]
+                slot = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
+                is_hot = hot[slot] == keys if len(hot) else np.zeros(len(keys), bool)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.where(is_hot, 1 + nodes % HOT_SALTS, 0).astype(np.int32)), pa.array(nodes)], ["key", "salt", "node"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary, keys array<long>, salts array<int>")
+    return docs.select("text").mapInArrow(run, "key long, salt int, node long")
 
 
-def seed_keys(sets: DataFrame) -> DataFrame:
-    """key, salt, node: one row per key of a set."""
-    pair = F.explode(F.arrays_zip("keys", "salts")).alias("p")
-    return sets.select("node", pair).select(F.col("p.keys").alias("key"), F.col("p.salts").alias("salt"), "node")
+def hot_keys(docs: DataFrame, width: int, percent: int) -> np.ndarray:
+    """Keys that many rows share, from one text in ``HOT_SAMPLE``. They only decide what is salted, not what is found."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0)
+    often = seed_keys(some, width, percent).groupBy("key").count().where(F.col("count") >= HOT_SEEN)
+    found = often.orderBy(F.desc("count"), "key").limit(HOT_KEYS).select("key").toPandas()["key"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
 def seed_edges(keys: DataFrame) -> DataFrame:
-    """Edges from each node to the least one with the same key: first per (key, salt), then among salts of a key."""
-    first = F.min("node").over(Window.partitionBy("key", "salt"))
-    local = keys.withColumn("head", first)
-    edges = local.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    salted = keys.where("salt > 0").select("key").distinct()
-    heads = keys.join(salted, "key", "left_semi").groupBy("key", "salt").agg(F.min("node").alias("head"))
-    tops = heads.withColumn("top", F.min("head").over(Window.partitionBy("key")))
-    return edges.unionByName(tops.where("head <> top").select(F.col("head").alias("a"), F.col("top").alias("b")).distinct())
+    """Edges from each node to the least one with the same key: per (key, salt), then among the salts of hot keys."""
+    local = keys.withColumn("head", F.min("node").over(Window.partitionBy("key", "salt")))
+    kept = local.where("node <> head or salt > 0").select(F.when(F.col("salt") > 0, F.col("key")).alias("hot"), "node", "head").distinct()
+    kept = materialize(kept, "seed-edges")
+    edges = kept.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    heads = kept.where("hot is not null").select("hot", "head").distinct()
+    tops = heads.join(heads.groupBy("hot").agg(F.min("head").alias("top")), "hot").where("head <> top")
+    return edges.unionByName(tops.select(F.col("head").alias("a"), F.col("top").alias("b"))).distinct()
 
 
 _MEMBER = "region string, node binary, shingles binary"
@@ -336,7 +377,8 @@ _MEMBER = "region string, node binary, shingles binary"
 
 def _members(docs: DataFrame, sets: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
     """region, node, shingles: one row per distinct set of a seed region, its shingles taken from one text again."""
-    chosen = sets.join(seeds, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("root").alias("root"))
+    brief = F.conv(F.substring(F.hex("node"), 1, 16), 16, -10).cast("long")
+    chosen = sets.withColumn("brief", brief).join(seeds.withColumnRenamed("node", "brief"), "brief").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("root").alias("root"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,7 +388,7 @@ def _members(docs: DataFrame, sets: DataFrame, seeds: DataFrame, width: int) ->
             yield pa.record_batch([part.column(0), part.column(1), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["region", "node", "shingles"])
 
     texts = chosen.select("doc_id", "node", "root").join(docs.select("doc_id", "text"), "doc_id")
-    return texts.select(F.hex("root").alias("region"), "node", "text").mapInArrow(run, _MEMBER).dropDuplicates(["region", "node"])
+    return texts.select(F.col("root").cast("string").alias("region"), "node", "text").mapInArrow(run, _MEMBER).dropDuplicates(["region", "node"])
 
 
 def _as_sets(pdf: pd.DataFrame) -> list[np.ndarray]:
@@ -444,8 +486,8 @@ def region_links(members: DataFrame, percent: int) -> DataFrame:
 def near_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    sets = materialize(keyed_sets(docs, width, percent, heavy_shingles(docs, width)), "sets")
-    seeds = components(seed_edges(seed_keys(sets)), "seeds")
+    sets = materialize(sets_of(docs, width), "sets")
+    seeds = components(seed_edges(seed_keys(docs, width, percent, hot_keys(docs, width, percent))), "seeds")
     links = region_links(_members(docs, sets, seeds, width), percent)
     roots = components(links, "links")
     own = F.when(F.col("n_shingles") > 0, F.col("node"))

@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from triplewright.llm.common import materialize, whole
 from triplewright.llm.token_ids import TextEncoder
 
-WINDOW = 32
+WINDOW = 16
 DIM = 16
 CLASSES = 64
-EPOCHS = 2
-WINDOWS_PER_TEXT = 2
-BATCH = 128
+EPOCHS = 1
+PLACES_PER_TEXT = 1
+PLACE_IDS = 32
+BATCH = 512
 RATE = 0.1
 FREQUENT_WORDS = 200_000
 _COUNTED = 300_000
@@ -88,9 +89,19 @@ def subword_counts(counts: DataFrame, path: str, vocabulary: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = _encoder(path), np.zeros(vocabulary, np.int64)
+        starts = np.zeros(vocabulary, np.int64)
+        starts[[i for i in range(vocabulary) if i < encoder.engine.max_token_value + 1 and encoder.engine.decode_single_token_bytes(i)[:1] == b" "]] = 1
         for b in batches:
-            for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                np.add.at(n, subwords(encoder, [word]), c)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                words, c = part.column(0).to_pylist(), part.column(1).to_numpy()
+                found = subwords(encoder, words)
+                owner = np.cumsum(starts[found]) - 1  # a token that starts with a blank starts a word
+                if owner[-1] == len(words) - 1:
+                    n += np.bincount(found, c[owner], vocabulary).astype(np.int64)
+                else:
+                    for word, k in zip(words, c.tolist(), strict=True):
+                        np.add.at(n, subwords(encoder, [word]), k)
         ids = np.flatnonzero(n)
         yield pa.record_batch([pa.array(ids), pa.array(n[ids])], ["id", "n"])
 
@@ -263,7 +274,7 @@ class Trainer:
 
 def _places(text: str, n_words: int) -> list[int]:
     """First words of the training windows of a text, drawn from its hash."""
-    return [xxhash.xxh3_64_intdigest(text, seed=k) % max(1, n_words - WINDOW // 2) for k in range(WINDOWS_PER_TEXT)]
+    return [xxhash.xxh3_64_intdigest(text, seed=k) % max(1, n_words - WINDOW // 2) for k in range(PLACES_PER_TEXT)]
 
 
 def train(training: DataFrame, path: str, classes: np.ndarray, vocabulary: int, begin: int) -> Attention:
@@ -278,6 +289,7 @@ def train(training: DataFrame, path: str, classes: np.ndarray, vocabulary: int,
             encoder, (matrix, classes) = _encoder(path), shared.value
             t = Trainer(Attention(matrix.copy(), vocabulary), classes)
             held: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
 
             def step() -> None:
                 t.step(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -290,10 +302,12 @@ def train(training: DataFrame, path: str, classes: np.ndarray, vocabulary: int,
                         ids = subwords(encoder, words[at : at + WINDOW])
                         if at + WINDOW >= len(words):
                             ids = np.append(ids, begin)
-                        inputs, targets = windows_of(ids[: 2 * WINDOW], vocabulary, begin)
+                        inputs, targets = windows_of(ids[:PLACE_IDS], vocabulary, begin)
                         held.append((inputs, targets))
-                        if sum(len(x) for x, _ in held) >= BATCH:
+                        size += len(inputs)
+                        if size >= BATCH:
                             step()
+                            size = 0
             if held:
                 step()
             rows = np.flatnonzero(t.seen)
@@ -356,29 +370,19 @@ def score(docs: DataFrame, in_training: Column, path: str, vocabulary: int, end_
                 words = [words_of(t) for t in part.column(1).to_pylist()]
                 ids = [np.append(subwords(encoder, w), end_id) for w in words]
                 base = [[logs[x] for x in w if x in logs] for w in words]
+                other = [Counter(x for x in w if x not in logs) for w in words]
+                ends_ = pa.array(np.concatenate([[0], np.cumsum([len(o) for o in other])]), pa.int32())
+                rare = pa.StructArray.from_arrays([pa.array([x for o in other for x in o], pa.binary()), pa.array([n for o in other for n in o.values()], pa.int32())], ["word", "tf"])
                 yield pa.record_batch(
-                    [part.column(0), part.column(2), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array([len(x) + (ends > 0) for x in base], pa.int64()), pa.array([float(np.sum(x)) + last for x in base]), pa.array(scorer.score(ids, end_id))],
-                    ["doc_id", "text_key", "n_tokens", "n_known", "base_score", "score"],
+                    [part.column(0), part.column(2), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array([len(x) + (ends > 0) for x in base], pa.int64()), pa.array([float(np.sum(x)) + last for x in base]), pa.array(scorer.score(ids, end_id)), pa.ListArray.from_arrays(ends_, rare)],
+                    ["doc_id", "text_key", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, logs = state()
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                owner, word, n = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    other = Counter(w for w in words_of(text) if w not in logs)
-                    owner += [i] * len(other)
-                    word += other.keys()
-                    n += other.values()
-                at_ = pa.array(owner, pa.int64())
-                yield pa.record_batch([part.column(0).take(at_), part.column(2).take(at_), pa.array(word, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "text_key", "word", "tf"])
-
     id_type = docs.schema["doc_id"].dataType.simpleString()
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    scored = materialize(keyed.mapInArrow(run, f"doc_id {id_type}, text_key long, n_tokens long, n_known long, base_score double, score double"), "scored")
-    others = keyed.mapInArrow(rare, f"doc_id {id_type}, text_key long, word binary, tf int").join(counts, "word", "left")
+    scored = materialize(keyed.mapInArrow(run, f"doc_id {id_type}, text_key long, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, tf: int>>"), "scored")
+    others = scored.select("doc_id", "text_key", F.inline("rare")).join(counts, "word", "left")
+    scored = scored.drop("rare")
     c = F.coalesce("c", F.lit(0))
     sums = others.groupBy("doc_id", "text_key").agg(F.sum(F.col("tf") * _base(c, total, distinct)).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"))
     times = scored.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
