@@ -5,8 +5,9 @@ pivots taken from the whole table would tell nothing apart. Regions are therefor
 losing a pair. Two sets within the threshold differ in at most d elements, so of d + 1 parts of the hash space
 at least one holds the same elements of both. Each set is keyed by the contents of its parts (``Parts`` has the
 details: size classes, empty parts), and sets that share a key, directly or through others, form a seed
-region. A part holds several shingles, so frequent passages alone don't join regions. Links never cross
-seed regions. Within a region:
+region. Before regions are formed, sets that share a key are compared by their parity sketches: two sets differ in
+at least as many elements as their sketches differ in bits, so pairs that differ in too many bits are no
+links, and passages that many texts share don't join regions. Links never cross seed regions. Within a region:
 
 * pivots partition it into Voronoi regions: each set goes to its nearest pivot;
 * a set is replicated into the region of pivot p if its distance to p is at most that to its own pivot plus
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplewright.llm.common import materialize
@@ -44,6 +45,8 @@ HOT_SAMPLE = 100  # one text in so many tells which keys are hot
 HOT_SEEN = 20  # times that a hot key occurs among these
 HOT_KEYS = 100_000
 HOT_SALTS = 64
+SKETCH_BITS = 1024
+HUB_BLOCK = 8192  # sets of one hub compared in a task
 LEAF_SETS = 1024
 LEAF_SHINGLES = 2_000_000
 SMALL = 24
@@ -316,18 +319,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches, (sets, words) of 64 bits: bit i is the parity of the elements whose hash ends in i."""
+    sizes = [len(x) for x in sets]
+    at = (np.concatenate(sets) & np.uint64(SKETCH_BITS - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(sets)), sizes) * SKETCH_BITS + at, minlength=len(sets) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(sets), SKETCH_BITS // 64)
+
+
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set) of each row."""
+    """doc_id, n_shingles, node (digest of the set), sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 found = shingle_sets(part.column(1).to_pylist(), width)
-                yield pa.record_batch([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(list(map(digest, found)), pa.binary())], ["doc_id", "n_shingles", "node"])
+                drawn = [x.tobytes() for x in sketches(found)]
+                yield pa.record_batch([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(list(map(digest, found)), pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary, sketch binary")
 
 
 def short(node: bytes) -> int:
@@ -362,14 +374,55 @@ def hot_keys(docs: DataFrame, width: int, percent: int) -> np.ndarray:
 
 
 def seed_edges(keys: DataFrame) -> DataFrame:
-    """Edges from each node to the least one with the same key: per (key, salt), then among the salts of hot keys."""
+    """Edges from each node to the least one with the same key: per (key, salt), then over all salts of hot keys."""
     local = keys.withColumn("head", F.min("node").over(Window.partitionBy("key", "salt")))
     kept = local.where("node <> head or salt > 0").select(F.when(F.col("salt") > 0, F.col("key")).alias("hot"), "node", "head").distinct()
     kept = materialize(kept, "seed-edges")
     edges = kept.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    heads = kept.where("hot is not null").select("hot", "head").distinct()
-    tops = heads.join(heads.groupBy("hot").agg(F.min("head").alias("top")), "hot").where("head <> top")
-    return edges.unionByName(tops.select(F.col("head").alias("a"), F.col("top").alias("b"))).distinct()
+    hot = kept.where("hot is not null").select("hot", "node", "head")
+    tops = hot.groupBy("hot").agg(F.min("head").alias("top"))
+    hot = hot.join(tops, "hot").where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    return edges.unionByName(hot).distinct()
+
+
+def _compatible(percent: int):  # noqa: ANN202
+    """Spanning edges of the pairs of a hub's sets that sizes and sketches allow to be within the threshold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["node", "sketch"])
+        bits = np.frombuffer(b"".join(pdf.sketch), np.uint64).reshape(len(pdf), -1)
+        size, node, group, edges = pdf.n_shingles.to_numpy(), pdf.node.to_numpy(), np.arange(len(pdf)), []
+        for x in range(len(pdf) - 1):
+            rest = x + 1 + np.flatnonzero(group[x + 1 :] != group[x])
+            rest = rest[(100 * size[rest] >= percent * size[x]) & (100 * size[x] >= percent * size[rest])]
+            differ = np.bitwise_count(bits[rest] ^ bits[x]).sum(1, dtype=np.int64)  # at most the sets' difference, at most this share of the sizes
+            for y in rest[(100 + percent) * differ <= (100 - percent) * (size[rest] + size[x])]:
+                if group[y] != group[x]:
+                    edges.append((node[x], node[y]))
+                    group[group == group[y]] = group[x]
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def refined(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Seed edges without pairs that sketches exclude.
+
+    All sets that share a key have an edge to the same head, so the sets around a head hold every link that the
+    key stands for. A head with more than ``HUB_BLOCK`` sets is compared block against block.
+    """
+    members = edges.select(F.col("b").alias("hub"), F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("hub"), F.col("b").alias("node"))).distinct()
+    known = sets.select(_brief().alias("node"), "n_shingles", "sketch").distinct()
+    blocks = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "hub").join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pair = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = pair.select("hub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n_shingles", "sketch")
+    return pair.groupBy("hub", "i", "j").applyInPandas(_compatible(percent), "a long, b long").distinct()
+
+
+def _brief() -> Column:
+    """:func:`short` as a column."""
+    return F.conv(F.substring(F.hex("node"), 1, 16), 16, -10).cast("long")
 
 
 _MEMBER = "region string, node binary, shingles binary"
@@ -377,8 +430,7 @@ _MEMBER = "region string, node binary, shingles binary"
 
 def _members(docs: DataFrame, sets: DataFrame, seeds: DataFrame, width: int) -> DataFrame:
     """region, node, shingles: one row per distinct set of a seed region, its shingles taken from one text again."""
-    brief = F.conv(F.substring(F.hex("node"), 1, 16), 16, -10).cast("long")
-    chosen = sets.withColumn("brief", brief).join(seeds.withColumnRenamed("node", "brief"), "brief").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("root").alias("root"))
+    chosen = sets.withColumn("brief", _brief()).join(seeds.withColumnRenamed("node", "brief"), "brief").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("root").alias("root"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -487,7 +539,8 @@ def near_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
     sets = materialize(sets_of(docs, width), "sets")
-    seeds = components(seed_edges(seed_keys(docs, width, percent, hot_keys(docs, width, percent))), "seeds")
+    seeds = seed_edges(seed_keys(docs, width, percent, hot_keys(docs, width, percent)))
+    seeds = components(refined(seeds, sets, percent), "seeds")
     links = region_links(_members(docs, sets, seeds, width), percent)
     roots = components(links, "links")
     own = F.when(F.col("n_shingles") > 0, F.col("node"))
