@@ -56,7 +56,7 @@ def resolve(terms: DataFrame, nodes: DataFrame, least: float = 0.4) -> DataFrame
     pairs = rest.withColumn("w", F.explode(words("t"))).join(names.withColumn("w", F.explode(words("n"))), "w").select("term", "t", "id", "n").distinct()
     bonus = F.when(F.contains("t", F.col("n")) | F.contains("n", F.col("t")), 0.1).otherwise(0.0)
     scored = pairs.select("term", "id", (jaccard(words("t"), words("n")) + bonus).alias("score")).where(F.col("score") >= least)
-    best = scored.groupBy("term").agg(F.min(F.struct(-F.col("score"), "id")).alias("m")).select("term", F.col("m.id").alias("id"), (-F.col("m")["(- score)"]).alias("score"))
+    best = scored.groupBy("term").agg(F.min(F.struct((-F.col("score")).alias("minus"), "id")).alias("m")).select("term", F.col("m.id").alias("id"), (-F.col("m.minus")).alias("score"))
     return exact.select("term", "id", "score").unionByName(best)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.functions.entities import is_anchored, is_atomic, is_non_entity, matches_set
@@ -64,12 +66,16 @@ def check_types(triples: DataFrame, rules: DataFrame, discard: bool = True) -> D
     return x.withColumn("keep", fit & ~bad).drop("rule", "st_set", "ot_set")
 
 
+def _says(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: x.rlike(pattern) & ~x.rlike(r"\bnot\b.*\b(?:not|no|un\w+)\b")
+
+
 def relabel(triples: DataFrame, evidence: dict[str, str]) -> DataFrame:
     """The relation replaced by the one whose words a sentence of the text with both ends holds; a double negation counts as none."""
     near = F.filter(F.split(F.lower("text"), r"\."), lambda x: F.contains(x, F.lower("s")) & F.contains(x, F.lower("o")))
     out = F.col("r")
     for relation, pattern in reversed(evidence.items()):
-        out = F.when(F.exists(near, lambda x, p=pattern: x.rlike(p) & ~x.rlike(r"\bnot\b.*\b(?:not|no|un\w+)\b")), relation).otherwise(out)
+        out = F.when(F.exists(near, _says(pattern)), relation).otherwise(out)
     return triples.withColumn("r", out)
 
 

@@ -1,7 +1,7 @@
 """Streaming loads: rows of a stream merged into keyed tables, one version per micro-batch.
 
-A version folder is written whole and then named current by a pointer file, so a failed batch that is run
-again rewrites its own version and readers never see half of one.
+Each batch writes a version folder of its own from the one before, so a batch that failed and runs again
+rewrites its own version; readers take the highest one that is complete (it has a _SUCCESS file).
 """
 
 from __future__ import annotations
