@@ -139,7 +139,7 @@ def read_back(chats: DataFrame, template: ChatTemplate = LLAMA_LIKE) -> DataFram
 
 
 def digests(chats: DataFrame, template: ChatTemplate = LLAMA_LIKE) -> DataFrame:
-    """Counts and SHA-256 digests of what :func:`read_back` recovers."""
+    """Counts and SHA-256 digests of what :func:`read_back` recovers; ``first_bad_turn`` is -1 where there is none."""
     back = read_back(chats, template)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -150,5 +150,5 @@ def digests(chats: DataFrame, template: ChatTemplate = LLAMA_LIKE) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
-        F.col("first_bad_turn").cast("long").alias("first_bad_turn"),
+        F.coalesce(F.col("first_bad_turn").cast("long"), F.lit(-1)).alias("first_bad_turn"),
     )

@@ -54,7 +54,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY spot) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (3 + sum(chars))::BIGINT AS formatted_chars,
        bool_and(allowed) AND bool_or(is_last AND role = 'assistant') AS valid,
-       min(spot) FILTER (NOT allowed) AS first_bad_turn
+       coalesce(min(spot) FILTER (NOT allowed), -1) AS first_bad_turn
 FROM judged GROUP BY conv_id
 """
 
