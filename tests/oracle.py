@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 
 def tables(con: duckdb.DuckDBPyConnection, folder: str) -> None:
@@ -14,7 +15,7 @@ def tables(con: duckdb.DuckDBPyConnection, folder: str) -> None:
 
 
 def _cell(x) -> str:
-    if x is None or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NA or (isinstance(x, float) and x != x):
         return "null"
     return f"{x:.6g}" if isinstance(x, float) else str(x)
 
