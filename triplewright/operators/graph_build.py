@@ -43,7 +43,7 @@ def first_nodes(split: DataFrame, types: DataFrame) -> DataFrame:
 
 def titration_edges(split: DataFrame) -> DataFrame:
     """Titration edges with the document's last threshold of their object and last adjustment of their subject."""
-    last = lambda keys, name, col: split.where(F.col("is_value") & F.col("key").isin(*keys) & F.col("value").isNotNull()).groupBy("doc_id", F.col("s").alias(name)).agg(F.max_by("value", "ord").alias(col))
+    last = lambda keys, name, col: split.where(F.col("is_value") & F.col("key").isin(*keys) & F.col("value").isNotNull()).groupBy("doc_id", F.col("s").alias(name)).agg(F.max_by("value", F.struct("ord", "value")).alias(col))
     edges = split.where(~F.col("is_value") & (F.col("key") == "has_titration_rule"))
     thresholds = last(("has_clinical_threshold", "has_titration_rule"), "o", "threshold")
     adjustments = last(("has_dose_adjustment",), "s", "adjustment")
@@ -59,7 +59,7 @@ def value_properties(split: DataFrame) -> DataFrame:
     since = titrated.select("doc_id", F.explode(F.array("s", "o")).alias("s")).groupBy("s").agg(F.min("doc_id").alias("since"))
     free = split.where("value is not null").join(since, "s", "left").where("since is null or since > doc_id")
     name = F.when(F.col("key").isin("has_clinical_threshold", "has_titration_rule"), "target_threshold").otherwise("dosage_value")
-    return free.groupBy("s", name.alias("property")).agg(F.max_by("value", F.struct(*ORDER)).alias("value"))
+    return free.groupBy("s", name.alias("property")).agg(F.max_by("value", F.struct(*ORDER, "value")).alias("value"))
 
 
 def canonical_ids(nodes: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def remap_edges(edges: DataFrame, canon: DataFrame, labels: DataFrame, scores: D
     turn = F.coalesce((F.col("key") == "treated_by") & metric & F.array_contains("o_labels", "Drug"), F.lit(False))
     e = e.join(scores.select(F.col("s").alias("_s"), F.col("key").alias("_k"), F.col("o").alias("_o"), "score"), (dedup_key("s") == F.col("_s")) & (F.col("key") == F.col("_k")) & (dedup_key("o") == F.col("_o")), "left")
     out = e.select(*ORDER, F.when(turn, F.col("o_canon")).otherwise(F.col("s_canon")).alias("src"), F.when(turn, "decreases").otherwise(F.col("key")).alias("rel"), F.when(turn, F.col("s_canon")).otherwise(F.col("o_canon")).alias("dst"), F.coalesce("score", F.lit(100.0)).alias("confidence"))
-    order = Window.partitionBy("src", "rel", "dst").orderBy(*ORDER)
+    order = Window.partitionBy("src", "rel", "dst").orderBy(*ORDER, "confidence")
     return out.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("src", "rel", "dst", "confidence")
 
 

@@ -102,7 +102,7 @@ def titration_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 oracle(
     titration_pack,
-    f"""WITH {TITRATION}, th AS (SELECT doc_id, s AS o, arg_max(x, ord) AS threshold FROM t WHERE k = 2 GROUP BY ALL), ad AS (SELECT doc_id, s, arg_max(x, ord) AS adjustment FROM t WHERE k = 1 GROUP BY ALL)
+    f"""WITH {TITRATION}, th AS (SELECT doc_id, s AS o, arg_max(x, {{'o': ord, 'x': x}}) AS threshold FROM t WHERE k = 2 GROUP BY ALL), ad AS (SELECT doc_id, s, arg_max(x, {{'o': ord, 'x': x}}) AS adjustment FROM t WHERE k = 1 GROUP BY ALL)
 SELECT t.doc_id, ord, t.s, x AS o, threshold, adjustment FROM t LEFT JOIN th ON th.doc_id = t.doc_id AND th.o = x LEFT JOIN ad ON ad.doc_id = t.doc_id AND ad.s = t.s WHERE k = 0""",
 )
 
@@ -116,7 +116,7 @@ def value_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle(
     value_properties,
     f"""WITH {TITRATION}, since AS (SELECT s, min(doc_id) AS since FROM (SELECT s, doc_id FROM t WHERE k = 0 UNION ALL SELECT x, doc_id FROM t WHERE k = 0) GROUP BY s)
-SELECT t.s, CASE k WHEN 2 THEN 'target_threshold' ELSE 'dosage_value' END AS property, arg_max(x, doc_id * 100 + ord) AS value FROM t LEFT JOIN since USING (s) WHERE k <> 0 AND (since IS NULL OR since > doc_id) GROUP BY ALL""",
+SELECT t.s, CASE k WHEN 2 THEN 'target_threshold' ELSE 'dosage_value' END AS property, arg_max(x, {{'d': doc_id, 'o': ord, 'x': x}}) AS value FROM t LEFT JOIN since USING (s) WHERE k <> 0 AND (since IS NULL OR since > doc_id) GROUP BY ALL""",
 )
 
 
@@ -137,7 +137,7 @@ oracle(
     edge_remap_dedup,
     """WITH x AS (SELECT l_orderkey AS d, l_linenumber AS i, p_brand, concat('supp', l_suppkey % 50) AS o, min(p_size) OVER (PARTITION BY p_brand) AS z, CASE WHEN p_partkey % 3 = 0 AND l_suppkey % 50 = 7 THEN p_size::DOUBLE ELSE 100.0::DOUBLE END AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey),
 m AS (SELECT p_brand, min(p_size) AS z FROM part GROUP BY p_brand)
-SELECT CASE WHEN m.z = 1 THEN o ELSE x.p_brand END AS src, CASE WHEN m.z = 1 THEN 'decreases' ELSE 'treated_by' END AS rel, CASE WHEN m.z = 1 THEN x.p_brand ELSE o END AS dst, arg_min(confidence, d * 100 + i) AS confidence
+SELECT CASE WHEN m.z = 1 THEN o ELSE x.p_brand END AS src, CASE WHEN m.z = 1 THEN 'decreases' ELSE 'treated_by' END AS rel, CASE WHEN m.z = 1 THEN x.p_brand ELSE o END AS dst, arg_min(confidence, {'d': d, 'i': i, 'c': confidence}) AS confidence
 FROM x JOIN m USING (p_brand) GROUP BY 1, 2, 3""",
 )
 
