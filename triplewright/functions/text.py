@@ -56,7 +56,9 @@ def clean_prose(c: Column | str) -> Column:
     kept = F.filter(lines, lambda x: ~x["bare"].rlike(noise) | (x["bare"] == ""))
     text = F.transform(kept, lambda x: F.when(x["bare"] == "", "").otherwise(without_citations(x["raw"])))
     blank = F.transform(text, lambda x: F.when(strip(x) == "", "").otherwise(x))
-    runs = F.filter(F.transform(blank, lambda x, i: F.struct(x.alias("x"), (x == "").alias("e"), ((i > 0) & (F.get(blank, F.greatest(i - 1, F.lit(0))) == "")).alias("again"))), lambda s: ~(s["e"] & s["again"]))
+    shifted = F.concat(F.array(F.lit("x")), blank)  # each line beside the one before it; the last pair has no line
+    pairs = F.zip_with(blank, shifted, lambda x, before: F.struct(x.alias("x"), before.alias("before")))
+    runs = F.filter(pairs, lambda s: s["x"].isNotNull() & ~((s["x"] == "") & (s["before"] == "")))
     return strip(F.array_join(F.transform(runs, lambda s: s["x"]), "\n"))
 
 
