@@ -47,8 +47,8 @@ HOT_KEYS = 100_000
 HOT_SALTS = 64
 SKETCH_BITS = 1024
 HUB_BLOCK = 8192  # sets of one hub compared in a task
-LEAF_SETS = 1024
-LEAF_SHINGLES = 2_000_000
+LEAF_SETS = 4096
+LEAF_SHINGLES = 4_000_000  # 32 MB
 SMALL = 24
 PIVOTS = 16
 LARGE_SHARE = 1000
