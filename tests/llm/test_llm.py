@@ -557,6 +557,17 @@ def test_attention_is_causal_normalised_and_trains():
     assert losses[-1] < 0.5 * losses[0]
 
 
+def test_training_reads_every_id_of_long_texts(spark):
+    encoder = lm_score._encoder(JSON)
+    texts = [" ".join(f"{a}{b}{k}" for a in "qxzvk" for b in "aeiou" for k in range(30)), "one two"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    ids = np.concatenate([lm_score.subwords(encoder, lm_score.words_of(t)) for t in texts])
+    classes, _ = lm_score.classes_of(np.bincount(ids, minlength=50_257), np.zeros(50_257, np.int64))
+    model = lm_score.train(docs, JSON, classes, 50_257, 50_256)
+    moved = (model.matrix != lm_score.Attention.start(50_257).matrix).any(1)
+    assert moved[ids].all() and moved[50_256] and moved[:50_257].sum() == len(set(ids.tolist())) + 1
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(9)
     classes = rng.integers(0, lm_score.CLASSES, 20)

@@ -7,9 +7,9 @@ tasks; occurrences of other words are joined with the full table by shuffle.
 The model reads subword ids. The next id's probability is that of its class, given by one causal attention
 layer over the window, times its share of the class's count over all training texts. Texts are scored in
 windows of ``WINDOW`` inputs that overlap by half; each id is scored once, with at least half a window of
-context where the text has it. Training runs on the executors, ``EPOCHS`` times over all training texts: each
-text gives windows at places drawn from its hash, each task trains from the common parameters, and their
-changes are averaged, row by row of the parameter matrix, by an aggregation.
+context where the text has it. Training runs on the executors, ``EPOCHS`` times over all training texts, on the
+same windows over every id of each text and its end: each task trains from the common parameters, in steps of
+``BATCH`` windows, and the changes are averaged, row by row of the parameter matrix, by an aggregation.
 
 Defined results: a null text counts as empty and has one token, its end; rows that repeat an id and a text
 get equal rows; words of no letters are words like others; without training texts all counts are 0 and the
@@ -25,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +35,6 @@ WINDOW = 16
 DIM = 16
 CLASSES = 64
 EPOCHS = 1
-PLACES_PER_TEXT = 1
-PLACE_IDS = 32
 BATCH = 512
 RATE = 0.1
 FREQUENT_WORDS = 200_000
@@ -218,6 +215,16 @@ class Scorer:
         return np.add.reduceat(found, np.concatenate([[0], ends[:-1]]))
 
 
+def _by_row(x: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``x`` that belong to each of ``n`` rows."""
+    rows = rows.reshape(-1)
+    order = np.argsort(rows, kind="stable")
+    found, first = np.unique(rows[order], return_index=True)
+    out = np.zeros((n, x.shape[1]), np.float32)
+    out[found] = np.add.reduceat(x[order], first, 0)
+    return out
+
+
 class Trainer:
     """Adagrad on batches of windows, with the gradients written out."""
 
@@ -229,54 +236,58 @@ class Trainer:
     def step(self, inputs: np.ndarray, targets: np.ndarray) -> float:
         m, d = self.m, self.m.dense()
         scale = np.float32(DIM**-0.5)
-        scored = inputs[:, _STEP:]
-        ex, eq = m.matrix[inputs], m.matrix[scored]
-        q, k, v = eq @ d["query"], ex @ d["key"], ex @ d["value"]
+        rows, at = np.unique(inputs, return_inverse=True)  # each id's query, key and value are computed once
+        at = at.reshape(inputs.shape)
+        goes = at[:, _STEP:]
+        e = m.matrix[rows]
+        eq = e[goes]
+        q, k, v = (e @ d["query"])[goes], (e @ d["key"])[at], (e @ d["value"])[at]
         w = _weights(q @ k.transpose(0, 2, 1) * scale, d["near"].reshape(-1), inputs, m.vocabulary)
         a = w @ v
-        z = a @ d["out"].T + eq @ d["skip"].T + d["bias"].reshape(-1)
-        z -= z.max(2, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(2, keepdims=True)
-        real = targets >= 0
-        goal = self.classes[targets]
-        picked = np.take_along_axis(p, goal[:, :, None], 2)[:, :, 0]
-        loss = -np.log(picked[real] + 1e-12).mean() if real.any() else 0.0
-        np.put_along_axis(p, goal[:, :, None], (picked - 1)[:, :, None], 2)
-        dz = p * (real / max(1, real.sum()))[:, :, None].astype(np.float32)
-        grad = np.zeros_like(m.matrix)
-        g = m.dense(grad)
         flat = lambda x: x.reshape(-1, x.shape[-1])
-        g["out"] += flat(dz).T @ flat(a)
-        g["skip"] += flat(dz).T @ flat(eq)
-        g["bias"] += dz.sum((0, 1)).reshape(-1, DIM)
-        da = dz @ d["out"]
+        z = flat(a) @ d["out"].T + flat(eq) @ d["skip"].T + d["bias"].reshape(-1)
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z, out=z)
+        p /= p.sum(1, keepdims=True)
+        goal = targets.reshape(-1)
+        real, each = goal >= 0, np.arange(len(goal))
+        goal = self.classes[goal]
+        picked = p[each, goal]
+        loss = -np.log(picked[real] + 1e-12).mean() if real.any() else 0.0
+        p[each, goal] -= 1
+        p *= (real / max(1, real.sum())).astype(np.float32)[:, None]
+        dz = p
+        dense = np.zeros((len(m.matrix) - m.vocabulary - 1, DIM), np.float32)
+        g, first = {}, 0
+        for name, x in d.items():
+            g[name] = dense[first : first + len(x)]
+            first += len(x)
+        g["out"] += dz.T @ flat(a)
+        g["skip"] += dz.T @ flat(eq)
+        g["bias"] += dz.sum(0).reshape(-1, DIM)
+        da = (dz @ d["out"]).reshape(a.shape)
         dw = da @ v.transpose(0, 2, 1)
         dv = w.transpose(0, 2, 1) @ da
         ds = w * (dw - (dw * w).sum(2, keepdims=True))
         by_back = np.bincount(np.clip(_BACK, 0, WINDOW - 1).reshape(-1), (ds.sum(0) * _SEEN).reshape(-1), WINDOW)
         g["near"] += by_back.reshape(-1, DIM).astype(np.float32)
         dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-        g["query"] += flat(eq).T @ flat(dq)
-        g["key"] += flat(ex).T @ flat(dk)
-        g["value"] += flat(ex).T @ flat(dv)
-        deq = dz @ d["skip"] + dq @ d["query"].T
-        dex = dk @ d["key"].T + dv @ d["value"].T
-        rows = np.concatenate([inputs.reshape(-1), scored.reshape(-1)])
-        np.add.at(grad, rows, np.concatenate([flat(dex), flat(deq)]))
-        touched = np.union1d(rows, np.arange(m.vocabulary + 1, len(grad)))
-        touched = touched[touched != m.vocabulary]
+        dq = _by_row(np.concatenate([flat(dq), dz @ d["skip"]], 1), goes, len(rows))
+        dk = _by_row(np.concatenate([flat(dk), flat(dv)], 1), at, len(rows))
+        (dq, deq), (dk, dv) = np.split(dq, 2, 1), np.split(dk, 2, 1)
+        g["query"] += e.T @ dq
+        g["key"] += e.T @ dk
+        g["value"] += e.T @ dv
+        de = deq + dq @ d["query"].T + dk @ d["key"].T + dv @ d["value"].T
+        ids = rows != m.vocabulary
+        touched = np.concatenate([rows[ids], np.arange(m.vocabulary + 1, len(m.matrix))])
+        grad = np.concatenate([de[ids], dense])
         self.seen[touched] += 1
-        self.squares[touched] += grad[touched] ** 2
-        m.matrix[touched] -= RATE * grad[touched] / np.sqrt(self.squares[touched])
+        self.squares[touched] += grad**2
+        m.matrix[touched] -= RATE * grad / np.sqrt(self.squares[touched])
         return float(loss)
 
 
-def _places(text: str, n_words: int) -> list[int]:
-    """First words of the training windows of a text, drawn from its hash."""
-    return [xxhash.xxh3_64_intdigest(text, seed=k) % max(1, n_words - WINDOW // 2) for k in range(PLACES_PER_TEXT)]
-
-
 def train(training: DataFrame, path: str, classes: np.ndarray, vocabulary: int, begin: int) -> Attention:
     """Averaged training: every training text takes part in each of the ``EPOCHS`` rounds."""
     model = Attention.start(vocabulary)
@@ -291,25 +302,26 @@ def train(training: DataFrame, path: str, classes: np.ndarray, vocabulary: int,
             held: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
 
-            def step() -> None:
-                t.step(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held.clear()
+            def steps(least: int) -> None:
+                """Steps over the windows held, until fewer than ``least`` remain."""
+                nonlocal size
+                inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
+                at = 0
+                while len(inputs) - at >= least:
+                    t.step(inputs[at : at + BATCH], targets[at : at + BATCH])
+                    at += BATCH
+                held[:] = [(inputs[at:], targets[at:])]
+                size = len(held[0][0])
 
             for b in batches:
                 for text in b.column(0).to_pylist():
-                    words = words_of(text)
-                    for at in _places(text or "", len(words)) if words else ():
-                        ids = subwords(encoder, words[at : at + WINDOW])
-                        if at + WINDOW >= len(words):
-                            ids = np.append(ids, begin)
-                        inputs, targets = windows_of(ids[:PLACE_IDS], vocabulary, begin)
-                        held.append((inputs, targets))
-                        size += len(inputs)
-                        if size >= BATCH:
-                            step()
-                            size = 0
-            if held:
-                step()
+                    pair = windows_of(np.append(subwords(encoder, words_of(text)), begin), vocabulary, begin)
+                    held.append(pair)
+                    size += len(pair[0])
+                    if size >= BATCH:
+                        steps(BATCH)
+            if size:
+                steps(1)
             rows = np.flatnonzero(t.seen)
             change = (t.m.matrix[rows] - matrix[rows]).astype(np.float64) * t.seen[rows, None]
             yield pa.record_batch([pa.array(rows), pa.array(t.seen[rows]), *map(pa.array, change.T)], ["row", "n", *columns])
