@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -340,6 +341,19 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_dictionaries_read_every_window(monkeypatch):
+    word = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    rows = [(i, " ".join(word(1000 * i + k) for k in range(1000)), 0) for i in range(1, 401)]
+    rows += [(1000 + i, f"vilescum grubwart own{word(i)}", 1) for i in range(40)]
+    sample = pd.DataFrame(rows, columns=["doc_id", "text", "toxic"])
+    fed = []
+    raw = lambda windows: toxicity.zstandard.ZstdCompressionDict(b"".join(windows)[-8192:], dict_type=toxicity.zstandard.DICT_TYPE_RAWCONTENT)
+    monkeypatch.setattr(toxicity, "train_dictionary", lambda windows: fed.append(len(windows)) or raw(windows))
+    toxicity.train(sample, 0.1)
+    shaping = sum(zlib.crc32(f"dictionary {i}".encode()) / 2**32 < toxicity.DICTIONARY_SHARE for i in range(1, 401))
+    assert max(fed) == shaping * 1000 // toxicity.TRAIN_WINDOW > 20_000
+
+
 # --- 8 ---
 
 

@@ -3,7 +3,8 @@
 Words that ordinary texts use about as often as toxic ones say nothing and are left out; the words that
 remain form windows of ``WINDOW`` words after a run of blanks (zstandard stores very short input as it is;
 the blanks, which cost the same everywhere, keep a window above that length). One dictionary is trained on
-what recurs in toxic texts, one on such windows of ordinary texts. A window's evidence is its compressed
+those remaining words that recur in toxic texts, one on words that occur in one ordinary text and in no toxic
+one; both read every window of the sample, but neither sees a whole text. A window's evidence is its compressed
 length under the ordinary dictionary less that under the toxic one. A text is described by its strongest
 evidence and by the counts and shares of windows beyond 1, 2 and 3 bytes; a logistic calibration on labelled
 texts that trained neither dictionary turns these into a score.
@@ -40,7 +41,6 @@ RATIO = 5.0
 WINDOW = 1
 TRAIN_WINDOW = 8
 PAD = b" " * 48
-MAX_WINDOWS = 20_000
 MAX_SEEN = 200_000
 PREDICT_AT = 0.7
 
@@ -152,7 +152,7 @@ def train(sample: pd.DataFrame, share: float | None = None) -> ToxicityModel | N
         0: [x for t in texts[0] for x in windows_of([w for w in t if seen[0][w] <= 1 and w not in seen[1]], TRAIN_WINDOW)],
     }
     order = np.random.default_rng(0)
-    dicts = {k: train_dictionary([f" {v[i]} ".encode() for i in order.permutation(len(v))[:MAX_WINDOWS]]) for k, v in windows.items()}
+    dicts = {k: train_dictionary([f" {v[i]} ".encode() for i in order.permutation(len(v))]) for k, v in windows.items()}
     raw = tuple(d.dict_id() == 0 for d in (dicts[1], dicts[0]))
     model = ToxicityModel(neutral, dicts[1].as_bytes(), dicts[0].as_bytes(), raw, np.zeros(1), np.ones(1), np.zeros(1))
     scorer = Scorer(model)
