@@ -237,6 +237,21 @@ def test_messages_are_exact_on_a_tree():
     assert field.marginals(tokens) == pytest.approx(total / total.sum(1, keepdims=True)) and rng is not None
 
 
+def test_messages_reach_far_occurrences():
+    field = pii.train([("token", "0", 0, 0, 5), ("token", "1", 1, 0, 5), ("token", "2", 0, 0, 5), ("token", "2", 1, 0, 5), ("skip", "", 1, 1, 9), ("skip", "", 0, 0, 9)])
+    n = 40
+    for first in "01":
+        tokens = pii.Tokens(list(range(n)), list(range(1, n + 1)), [first] + ["2"] * (n - 1), [], [(i, i + 1) for i in range(n - 1)])
+        unary, psi = np.exp(field.unary(tokens.shape)), np.exp(field.pair["skip"])
+        left, right = [np.ones(len(pii.LABELS))], [np.ones(len(pii.LABELS))]
+        for i in range(n - 1):
+            left.append((left[-1] * unary[i]) @ psi)
+            right.append(psi @ (right[-1] * unary[n - 1 - i]))
+        left, right = ([x / x.sum() for x in side] for side in (left, right))
+        want = np.array([left[i] * unary[i] * right[n - 1 - i] for i in range(n)])
+        assert field.marginals(tokens) == pytest.approx(want / want.sum(1, keepdims=True), rel=1e-5)
+
+
 # --- 4 ---
 
 
