@@ -154,6 +154,23 @@ def test_near_copies_edge_cases(docs, none):
     assert jaccard_join.near_groups(none, 3, 90).count() == 0
 
 
+def test_near_copies_of_ids_with_several_texts(spark):
+    text = lambda name, edit="": " ".join(f"{name}{i}" for i in range(100)) + f" {edit}"
+    rows = [(1, text("a")), (5, text("a", "x")), (5, text("b")), (7, text("b", "y")), (3, text("c")), (3, text("c", "z")), (9, text("d")), (None, text("a"))]
+    kept = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    groups = {(r.doc_id, r.text[0]) for r in kept}
+    assert groups == {(1, "a"), (5, "b"), (3, "c"), (9, "d"), (None, "a")} and len(kept) == 5
+
+
+def test_null_ids_bridge_groups(spark):
+    words = [f"w{i}" for i in range(60)]
+    middle = " ".join(words)
+    ends = [" ".join(words[4:]), " ".join(words[:-4])]  # each within 0.9 of the middle, not of each other
+    rows = [(1, ends[0]), (2, ends[1]), (None, middle), (None, "quite another text of no id")]
+    got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90)
+    assert {r.doc_id: r.component_id for r in got.collect() if r.doc_id} == {1: 1, 2: 1}
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_parts_lose_no_pair(percent):
     rng, parts, pairs = np.random.default_rng(percent), jaccard_join.Parts(percent), 0

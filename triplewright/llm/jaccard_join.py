@@ -37,6 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from triplewright.llm.common import materialize
 from triplewright.llm.components import components
@@ -342,6 +343,19 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, node binary, sketch binary")
 
 
+def _with_node(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with the digest of each row's set as _tw_node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                found = shingle_sets(part.column(part.schema.get_field_index("text")).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(map(digest, found)), pa.binary())], [*part.schema.names, "_tw_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_tw_node", BinaryType())]))
+
+
 def short(node: bytes) -> int:
     """The node's first 64 bits, which seed edges go by: two nodes with the same ones only share a seed region."""
     return int.from_bytes(node[:8], "big", signed=True)
@@ -439,7 +453,9 @@ def _members(docs: DataFrame, sets: DataFrame, seeds: DataFrame, width: int) ->
             part = b.take(pa.array(keep, pa.int64()))
             yield pa.record_batch([part.column(0), part.column(1), pa.array([found[i].tobytes() for i in keep], pa.binary())], ["region", "node", "shingles"])
 
-    texts = chosen.select("doc_id", "node", "root").join(docs.select("doc_id", "text"), "doc_id")
+    texts = chosen.select("doc_id", "node", "root").join(docs.select("doc_id", "text"), "doc_id").select("root", "node", "text")
+    without = _with_node(docs.select("doc_id", "text").where("doc_id is null"), width).select(F.col("_tw_node").alias("node"), "text")  # only their sets tell these rows apart
+    texts = texts.unionByName(chosen.where("doc_id is null").select("node", "root").join(without.dropDuplicates(["node"]), "node").select("root", "node", "text"))
     return texts.select(F.col("root").cast("string").alias("region"), "node", "text").mapInArrow(run, _MEMBER).dropDuplicates(["region", "node"])
 
 
@@ -537,6 +553,11 @@ def region_links(members: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    return _grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``near_groups`` with each row's node and keep_node: of the rows of the component's least id, the least node."""
     docs = docs.select("doc_id", "text")
     sets = materialize(sets_of(docs, width), "sets")
     seeds = seed_edges(seed_keys(docs, width, percent, hot_keys(docs, width, percent)))
@@ -544,19 +565,31 @@ def near_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = region_links(_members(docs, sets, seeds, width), percent)
     roots = components(links, "links")
     own = F.when(F.col("n_shingles") > 0, F.col("node"))
-    rows = materialize(sets.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", own).alias("root")), "rooted")
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    rows = materialize(sets.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", own).alias("root")), "rooted")
+    least = rows.where("root is not null").groupBy("root").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("kept"), F.count(F.lit(1)).alias("members"))
+    least = least.select("root", F.col("kept.doc_id").alias("component_id"), F.col("kept.node").alias("keep_node"), "members")
     least = materialize(least, "classes")
     total = least.agg(F.sum("members").alias("n")).first()["n"] or 0
     large = F.broadcast(least.where(F.col("members") > total // LARGE_SHARE))  # fewer than LARGE_SHARE rows
     small = least.where(F.col("members") <= total // LARGE_SHARE)
     parts = [rows.join(large, "root"), rows.join(large, "root", "left_anti").join(small, "root")]
-    out = parts[0].unionByName(parts[1]).select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(rows.where("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = parts[0].unionByName(parts[1]).select("doc_id", "n_shingles", "component_id", "node", "keep_node")
+    return out.unionByName(rows.where("root is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", F.col("node").alias("keep_node")))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row for each group of near copies: that of the least id. Rows of null id stay."""
-    groups = near_groups(docs, width, percent)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_tw_id"))
-    return docs.join(gone, docs["doc_id"] == gone["_tw_id"], "left_anti")
+    """``docs`` with one row for each group of near copies: that of the least id, and of its least set where the id
+    has several in the group. Rows of null id stay; rows that repeat the kept row's id and set stay with it."""
+    groups = _grouped(docs, width, percent).where("doc_id is not null")
+    gone = (F.col("doc_id") != F.col("component_id")) | (F.col("node") != F.col("keep_node"))
+    groups = groups.select(F.col("doc_id").alias("_tw_id"), F.col("node").alias("_tw_node"), gone.alias("gone"))
+    ids = groups.groupBy("_tw_id").agg(F.max("gone").alias("some"), F.min("gone").alias("every")).where("some")
+    ids = materialize(ids, "gone")
+    mixed = ids.where("not every").select("_tw_id")
+    out = docs.join(ids.select("_tw_id"), docs["doc_id"] == F.col("_tw_id"), "left_anti")
+    if mixed.isEmpty():
+        return out
+    part = _with_node(docs.join(mixed, docs["doc_id"] == F.col("_tw_id"), "left_semi"), width)  # ids of which some sets stay
+    copies = groups.where("gone").select("_tw_id", F.col("_tw_node").alias("_tw_gone"))
+    part = part.join(copies, (part["doc_id"] == F.col("_tw_id")) & (part["_tw_node"] == F.col("_tw_gone")), "left_anti")
+    return out.unionByName(part.drop("_tw_node"))
