@@ -9,10 +9,11 @@ n-grams, corrected for the false-positive rate that each filter's fill gives.
 The classifier is fitted on a bounded sample of the labelled rows: about ``SAMPLE_PER_LANG`` texts of each
 language, the ones with the smallest hash of their id (whole texts). Predictions read every whole text.
 
-Defined results: ``und`` with score 0 for a null text or one without letters; when no n-gram is known, or
-nothing could be learned, also ``und``; ties go to the language with most
-labelled rows; ids, labels and
-sources play no part in a prediction; an empty table gives an empty table; other columns are ignored.
+Defined results: ``und`` with score 0 for a null text or one without letters, and for every text when nothing
+could be learned; a text with letters but no known n-gram gets the language with most labelled rows, with score and
+coverage 0; ties go to that language too; a very long text or token is read whole, in time and memory linear in
+its length; ids, labels and sources play no part in a prediction; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,6 +100,8 @@ class LanguageFilters:
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """(n-grams, languages) of 0 and 1: the languages whose filter contains each n-gram."""
+        if not self.langs:
+            return np.zeros((len(hashes), 0), np.int64)
         masks = np.full((len(self.slots), len(hashes)), ~np.uint64(0))
         for at in _slots(hashes, self.bits):
             masks &= self.slots[:, at]
@@ -149,10 +152,10 @@ class Predictor:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and coverage (the winner's corrected share of n-grams) of each text."""
+        if not self.f.langs:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         counts = self.popcounts(texts)
         grams, hits = counts[:, -1:].astype(float), counts[:, :-1].astype(float)
-        if hits.shape[1] == 0:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         right = np.clip((hits - grams * self.f.fp_rate) / (1 - self.f.fp_rate), 0, None)
         best = right.argmax(1)
         top = right[np.arange(len(texts)), best]
@@ -160,7 +163,7 @@ class Predictor:
         with np.errstate(invalid="ignore", divide="ignore"):
             score = np.where(top > 0, np.clip(top / (top + rest), 0, 1), 0.0)
             cover = np.where(grams[:, 0] > 0, np.clip(top / grams[:, 0], 0, 1), 0.0)
-        names = [self.f.langs[b] if t > 0 else "und" for b, t in zip(best, top, strict=True)]
+        names = [self.f.langs[b] if n else "und" for b, n in zip(best, grams[:, 0], strict=True)]  # every letter is in an n-gram
         return names, score, cover
 
 
