@@ -12,7 +12,8 @@ copies meets in one task. Digests that two different texts share (none is known
 content on a path of their own, so content decides there as well.
 
 Defined results: a null text counts as empty; null ids lose to any id; rows that repeat both id and text
-are members of their group each, and ``drop_copies`` keeps one of them; an empty table gives an empty
+are members of their group each, and ``drop_copies`` keeps one of them (of a null and an empty text under one id,
+the empty one); a very long text is compared whole and shuffled at most twice; an empty table gives an empty
 table; extra columns are carried by ``drop_copies`` under any name and ignored by ``exact_groups``.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplewright.llm.common import materialize, whole
@@ -75,5 +76,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = docs.join(won, (digest == won["_tw_digest"]) & _match(docs[id_col], won["_tw_keep"]), "left_semi")
     often = docs.groupBy(F.col(id_col).alias("_tw_id")).count().where("count > 1").select("_tw_id")
     once = kept.join(often, _match(kept[id_col], often["_tw_id"]), "left_anti")
-    again = kept.join(often, _match(kept[id_col], often["_tw_id"]), "left_semi").dropDuplicates([id_col, text_col])
+    again = kept.join(often, _match(kept[id_col], often["_tw_id"]), "left_semi")
+    order = Window.partitionBy(id_col, whole(text_col)).orderBy(F.col(text_col).asc_nulls_last())
+    again = again.withColumn("_tw_nth", F.row_number().over(order)).where("_tw_nth = 1").drop("_tw_nth")
     return once.unionByName(again)
