@@ -16,13 +16,14 @@ links, and passages that many texts share don't join regions. Links never cross
   than the threshold distance. Sets that already are in one component aren't compared again.
 
 Regions of up to ``LEAF_SETS`` sets and ``LEAF_SHINGLES`` shingles do this in one task. Larger ones are
-split by the same rule over the cluster first, each dealt by salt against its pivots. A region that
-Voronoi splitting doesn't shrink is joined block against block, so memory stays bounded there too.
+split by the same rule over the cluster first: dealt by salt and streamed past their pivots. A region whose
+windows leave it nearly as many pairs as before is joined block against block, so memory stays bounded there too.
 
 Equal sets are one node throughout. Shingles are 64-bit hashes of their words.
 
 Defined results: a null text counts as empty; a text without words has no shingle and is linked with
-nothing, not even other such texts; rows that repeat an id and a text get equal rows; extra columns are
+nothing, not even other such texts; rows that repeat an id and a text get equal rows; rows without an id link
+others like any row, and the component takes its id from the rest; a very long text is read whole, piece by piece; extra columns are
 ignored by ``near_groups`` and kept by ``drop_near_copies``; an empty table gives an empty table.
 """
 
@@ -52,6 +53,8 @@ LEAF_SETS = 4096
 LEAF_SHINGLES = 4_000_000  # 32 MB
 SMALL = 24
 PIVOTS = 16
+SHRINKS = 0.8  # windows are followed if they leave less than this share of a region's pairs
+MEASURED_AT_ONCE = 256
 LARGE_SHARE = 1000
 _PIECE = 1 << 20
 _BREAK = re.compile(rb"[\x09-\x0d\x20]")
@@ -206,9 +209,13 @@ class _Union:
         return np.array([self.find(int(x)) for x in among])
 
 
-def join_region(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Component (least member) of each set of a region, by recursive Voronoi joins."""
+def join_region(sets: list[np.ndarray], percent: int, grp: list[bytes] | None = None) -> np.ndarray:
+    """Component (least member) of each set of a region, by recursive Voronoi joins. Sets of one ``grp`` are in one
+    component from the start."""
     s, u, eps = Sets(sets), _Union(len(sets)), (100 - percent) / 100 + 1e-9
+    first: dict[bytes, int] = {}
+    for i, g in enumerate(grp or ()):
+        u.join(first.setdefault(g, i), i)
 
     def compare(members: np.ndarray, table: np.ndarray | None) -> None:
         """All pairs of different components whose distances to the pivots allow a link."""
@@ -464,87 +471,134 @@ def _as_sets(pdf: pd.DataFrame) -> list[np.ndarray]:
 
 
 def _leaf(percent: int):  # noqa: ANN202
+    """Links of a region, or of two of its blocks, that one task compares."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", ignore_index=True)
-        root = join_region(_as_sets(pdf), percent)
+        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
+        root = join_region(_as_sets(pdf), percent, pdf.grp.tolist())
         far = np.flatnonzero(root != np.arange(len(pdf)))
         return pd.DataFrame({"a": pdf.node[far].tolist(), "b": pdf.node[root[far]].tolist()})
 
     return run
 
 
-def _distances(sets: list[np.ndarray], pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inter = np.array([np.isin(s, pivot, assume_unique=True).sum() for s in sets], np.int64)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    return inter, 1 - inter / (sizes + len(pivot) - inter)
+class Pivots:
+    """The pivots of a region, their elements side by side, so that many sets are measured at once."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.values = np.unique(np.concatenate(sets))
+        self.held = np.zeros(len(self.values), np.int64)
+        for k, x in enumerate(sets):
+            self.held[np.searchsorted(self.values, x)] |= 1 << k
+
+    def shared(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Intersection sizes, (sets, pivots)."""
+        sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(self.values, flat), len(self.values) - 1)
+        held = np.where(self.values[at] == flat, self.held[at], 0)
+        starts = np.concatenate([[0], sizes.cumsum()[:-1]])
+        return np.stack([np.add.reduceat(held >> k & 1, starts) for k in range(len(self.sizes))], 1)
 
-def _split(percent: int):  # noqa: ANN202
-    """Members of a (region, salt) against the region's pivots: links to pivots, and the Voronoi regions each goes to."""
-    eps = (100 - percent) / 100 + 1e-9
 
-    def run(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        if members.empty or pivots.empty:
-            return pd.DataFrame({"kind": [], "region": [], "node": [], "shingles": [], "other": []})
-        pivots = pivots.sort_values("node", ignore_index=True)
-        sets, centres = _as_sets(members), _as_sets(pivots)
-        size = np.array([len(s) for s in sets], np.int64)
-        rows, table = [], []
-        for node, centre in zip(pivots.node, centres, strict=True):
-            inter, d = _distances(sets, centre)
-            table.append(d)
-            rows += [("link", "", members.node.iloc[i], b"", node) for i in np.flatnonzero(linked(inter, size, len(centre), percent))]
-        d = np.stack(table, 1)
-        inside = d <= d.min(1, keepdims=True) + 2 * eps
-        rows += [("part", f"{members.region.iloc[i]}.{k}", members.node.iloc[i], members.shingles.iloc[i], b"") for i, k in zip(*np.nonzero(inside), strict=True)]
-        return pd.DataFrame(rows, columns=["kind", "region", "node", "shingles", "other"])
+_MEASURED = "region string, node binary, hits long, links array<int>, inside array<int>"
 
-    return run
 
+def _measure(percent: int):  # noqa: ANN202
+    """Streams rows (region, salt, turn, node, shingles), each group's pivots (turn 0) first, and measures the members
+    (turn 1): the pivots each is linked to, as bits and as a list, and the Voronoi regions that its window reaches."""
+    eps = (100 - percent) / 100 + 1e-9
 
-def _blocks(percent: int):  # noqa: ANN202
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Two blocks (or one with itself) of a region that doesn't shrink."""
-        return _leaf(percent)(pdf.drop_duplicates("node"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centres, pivots = None, [], None
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and end < at + MEASURED_AT_ONCE and keys[end] == keys[at]:
+                    end += 1
+                part = b.slice(at, end - at)
+                sets = [np.frombuffer(x, np.uint64) for x in part.column(4).to_pylist()]
+                if keys[at][2] == 0:
+                    if keys[at][:2] != now:
+                        now, centres = keys[at][:2], []
+                    centres, pivots = centres + sets, None
+                else:
+                    pivots = pivots or Pivots(centres)
+                    inter, size = pivots.shared(sets), np.array([len(x) for x in sets], np.int64)[:, None]
+                    hit, d = linked(inter, size, pivots.sizes, percent), 1 - inter / (size + pivots.sizes - inter)
+                    near = d <= d.min(1, keepdims=True) + 2 * eps
+                    lists = [pa.array([np.flatnonzero(x).tolist() for x in y], pa.list_(pa.int32())) for y in (hit, near)]
+                    bits = pa.array((hit.astype(np.int64) << np.arange(hit.shape[1])).sum(1), pa.int64())
+                    yield pa.record_batch([part.column(0), part.column(3), bits, *lists], ["region", "node", "hits", "links", "inside"])
+                at = end
 
     return run
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each region and bit set of linked pivots: the least pivot of the class that these pivots are in."""
+    for b in batches:
+        for region, masks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            u = _Union(PIVOTS)
+            bits = [[k for k in range(PIVOTS) if m >> k & 1] for m in masks]
+            for x in bits:
+                for k in x:
+                    u.join(x[0], k)
+            yield pa.record_batch([pa.array([region] * len(masks)), pa.array(masks, pa.int64()), pa.array([u.find(x[0]) for x in bits], pa.int32())], ["region", "hits", "head"])
+
+
 def _weigh(members: DataFrame) -> DataFrame:
-    """region, n, parts: the tasks a region needs."""
+    """region, n, parts (the tasks a region needs) of the regions whose sets aren't all known to be in one component."""
     load = F.greatest(F.count(F.lit(1)) / LEAF_SETS, F.sum(F.octet_length("shingles")) / (8 * LEAF_SHINGLES))
-    return members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.ceil(load).cast("int").alias("parts"))
+    return members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.ceil(load).cast("int").alias("parts"), (F.min("grp") != F.max("grp")).alias("mixed")).where("mixed").drop("mixed")
 
 
 def region_links(members: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes that give the components of the exact link graph."""
+    """Edges (a, b) between nodes that give the components of the exact link graph.
+
+    ``grp`` names sets that links found so far put into one component: pairs within one aren't compared, and
+    regions of a single one are done. A region too large for a task is measured against its pivots, in a stream
+    that holds the pivots and a few rows. If the windows then leave clearly fewer pairs to compare than the region
+    has, its Voronoi regions go on (at most four copies of a set), else its blocks are compared in pairs.
+    """
     links: list[DataFrame] = []
-    todo = materialize(members, "regions")
+    todo = materialize(members.withColumn("grp", F.col("node")), "regions")
     while True:
         sized = materialize(_weigh(todo), "region-sizes")
         joined = todo.join(sized, "region")
-        links.append(joined.where("parts <= 1 and n > 1").select("region", "node", "shingles").groupBy("region").applyInPandas(_leaf(percent), "a binary, b binary"))
+        links.append(joined.where("parts <= 1").select("region", "node", "grp", "shingles").groupBy("region").applyInPandas(_leaf(percent), "a binary, b binary"))
         if sized.where("parts > 1").isEmpty():
             break
-        large = joined.where("parts > 1").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        order = Window.partitionBy("region").orderBy(F.xxhash64("node"), "node")
-        pivots = large.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS)
-        pivots = pivots.select("region", "node", "shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-        pivots = materialize(pivots, "pivots")  # PIVOTS rows per region and task; its own lineage, for the cogroup below
-        found = large.select("region", "salt", "node", "shingles").groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt"))
-        found = materialize(found.applyInPandas(_split(percent), "kind string, region string, node binary, shingles binary, other binary"), "voronoi")
-        links.append(found.where("kind = 'link'").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        parts = found.where("kind = 'part'").select("region", "node", "shingles")
-        after = _weigh(parts).withColumn("parent", F.regexp_extract("region", r"^(.*)\.\d+$", 1)).withColumnRenamed("parts", "parts_after")
-        before = sized.select(F.col("region").alias("parent"), F.col("n").alias("n_parent"))
-        stuck = after.join(before, "parent").where((F.col("n") > 0.8 * F.col("n_parent")) & (F.col("parts_after") > 1))
-        stuck = materialize(stuck.select("region", F.col("parts_after").alias("blocks")), "stuck")
-        if not stuck.isEmpty():
-            dealt = parts.join(stuck, "region").withColumn("block", F.pmod(F.xxhash64("node"), 2 * F.col("blocks")).cast("int"))
-            other = F.sequence(F.lit(0), 2 * F.col("blocks") - 1)
-            pair = dealt.withColumn("with", F.explode(other)).select("region", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "shingles")
-            links.append(pair.groupBy("region", "i", "j").applyInPandas(_blocks(percent), "a binary, b binary"))
-        todo = materialize(parts.join(stuck, "region", "left_anti"), "regions")
+        large = joined.where("parts > 1")
+        order = Window.partitionBy("region").orderBy(F.xxhash64("region", "node"), "node")
+        pivots = large.withColumn("nth", F.row_number().over(order) - 1).where(F.col("nth") < PIVOTS)
+        pivots = materialize(pivots.select("region", "nth", "node", "shingles", "parts"), "pivots")  # PIVOTS rows a region
+        dealt = large.select("region", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("salt"), F.lit(1).alias("turn"), "node", "shingles", F.lit(0).alias("nth"))
+        every = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("turn"), "node", "shingles", "nth")
+        rows = dealt.unionByName(every).repartition("region", "salt").sortWithinPartitions("region", "salt", "turn", "nth").drop("nth")
+        found = materialize(rows.mapInArrow(_measure(percent), _MEASURED), "measured")
+        hit = found.select("region", F.col("node").alias("a"), F.explode("links").alias("nth"))
+        links.append(hit.join(pivots.select("region", "nth", F.col("node").alias("b")), ["region", "nth"]).where("a <> b").select("a", "b"))
+
+        masks = found.where("hits > 0").groupBy("region").agg(F.collect_set("hits").alias("masks"))
+        heads = masks.mapInArrow(_heads, "region string, hits long, head int")
+        grp = F.when(F.col("head").isNotNull(), F.concat(F.lit("linked to a pivot of region "), "region", F.lit(" "), "head").cast("binary")).otherwise(F.col("grp"))
+        found = found.join(heads, ["region", "hits"], "left").select("region", "node", "head", "inside")
+        work = found.select("region", F.explode("inside").alias("k")).groupBy("region", "k").count().groupBy("region").agg(F.sum(F.pow("count", F.lit(2))).alias("pairs"))
+        plan = materialize(sized.join(work, "region").select("region", "parts", (F.col("pairs") < SHRINKS * F.pow("n", F.lit(2))).alias("shrinks")), "plan")
+        after = large.drop("n", "parts").join(found, ["region", "node"]).withColumn("grp", grp).join(plan, "region")
+        mixed = after.groupBy("region").agg((F.min("grp") != F.max("grp")).alias("mixed")).where("mixed").select("region")
+        after = materialize(after.join(mixed, "region", "left_semi"), "grouped")
+
+        fixed = after.where("not shrinks").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), 2 * F.col("parts")).cast("int"))
+        pair = fixed.withColumn("with", F.explode(F.sequence(F.lit(0), 2 * F.col("parts") - 1)))
+        pair = pair.select("region", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "grp", "shingles")
+        links.append(pair.groupBy("region", "i", "j").applyInPandas(_leaf(percent), "a binary, b binary"))
+        inner = after.where("shrinks").withColumn("k", F.explode("inside"))
+        todo = materialize(inner.select(F.concat_ws(".", "region", "k").alias("region"), "node", "grp", "shingles"), "regions")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
