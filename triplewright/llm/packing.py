@@ -8,10 +8,12 @@ counts. Only that histogram reaches the driver:
 2. best-fit decreasing packs what remains;
 3. the plan, a few intervals of ranks per length, places each piece by its rank among those of its length.
 
-Ranks are dealt by (length, salt), so a very common length is spread over ``salts`` tasks.
+Ranks are dealt by (length, salt): each length is spread over ``SALTS`` salts, a very common one over one more for
+each ``ROWS_A_SALT`` of its pieces, so no task ranks more rows than about that.
 
-Defined results: a null text counts as empty and becomes one piece that holds the end id alone; repeated
-rows are packed each on its own; an empty table gives an empty table; other columns are ignored.
+Defined results: a null text counts as empty and becomes one piece that holds the end id alone; a very long text
+is encoded whole and gives as many pieces as it needs; pieces of one length are placed by salt, id, piece and ids;
+repeated rows are packed each on its own; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from triplewright.llm.token_ids import TextEncoder
 CAPACITY = 1024
 END_ID = 2
 SALTS = 64
+ROWS_A_SALT = 1_000_000
 _CHUNK_CHARS = 4_000_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), in the order of their offsets
@@ -178,7 +181,7 @@ class Plan:
         return self.sequence[i] + k // self.many[i], self.offset[i] + k % self.many[i] * length
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
 def in_chunks(batch: pa.RecordBatch, column: int, chars: int = _CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -194,18 +197,23 @@ def in_chunks(batch: pa.RecordBatch, column: int, chars: int = _CHUNK_CHARS) ->
                 start, size = i + 1, 0
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. Texts above the capacity are cut from their end."""
+def pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32. Texts above the capacity are cut from their end.
+
+    ``special_as_text``: see :class:`TextEncoder`.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = TextEncoder(tokenizer_path)
+        encoder = _ENCODERS.get((tokenizer_path, special_as_text)) or TextEncoder(tokenizer_path, special_as_text)
+        _ENCODERS[tokenizer_path, special_as_text] = encoder
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for part, texts in in_chunks(b, 1):
                 rows = []
-                for i, ids in enumerate(_ENCODERS[tokenizer_path].encode(texts)):
+                for i, ids in enumerate(encoder.encode(texts)):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
@@ -220,12 +228,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
 def pack(found: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
     """``found`` of :func:`pieces` with sequence_id and offset (gapless from 0 in each sequence)."""
-    salted = materialize(found, "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    spark, found = found.sparkSession, materialize(found, "pieces")
+    sizes = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most `capacity` rows
+    plan = spark.sparkContext.broadcast(Plan.make(sizes, capacity))
+    dealt = F.broadcast(spark.createDataFrame([(k, max(salts, -(-n // ROWS_A_SALT))) for k, n in sizes.items()], "length long, salts long"))
+    salted = found.join(dealt, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
     cells = salted.groupBy("length", "salt").count()
-    sizes = cells.groupBy("length").agg(F.sum("count").alias("n")).collect()  # at most `capacity` rows
-    plan = salted.sparkSession.sparkContext.broadcast(Plan.make({r["length"]: r["n"] for r in sizes}, capacity))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")
-    firsts = F.broadcast(cells.select("length", "salt", before.alias("first")))  # at most capacity x salts rows
+    firsts = F.broadcast(cells.select("length", "salt", before.alias("first")))  # at most capacity x salts rows, and one per ROWS_A_SALT pieces
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("own", own).join(firsts, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("own")).alias("rank"))

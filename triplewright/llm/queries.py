@@ -86,7 +86,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False))
 
 
 @query
