@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and hands the
 table to the next stage. All stages but the last return the columns of ``documents``.
+
+Defined results, stage by stage: a text that is null or has no letters, or whose n-grams are hardly known in any
+learned language, goes at the first stage; of equal texts the row of the largest id stays (null ids lose; of rows that
+repeat id and text one stays); of near copies the row of the least id stays, rows of null id stay, and texts too
+short for a shingle of five words are one shingle each; personal data is masked and ``n_chars`` follows; every
+remaining row is packed, very long texts in several pieces. An empty table gives an empty table; extra columns
+travel to the last stage but one under any name.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places the token ids of all texts in sequences of at most 1024."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False))
 
 
 STAGES: list[tuple[str, Stage]] = [("language_id", language), ("exact_dedup", exact_copies), ("jaccard_join", near_copies), ("pii", personal_data), ("packing", pack)]
