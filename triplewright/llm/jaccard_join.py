@@ -48,7 +48,10 @@ HOT_SEEN = 20  # times that a hot key occurs among these
 HOT_KEYS = 100_000
 HOT_SALTS = 64
 SKETCH_BITS = 1024
+_SKETCHED_AT_ONCE = 1 << 23  # bits
 HUB_BLOCK = 8192  # sets of one hub compared in a task
+HUB_BYTES = 1 << 25
+FEW = 24  # sets that are compared one by one
 LEAF_SETS = 4096
 LEAF_SHINGLES = 4_000_000  # 32 MB
 SMALL = 24
@@ -327,12 +330,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity sketches, (sets, words) of 64 bits: bit i is the parity of the elements whose hash ends in i."""
-    sizes = [len(x) for x in sets]
-    at = (np.concatenate(sets) & np.uint64(SKETCH_BITS - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
-    odd = np.bincount(np.repeat(np.arange(len(sets)), sizes) * SKETCH_BITS + at, minlength=len(sets) * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(sets), SKETCH_BITS // 64)
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """Parity sketches: bit i of 2**k is the parity of the elements whose hash ends in i. There are at least as many
+    bits as elements, and ``SKETCH_BITS``, so sets of any size that differ much have sketches that do."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    out = [b""] * len(sets)
+    for n in np.unique(bits).tolist():
+        same, each = np.flatnonzero(bits == n), max(1, _SKETCHED_AT_ONCE // n)
+        for at in range(0, len(same), each):
+            part = same[at : at + each]
+            ends = (np.concatenate([sets[i] for i in part]) & np.uint64(n - 1)).astype(np.int64)
+            odd = np.bincount(np.repeat(np.arange(len(part)), sizes[part]) * n + ends, minlength=len(part) * n) & 1
+            for i, x in zip(part.tolist(), np.packbits(odd.astype(np.uint8)).reshape(len(part), -1), strict=True):
+                out[i] = x.tobytes()
+    return out
+
+
+def folded(drawn: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (sets, words of 64 bits) as sketches of fewer words: a shorter one is the parity of a longer one's parts."""
+    return np.bitwise_xor.reduce(drawn.reshape(len(drawn), -1, words), axis=1)
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -343,7 +360,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 found = shingle_sets(part.column(1).to_pylist(), width)
-                drawn = [x.tobytes() for x in sketches(found)]
+                drawn = sketches(found)
                 yield pa.record_batch([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(list(map(digest, found)), pa.binary()), pa.array(drawn, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -406,22 +423,59 @@ def seed_edges(keys: DataFrame) -> DataFrame:
     return edges.unionByName(hot).distinct()
 
 
-def _compatible(percent: int):  # noqa: ANN202
-    """Spanning edges of the pairs of a hub's sets that sizes and sketches allow to be within the threshold."""
+def _fold(sketch: int, bits: int, to: int) -> int:
+    while bits > to:
+        bits //= 2
+        sketch = sketch >> bits ^ sketch & ((1 << bits) - 1)
+    return sketch
+
+
+def _few(size: list[int], sketch: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that sizes and sketches allow, of a few sets in the order of their sizes."""
+    drawn, bits = [int.from_bytes(x, "little") for x in sketch], [8 * len(x) for x in sketch]
+    for x in range(len(size)):
+        for y in range(x + 1, len(size)):
+            if 100 * size[x] >= percent * size[y]:
+                differ = (drawn[x] ^ _fold(drawn[y], bits[y], bits[x])).bit_count()
+                if (100 + percent) * differ <= (100 - percent) * (size[x] + size[y]):
+                    yield x, y
+
+
+def _many(size: np.ndarray, sketch: list[bytes], percent: int, group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The same for many sets, without pairs of one ``group``, which grows as the pairs are taken."""
+    words = np.array([len(x) // 8 for x in sketch])  # rises with the size
+    drawn = {n: np.frombuffer(b"".join([x for x in sketch if len(x) == 8 * n]), np.uint64).reshape(-1, n) for n in np.unique(words).tolist()}
+    first = {n: int(np.searchsorted(words, n)) for n in drawn}
+    reach = np.searchsorted(size, 100 * size // percent, "right").tolist()  # up to the largest that a set may be linked to
+    for short, own in drawn.items():
+        at = first[short]
+        for long, theirs in drawn.items():
+            far = first[long]
+            if long < short or reach[at + len(own) - 1] <= far:
+                continue
+            theirs = folded(theirs, short)
+            for x in range(at, at + len(own)):
+                rest = np.arange(max(x + 1, far), min(reach[x], far + len(theirs)))
+                rest = rest[group[rest] != group[x]]
+                if len(rest):
+                    differ = np.bitwise_count(theirs[rest - far] ^ own[x - at]).sum(1, dtype=np.int64)
+                    for y in rest[(100 + percent) * differ <= (100 - percent) * (size[rest] + size[x])].tolist():
+                        yield x, y
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["node", "sketch"])
-        bits = np.frombuffer(b"".join(pdf.sketch), np.uint64).reshape(len(pdf), -1)
-        size, node, group, edges = pdf.n_shingles.to_numpy(), pdf.node.to_numpy(), np.arange(len(pdf)), []
-        for x in range(len(pdf) - 1):
-            rest = x + 1 + np.flatnonzero(group[x + 1 :] != group[x])
-            rest = rest[(100 * size[rest] >= percent * size[x]) & (100 * size[x] >= percent * size[rest])]
-            differ = np.bitwise_count(bits[rest] ^ bits[x]).sum(1, dtype=np.int64)  # at most the sets' difference, at most this share of the sizes
-            for y in rest[(100 + percent) * differ <= (100 - percent) * (size[rest] + size[x])]:
-                if group[y] != group[x]:
-                    edges.append((node[x], node[y]))
-                    group[group == group[y]] = group[x]
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+def _compatible(percent: int):  # noqa: ANN202
+    """Spanning edges of the pairs of a hub's sets that sizes and sketches allow to be within the threshold: sketches
+    differ in at most as many bits as the sets in elements, and that is at most a certain share of both sizes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(set(zip(table["n_shingles"].to_pylist(), table["node"].to_pylist(), table["sketch"].to_pylist(), strict=True)))
+        size, node, sketch = map(list, zip(*rows, strict=True))
+        group, edges = np.arange(len(rows)), []
+        for x, y in _few(size, sketch, percent) if len(rows) <= FEW else _many(np.array(size), sketch, percent, group):
+            if group[y] != group[x]:
+                edges.append((node[x], node[y]))
+                group[group == group[y]] = group[x]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
 
@@ -430,15 +484,18 @@ def refined(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Seed edges without pairs that sketches exclude.
 
     All sets that share a key have an edge to the same head, so the sets around a head hold every link that the
-    key stands for. A head with more than ``HUB_BLOCK`` sets is compared block against block.
+    key stands for. A head with more than ``HUB_BLOCK`` sets, or ``HUB_BYTES`` of sketches, is compared block against
+    block.
     """
     members = edges.select(F.col("b").alias("hub"), F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("hub"), F.col("b").alias("node"))).distinct()
     known = sets.select(_brief().alias("node"), "n_shingles", "sketch").distinct()
-    blocks = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "hub").join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(known, "node")
+    load = F.greatest(F.count(F.lit(1)) / HUB_BLOCK, F.sum(F.octet_length("sketch")) / HUB_BYTES)
+    blocks = members.groupBy("hub").agg(F.ceil(load).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = pair.select("hub", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n_shingles", "sketch")
-    return pair.groupBy("hub", "i", "j").applyInPandas(_compatible(percent), "a long, b long").distinct()
+    return pair.groupBy("hub", "i", "j").applyInArrow(_compatible(percent), "a long, b long").distinct()
 
 
 def _brief() -> Column:
