@@ -1,18 +1,20 @@
 """Language-model scores: a causal self-attention model in numpy on subword ids, beside a unigram base.
 
 Tokens of the base are lower-cased words and one end per text. Its counts cover all training texts: words are
-counted in every partition and combined by a shuffle. Of the counts, the ``FREQUENT_WORDS`` largest go to all
+counted in every partition and combined by a shuffle. Of the counts, up to ``FREQUENT_WORDS`` of the largest go to all
 tasks; occurrences of other words are joined with the full table by shuffle.
 
 The model reads subword ids. The next id's probability is that of its class, given by one causal attention
-layer over the window, times its share of the class's count over all training texts. Texts are scored in
+layer over the window, times its share of the class's count over all training texts. It reads a text as its
+lower-cased words with one blank before each, and that form is what it gives the probability of. Texts are scored in
 windows of ``WINDOW`` inputs that overlap by half; each id is scored once, with at least half a window of
 context where the text has it. Training runs on the executors, ``EPOCHS`` times over all training texts, on the
 same windows over every id of each text and its end: each task trains from the common parameters, in steps of
 ``BATCH`` windows, and the changes are averaged, row by row of the parameter matrix, by an aggregation.
 
 Defined results: a null text counts as empty and has one token, its end; rows that repeat an id and a text
-get equal rows; words of no letters are words like others; without training texts all counts are 0 and the
+get equal rows; words of no letters are words like others; of words and ids of equal count the lesser id comes first
+in the classes; a very long text is scored whole, window by window; without training texts all counts are 0 and the
 model is its random start; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -22,6 +24,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +32,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triplewright.llm.common import materialize, whole
+from triplewright.llm.packing import in_chunks
 from triplewright.llm.token_ids import TextEncoder
 
-WINDOW = 16
+WINDOW = 32
 DIM = 16
 CLASSES = 64
 EPOCHS = 1
-BATCH = 512
+BATCH = 128  # windows of a training step
 RATE = 0.1
 FREQUENT_WORDS = 200_000
 _COUNTED = 300_000
+_LEXICON = 300_000
+_CHUNK_CHARS = 2_000_000
 _STEP = WINDOW // 2
-_SCORE_BATCH = 1024
+_SCORED_AT_ONCE = 128  # windows, so that their arrays stay in the cache
+_MOST = 60.0  # of an exponent
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -81,24 +88,73 @@ def subwords(encoder: TextEncoder, words: list[bytes]) -> np.ndarray:
     return np.frombuffer(encoder.encode([(b" " + b" ".join(words)).decode()])[0], "<u4").astype(np.int64) if words else np.zeros(0, np.int64)
 
 
+_END = b"\xff"  # in no word of a text: UTF-8 has no such byte
+
+
+class _Numbers(dict):
+    """Numbers in the order of first look-ups."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Lexicon:
+    """Subword ids of the words of a Python worker, each distinct word encoded once (a bounded number of them is kept),
+    and a number for each word that ``logs`` knows."""
+
+    def __init__(self, encoder: TextEncoder, end_id: int, logs: dict[bytes, float] | None = None, most: int = _LEXICON):
+        self.encoder, self.end_id, self.logs, self.most = encoder, end_id, logs or {}, most
+        self.starts = np.array([encoder.engine.decode_single_token_bytes(i)[:1] == b" " for i in range(encoder.engine.max_token_value + 1)], np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        """Number 0 is the end of a text."""
+        self.index = _Numbers({_END: 0})
+        self.names: list[bytes] = [_END]
+        self.pool, self.at, self.size = np.array([self.end_id], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.log = np.zeros(1)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word; new ones are encoded."""
+        found = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if new := list(islice(self.index, len(self.names), None)):
+            self.names += new
+            ids = subwords(self.encoder, new)
+            owner = np.cumsum(self.starts[ids]) - 1  # a token that starts with a blank starts a word
+            if owner[-1] == len(new) - 1:
+                size = np.bincount(owner, minlength=len(new))
+            else:
+                parts = [subwords(self.encoder, [w]) for w in new]
+                ids, size = np.concatenate(parts), np.array([len(x) for x in parts])
+            self.at = np.concatenate([self.at, len(self.pool) + size.cumsum() - size])
+            self.size, self.pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids.astype(np.int32)])
+            self.log = np.concatenate([self.log, [self.logs.get(w, np.nan) for w in new]])
+        return found
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with its end; ids per text; numbers of the words with the ends; words per text."""
+        if len(self.names) > self.most:
+            self.clear()
+        numbers = self.numbers(b"".join([t.encode() + b" " + _END + b" " for t in texts]).lower().split())
+        counts = np.diff(np.flatnonzero(numbers == 0), prepend=-1)
+        size = self.size[numbers]
+        to = size.cumsum()
+        ids = self.pool[np.repeat(self.at[numbers] - to + size, size) + np.arange(to[-1] if len(to) else 0)]
+        return ids, np.add.reduceat(size, counts.cumsum() - counts), numbers, counts
+
+
 def subword_counts(counts: DataFrame, path: str, vocabulary: int) -> np.ndarray:
     """Count of each subword id over all training texts, from the word counts (each distinct word is encoded once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, n = _encoder(path), np.zeros(vocabulary, np.int64)
-        starts = np.zeros(vocabulary, np.int64)
-        starts[[i for i in range(vocabulary) if i < encoder.engine.max_token_value + 1 and encoder.engine.decode_single_token_bytes(i)[:1] == b" "]] = 1
+        n, lexicon = np.zeros(vocabulary, np.int64), Lexicon(_encoder(path), 0)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                words, c = part.column(0).to_pylist(), part.column(1).to_numpy()
-                found = subwords(encoder, words)
-                owner = np.cumsum(starts[found]) - 1  # a token that starts with a blank starts a word
-                if owner[-1] == len(words) - 1:
-                    n += np.bincount(found, c[owner], vocabulary).astype(np.int64)
-                else:
-                    for word, k in zip(words, c.tolist(), strict=True):
-                        np.add.at(n, subwords(encoder, [word]), k)
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                lexicon.clear()
+                lexicon.numbers(part.column(0).to_pylist())
+                n += np.bincount(lexicon.pool[1:], np.repeat(part.column(1).to_numpy(), lexicon.size[1:]), vocabulary).astype(np.int64)
         ids = np.flatnonzero(n)
         yield pa.record_batch([pa.array(ids), pa.array(n[ids])], ["id", "n"])
 
@@ -149,80 +205,99 @@ class Attention:
             at += rows
         return out
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """Per id: query (scaled), key, value, and the embedding; the last row stands for padding."""
-        d, e = self.dense(), self.matrix[: self.vocabulary + 1]
-        return e @ d["query"] / np.float32(DIM**0.5), e @ d["key"], e @ d["value"], e
 
+#: How far back each input of a window is from each scored position, and whether it is visible.
+_BACK = _STEP + np.arange(_STEP)[:, None] - np.arange(WINDOW)[None, :]
+_SEEN = _BACK >= 0
 
-def _mask() -> tuple[np.ndarray, np.ndarray]:
-    """For each scored position and input of a window: how far back the input is, and whether it is visible."""
-    back = _STEP + np.arange(_STEP)[:, None] - np.arange(WINDOW)[None, :]
-    return back, back >= 0
 
+def windows_of(ids: np.ndarray, padding: int, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (n, WINDOW) and targets (n, _STEP) over a text's ids; -1 pads the targets."""
+    blocks, targets = strip_of(ids, np.array([len(ids)]), padding, begin)
+    return np.concatenate([blocks[:-1], blocks[1:]], 1), targets
 
-_BACK, _SEEN = _mask()
 
+def strip_of(ids: np.ndarray, sizes: np.ndarray, padding: int, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' windows as one strip, given their ids end to end: blocks (n + 1, _STEP) of inputs and targets (n, _STEP).
 
-def _weights(scores: np.ndarray, near: np.ndarray, inputs: np.ndarray, padding: int) -> np.ndarray:
-    """Masked softmax over the inputs of each window, in place."""
-    scores += np.where(_SEEN, near[np.clip(_BACK, 0, WINDOW - 1)], np.float32(-1e9))
-    if (inputs[:, 0] == padding).any():
-        scores += np.where(inputs == padding, np.float32(-1e9), np.float32(0))[:, None, :]
-    scores -= scores.max(2, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(2, keepdims=True)
-    return scores
+    Window i is blocks i and i + 1; its targets belong to the second. Each text has a block of padding, then
+    its inputs from ``begin`` on. Windows that end in a block of padding have no targets (-1).
+    """
+    count = -(-sizes // _STEP) + 1
+    first = (count.cumsum() - count + 1) * _STEP
+    at = np.repeat(first - (sizes.cumsum() - sizes), sizes) + np.arange(len(ids))
+    inputs, targets = np.full(count.sum() * _STEP, padding, np.int32), np.full(count.sum() * _STEP, -1, np.int32)
+    targets[at] = ids
+    inner = np.ones(len(ids), bool)
+    inner[sizes.cumsum()[sizes > 0] - 1] = False
+    inputs[at[inner] + 1] = ids[inner]
+    inputs[first[sizes > 0]] = begin
+    return inputs.reshape(-1, _STEP), targets.reshape(-1, _STEP)[1:]
 
 
-def windows_of(ids: np.ndarray, padding: int, begin: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (n, WINDOW) and targets (n, _STEP) over a text's ids; -1 pads the targets."""
-    n = -(-len(ids) // _STEP)
-    inputs = np.full((n + 1) * _STEP, padding, np.int64)
-    inputs[_STEP] = begin
-    inputs[_STEP + 1 : _STEP + len(ids)] = ids[:-1]
-    targets = np.full(n * _STEP, -1, np.int64)
-    targets[: len(ids)] = ids
-    at = np.arange(n)[:, None] * _STEP + np.arange(WINDOW)[None, :]
-    return inputs[at], targets.reshape(n, _STEP)
+def _apart(inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Any windows as a strip: between two of them is one without targets."""
+    blocks = inputs.reshape(-1, _STEP)
+    out = np.full((len(blocks) - 1, _STEP), -1, np.int64)
+    out[::2] = targets
+    return blocks, out
+
+
+def _in_windows(rows: np.ndarray) -> np.ndarray:
+    """(n + 1, _STEP, columns) by block as an overlapping view (n, WINDOW, columns)."""
+    a, b, c = rows.strides
+    return np.lib.stride_tricks.as_strided(rows, (len(rows) - 1, WINDOW, rows.shape[2]), (a, b, c), writeable=False)
+
+
+def _bias(near: np.ndarray) -> np.ndarray:
+    return np.where(_SEEN, near[np.clip(_BACK, 0, WINDOW - 1)], near.dtype.type(-1e9))
+
+
+def _attend(query: np.ndarray, key: np.ndarray, bias: np.ndarray, padded: np.ndarray) -> np.ndarray:
+    """Unnormalised attention of each scored position to the inputs of its window, exp(scores), 0 where hidden."""
+    scores = query @ key.transpose(0, 2, 1)
+    scores += bias
+    scores[padded, :, :_STEP] = -1e9  # the first block of these windows is padding
+    np.minimum(scores, _MOST, out=scores)
+    return np.exp(scores, out=scores)
 
 
 class Scorer:
     def __init__(self, model: Attention, classes: np.ndarray, within: np.ndarray):
-        self.query, self.key, self.value, self.embedding = model.tables()
-        d = model.dense()
-        self.mix = np.concatenate([d["out"].T, d["skip"].T])  # (2 DIM, CLASSES)
-        self.bias, self.near = d["bias"].reshape(-1), d["near"].reshape(-1)
+        d, e = model.dense(), model.matrix[: model.vocabulary + 1]
+        one = np.ones((len(e), 1), e.dtype)
+        self.table = np.concatenate([e @ d["query"] / e.dtype.type(DIM**0.5), e @ d["key"], e @ d["value"], one], 1)  # by id
+        self.skip = e @ d["skip"].T + d["bias"].reshape(-1)
+        self.out, self.bias = np.ascontiguousarray(d["out"].T), _bias(d["near"].reshape(-1))
         self.classes, self.within, self.padding = classes, within, model.vocabulary
 
+    def strip(self, blocks: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """log10 probabilities (n, _STEP) of the targets; 0 where there is none."""
+        out = np.zeros(targets.shape)
+        for at in range(0, len(targets), _SCORED_AT_ONCE):
+            part, goal = blocks[at : at + _SCORED_AT_ONCE + 1], targets[at : at + _SCORED_AT_ONCE].reshape(-1)
+            rows = self.table[part]
+            seen = _in_windows(rows)
+            weights = _attend(rows[1:, :, :DIM], seen[:, :, DIM : 2 * DIM], self.bias, part[:-1, 0] == self.padding)
+            mixed = weights @ seen[:, :, 2 * DIM :]  # the last column is the sum of the weights
+            mixed = (mixed[:, :, :DIM] / mixed[:, :, DIM:]).reshape(-1, DIM)
+            logits = mixed @ self.out
+            logits += self.skip[part[1:].reshape(-1)]
+            picked = logits[np.arange(len(goal)), self.classes[goal]].astype(float)
+            np.minimum(logits, _MOST, out=logits)
+            picked -= np.log(np.exp(logits, out=logits).sum(1))
+            out[at : at + _SCORED_AT_ONCE] = np.where(goal >= 0, picked / np.log(10) + self.within[goal], 0.0).reshape(-1, _STEP)
+        return out
+
     def log10(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log10 probabilities (n, _STEP) of the targets; 0 at padding."""
-        scored = inputs[:, _STEP:]
-        weights = _weights(self.query[scored] @ self.key[inputs].transpose(0, 2, 1), self.near, inputs, self.padding)
-        mixed = np.concatenate([weights @ self.value[inputs], self.embedding[scored]], 2).reshape(-1, 2 * DIM)
-        logits = mixed @ self.mix + self.bias
-        logits -= logits.max(1, keepdims=True)
-        goal = targets.reshape(-1)
-        picked = logits[np.arange(len(goal)), self.classes[goal]] - np.log(np.exp(logits).sum(1))
-        return np.where(goal >= 0, picked / np.log(10) + self.within[goal], 0.0).reshape(targets.shape)
-
-    def score(self, texts: list[np.ndarray], begin: int) -> np.ndarray:
-        """log10 probability of each id sequence."""
-        pairs = [windows_of(ids, self.padding, begin) for ids in texts]
-        inputs, targets = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        found = np.concatenate([self.log10(inputs[at : at + _SCORE_BATCH], targets[at : at + _SCORE_BATCH]).sum(1) for at in range(0, len(inputs), _SCORE_BATCH)])
-        ends = np.cumsum([len(p[0]) for p in pairs])
-        return np.add.reduceat(found, np.concatenate([[0], ends[:-1]]))
-
-
-def _by_row(x: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of ``x`` that belong to each of ``n`` rows."""
-    rows = rows.reshape(-1)
-    order = np.argsort(rows, kind="stable")
-    found, first = np.unique(rows[order], return_index=True)
-    out = np.zeros((n, x.shape[1]), np.float32)
-    out[found] = np.add.reduceat(x[order], first, 0)
-    return out
+        """The same for any windows, inputs (n, WINDOW)."""
+        return self.strip(*_apart(inputs, targets))[::2]
+
+    def score(self, ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
+        """log10 probability of each text's ids, given end to end; each text has one at least."""
+        blocks, targets = strip_of(ids, sizes, self.padding, begin)
+        found, count = np.concatenate([[0.0], self.strip(blocks, targets).sum(1)]), -(-sizes // _STEP) + 1
+        return np.add.reduceat(found, count.cumsum() - count)
 
 
 class Trainer:
@@ -234,19 +309,24 @@ class Trainer:
         self.squares = np.full_like(model.matrix, 1e-2)
 
     def step(self, inputs: np.ndarray, targets: np.ndarray) -> float:
-        m, d = self.m, self.m.dense()
-        scale = np.float32(DIM**-0.5)
-        rows, at = np.unique(inputs, return_inverse=True)  # each id's query, key and value are computed once
-        at = at.reshape(inputs.shape)
-        goes = at[:, _STEP:]
-        e = m.matrix[rows]
-        eq = e[goes]
-        q, k, v = (e @ d["query"])[goes], (e @ d["key"])[at], (e @ d["value"])[at]
-        w = _weights(q @ k.transpose(0, 2, 1) * scale, d["near"].reshape(-1), inputs, m.vocabulary)
-        a = w @ v
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        z = flat(a) @ d["out"].T + flat(eq) @ d["skip"].T + d["bias"].reshape(-1)
-        z -= z.max(1, keepdims=True)
+        """One step on any windows; the mean loss of their targets before it."""
+        return self.strip(*_apart(inputs, targets))
+
+    def strip(self, blocks: np.ndarray, targets: np.ndarray) -> float:
+        """One step on a strip of windows (see :func:`strip_of`)."""
+        m, d, n = self.m, self.m.dense(), len(targets)
+        scale = m.matrix.dtype.type(DIM**-0.5)
+        into = np.concatenate([d["query"] * scale, d["key"], d["value"]], 1)  # (DIM, 3 DIM)
+        e = m.matrix[blocks.reshape(-1)]
+        rows = (e @ into).reshape(n + 1, _STEP, 3 * DIM)
+        seen = _in_windows(rows)
+        q, k, v = rows[1:, :, :DIM], seen[:, :, DIM : 2 * DIM], seen[:, :, 2 * DIM :]
+        w = _attend(q, k, _bias(d["near"].reshape(-1)), blocks[:-1, 0] == m.vocabulary)
+        w /= w.sum(2, keepdims=True)
+        one = np.ones((n * _STEP, 1), e.dtype)
+        x = np.concatenate([(w @ v).reshape(-1, DIM), e[_STEP:], one], 1)
+        z = x @ np.concatenate([d["out"], d["skip"], d["bias"].reshape(-1, 1)], 1).T
+        np.minimum(z, _MOST, out=z)
         p = np.exp(z, out=z)
         p /= p.sum(1, keepdims=True)
         goal = targets.reshape(-1)
@@ -255,36 +335,40 @@ class Trainer:
         picked = p[each, goal]
         loss = -np.log(picked[real] + 1e-12).mean() if real.any() else 0.0
         p[each, goal] -= 1
-        p *= (real / max(1, real.sum())).astype(np.float32)[:, None]
+        p *= (real / max(1, real.sum())).astype(p.dtype)[:, None]
         dz = p
-        dense = np.zeros((len(m.matrix) - m.vocabulary - 1, DIM), np.float32)
-        g, first = {}, 0
-        for name, x in d.items():
-            g[name] = dense[first : first + len(x)]
-            first += len(x)
-        g["out"] += dz.T @ flat(a)
-        g["skip"] += dz.T @ flat(eq)
-        g["bias"] += dz.sum(0).reshape(-1, DIM)
-        da = (dz @ d["out"]).reshape(a.shape)
+        g_dense = dz.T @ x
+        dx = dz @ np.concatenate([d["out"], d["skip"]], 1)  # to the mix and to the input itself
+        da = dx[:, :DIM].reshape(n, _STEP, DIM)
+        back = np.zeros((n + 1, _STEP, 3 * DIM), e.dtype)  # to query, key and value of each input
         dw = da @ v.transpose(0, 2, 1)
-        dv = w.transpose(0, 2, 1) @ da
-        ds = w * (dw - (dw * w).sum(2, keepdims=True))
-        by_back = np.bincount(np.clip(_BACK, 0, WINDOW - 1).reshape(-1), (ds.sum(0) * _SEEN).reshape(-1), WINDOW)
-        g["near"] += by_back.reshape(-1, DIM).astype(np.float32)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-        dq = _by_row(np.concatenate([flat(dq), dz @ d["skip"]], 1), goes, len(rows))
-        dk = _by_row(np.concatenate([flat(dk), flat(dv)], 1), at, len(rows))
-        (dq, deq), (dk, dv) = np.split(dq, 2, 1), np.split(dk, 2, 1)
-        g["query"] += e.T @ dq
-        g["key"] += e.T @ dk
-        g["value"] += e.T @ dv
-        de = deq + dq @ d["query"].T + dk @ d["key"].T + dv @ d["value"].T
-        ids = rows != m.vocabulary
-        touched = np.concatenate([rows[ids], np.arange(m.vocabulary + 1, len(m.matrix))])
-        grad = np.concatenate([de[ids], dense])
+        dw -= (dx[:, :DIM] * x[:, :DIM]).sum(1).reshape(n, _STEP, 1)
+        dw *= w
+        back[1:, :, :DIM] = dw @ k
+        dk, dv = dw.transpose(0, 2, 1) @ q, w.transpose(0, 2, 1) @ da
+        for to, g in ((slice(DIM, 2 * DIM), dk), (slice(2 * DIM, None), dv)):
+            back[:-1, :, to] = g[:, :_STEP]
+            back[1:, :, to] += g[:, _STEP:]
+        back = back.reshape(-1, 3 * DIM)
+        de = back @ into.T
+        de[_STEP:] += dx[:, DIM:]
+        into_g = e.T @ back
+        by_back = np.bincount(np.clip(_BACK, 0, WINDOW - 1).reshape(-1), (dw.sum(0) * _SEEN).reshape(-1), WINDOW)
+        dense = np.concatenate([into_g[:, :DIM] * scale, into_g[:, DIM : 2 * DIM], into_g[:, 2 * DIM :], g_dense[:, :DIM], g_dense[:, DIM : 2 * DIM], g_dense[:, -1].reshape(-1, DIM), by_back.reshape(-1, DIM).astype(e.dtype)])
+
+        ids = blocks.reshape(-1)
+        order = np.argsort(ids.astype(np.uint16) if m.vocabulary < 1 << 16 else ids, kind="stable")
+        sorted_ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+        found, sums = sorted_ids[first], np.add.reduceat(de[order], first, 0)
+        if found[-1] == m.vocabulary:  # padding, the largest
+            found, sums = found[:-1], sums[:-1]
+        touched = np.concatenate([found, np.arange(m.vocabulary + 1, len(m.matrix))])
+        grad = np.concatenate([sums, dense])
         self.seen[touched] += 1
-        self.squares[touched] += grad**2
-        m.matrix[touched] -= RATE * grad / np.sqrt(self.squares[touched])
+        squares = self.squares[touched] + grad**2
+        self.squares[touched] = squares
+        m.matrix[touched] -= RATE * grad / np.sqrt(squares)
         return float(loss)
 
 
@@ -297,37 +381,29 @@ def train(training: DataFrame, path: str, classes: np.ndarray, vocabulary: int,
         shared = spark.sparkContext.broadcast((model.matrix, classes))  # about 4 MB, fixed by the vocabulary
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            encoder, (matrix, classes) = _encoder(path), shared.value
+            lexicon, (matrix, classes) = Lexicon(_encoder(path), begin), shared.value
             t = Trainer(Attention(matrix.copy(), vocabulary), classes)
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def steps(least: int) -> None:
-                """Steps over the windows held, until fewer than ``least`` remain."""
-                nonlocal size
-                inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
-                at = 0
-                while len(inputs) - at >= least:
-                    t.step(inputs[at : at + BATCH], targets[at : at + BATCH])
-                    at += BATCH
-                held[:] = [(inputs[at:], targets[at:])]
-                size = len(held[0][0])
-
+            blocks, targets = np.zeros((0, _STEP), np.int32), np.zeros((0, _STEP), np.int32)
             for b in batches:
-                for text in b.column(0).to_pylist():
-                    pair = windows_of(np.append(subwords(encoder, words_of(text)), begin), vocabulary, begin)
-                    held.append(pair)
-                    size += len(pair[0])
-                    if size >= BATCH:
-                        steps(BATCH)
-            if size:
-                steps(1)
+                for _, texts in in_chunks(b, 0, _CHUNK_CHARS):
+                    ids, sizes, _, _ = lexicon.read(texts)
+                    more, goals = strip_of(ids, sizes, vocabulary, begin)
+                    at = 0
+                    if len(blocks):  # what the last texts left over, then a window without targets
+                        goals = np.concatenate([targets, np.full((1, _STEP), -1, np.int32), goals])
+                        more = np.concatenate([blocks, more])
+                    while len(goals) - at >= BATCH:
+                        t.strip(more[at : at + BATCH + 1], goals[at : at + BATCH])
+                        at += BATCH
+                    blocks, targets = more[at:], goals[at:]
+            if len(targets):
+                t.strip(blocks, targets)
             rows = np.flatnonzero(t.seen)
             change = (t.m.matrix[rows] - matrix[rows]).astype(np.float64) * t.seen[rows, None]
             yield pa.record_batch([pa.array(rows), pa.array(t.seen[rows]), *map(pa.array, change.T)], ["row", "n", *columns])
 
         schema = "row long, n long, " + ", ".join(f"{c} double" for c in columns)
-        found = training.select("text").mapInArrow(run, schema).groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in columns)).toPandas()
+        found = training.select("text").mapInArrow(run, schema).groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in columns)).toPandas()  # at most one row per parameter row
         matrix = model.matrix.copy()
         matrix[found["row"].to_numpy(np.int64)] += (found[columns].to_numpy() / found[["n"]].to_numpy()).astype(np.float32)
         model = Attention(matrix, vocabulary)
@@ -341,6 +417,20 @@ def _base(c: Column, total: int, distinct: int) -> Column:
     return F.log10((c + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
 
 
+def _frequent(counts: DataFrame, most: int = FREQUENT_WORDS) -> dict[bytes, int]:
+    """Counts of the words from some count on, at most ``most``. The rest isn't lost: it is joined by shuffle."""
+    grade = F.floor(8 * F.log2("c")).cast("int")  # a few hundred grades
+    grades = sorted(((r["grade"], r["count"]) for r in counts.groupBy(grade.alias("grade")).count().collect()), reverse=True)
+    least, held = None, 0
+    for g, n in grades:
+        if held + n > most:
+            break
+        least, held = g, held + n
+    if least is None:
+        return {}
+    return {bytes(w): int(c) for w, c in counts.where(grade >= least).select("word", "c").toPandas().itertuples(index=False)}
+
+
 _STATE: dict[str, tuple] = {}
 
 
@@ -361,32 +451,34 @@ def score(docs: DataFrame, in_training: Column, path: str, vocabulary: int, end_
     classes, within = classes_of(by_id, kinds)
     model = train(training, path, classes, vocabulary, end_id)
 
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS)
-    frequent = {bytes(w): int(c) for w, c in top.toPandas().itertuples(index=False)}
+    frequent = _frequent(counts)
     shared, key = spark.sparkContext.broadcast((model, classes, within, frequent)), uuid.uuid4().hex  # all of bounded size
     last = np.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
 
-    def state() -> tuple[Scorer, dict[bytes, float]]:
+    def state() -> tuple[Scorer, Lexicon]:
         if key not in _STATE:
             _STATE.clear()
             model, classes, within, frequent = shared.value
-            logs = {w: float(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))) for w, c in frequent.items()}
-            _STATE[key] = Scorer(model, classes, within), logs
+            logs = dict(zip(frequent, np.log10((np.array(list(frequent.values())) + 0.5) / (total + 0.5 * (distinct + 1))).tolist(), strict=True))
+            _STATE[key] = Scorer(model, classes, within), Lexicon(_encoder(path), end_id, logs)
         return _STATE[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (scorer, logs) = _encoder(path), state()
+        scorer, lexicon = state()
         for b in batches:
-            for at in range(0, b.num_rows, 100):
-                part = b.slice(at, 100)
-                words = [words_of(t) for t in part.column(1).to_pylist()]
-                ids = [np.append(subwords(encoder, w), end_id) for w in words]
-                base = [[logs[x] for x in w if x in logs] for w in words]
-                other = [Counter(x for x in w if x not in logs) for w in words]
-                ends_ = pa.array(np.concatenate([[0], np.cumsum([len(o) for o in other])]), pa.int32())
-                rare = pa.StructArray.from_arrays([pa.array([x for o in other for x in o], pa.binary()), pa.array([n for o in other for n in o.values()], pa.int32())], ["word", "tf"])
+            for part, texts in in_chunks(b, 1, _CHUNK_CHARS):
+                ids, sizes, numbers, counts_ = lexicon.read(texts)
+                logs, first = lexicon.log[numbers], counts_.cumsum() - counts_
+                rare = np.isnan(logs)
+                owner = np.repeat(np.arange(len(texts)), counts_)[rare]
+                found, times = np.unique(owner << 40 | numbers[rare], return_counts=True)
+                bounds = pa.array(np.searchsorted(found >> 40, np.arange(len(texts) + 1)).astype(np.int32))
+                names = [lexicon.names[i] for i in (found & (1 << 40) - 1).tolist()]
+                words = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times.astype(np.int32))], ["word", "tf"])
+                known = np.add.reduceat((~rare).astype(np.int64), first) - (ends == 0)
+                base = np.add.reduceat(np.where(rare, 0.0, logs), first) + last
                 yield pa.record_batch(
-                    [part.column(0), part.column(2), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array([len(x) + (ends > 0) for x in base], pa.int64()), pa.array([float(np.sum(x)) + last for x in base]), pa.array(scorer.score(ids, end_id)), pa.ListArray.from_arrays(ends_, rare)],
+                    [part.column(0), part.column(2), pa.array(counts_), pa.array(known), pa.array(base), pa.array(scorer.score(ids, sizes, end_id)), pa.ListArray.from_arrays(bounds, words)],
                     ["doc_id", "text_key", "n_tokens", "n_known", "base_score", "score", "rare"],
                 )
 
