@@ -1,16 +1,20 @@
 """Graph expansion, ranking and the safety gate on edge tables (src, rel, dst, confidence).
 
-Seeds are small request arguments; the frontier of a second hop is a table and joined, not collected. All
+Seeds are small request arguments, and so is the frontier of a second hop, which has a limit. All
 limits come after a total order, so results don't depend on partitioning.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from triplewright.functions.parsing import WRITE_WORDS
+
+WRITES = re.compile(rf"\b({'|'.join((*WRITE_WORDS, 'INSERT', 'UPDATE', 'ALTER', 'TRUNCATE', 'OVERWRITE'))})\b", re.IGNORECASE)
 KEY = ["src", "rel", "dst"]
 
 
@@ -28,21 +32,49 @@ def safety_edges(edges: DataFrame, seeds: Sequence[str], relation: str) -> DataF
     return rated(touching(edges.where(F.col("rel") == relation), seeds)).withColumn("hop", F.lit(1))
 
 
-def hop1(edges: DataFrame, seeds: Sequence[str], excluding: str) -> DataFrame:
-    """Q02: one hop in both directions, without the safety relation."""
-    return rated(touching(edges.where(F.col("rel") != excluding), seeds)).withColumn("hop", F.lit(1))
+def _cut(rows: DataFrame, most: int | None) -> DataFrame:
+    return rows if most is None else rows.orderBy(*KEY).limit(most)
+
+
+def hop1(edges: DataFrame, seeds: Sequence[str], excluding: str, most: int | None = None) -> DataFrame:
+    """Q02: one hop in both directions, without the safety relation; at most the first ``most`` edges by their key."""
+    return _cut(rated(touching(edges.where(F.col("rel") != excluding), seeds)), most).withColumn("hop", F.lit(1))
 
 
-def hop2(edges: DataFrame, first: DataFrame, nodes: DataFrame, seeds: Sequence[str], through: Sequence[str], to: Sequence[str], frontier: int) -> DataFrame:
-    """Q03: edges between up to ``frontier`` neighbours (by id, of labels ``through``) and nodes of labels ``to``."""
+def frontier(first: DataFrame, nodes: DataFrame, seeds: Sequence[str], through: Sequence[str], most: int) -> list[str]:
+    """Q03: up to ``most`` neighbours (by id) of labels ``through``; so few that they are literals of the next hop."""
     ends = first.select(F.explode(F.array("src", "dst")).alias("id")).distinct().where(~F.col("id").isin(*seeds))
-    labels = nodes.select("id", "label")
-    chosen = ends.join(labels.where(F.col("label").isin(*through)), "id", "left_semi").orderBy("id").limit(frontier)
-    chosen = F.broadcast(chosen)  # at most `frontier` rows
-    out = edges.join(chosen, F.col("src") == chosen["id"], "left_semi").select(*edges.columns, F.col("dst").alias("far"))
-    back = edges.join(chosen, F.col("dst") == chosen["id"], "left_semi").select(*edges.columns, F.col("src").alias("far"))
-    reached = out.unionByName(back).join(labels.where(F.col("label").isin(*to)), F.col("far") == labels["id"], "left_semi")
-    return rated(reached.drop("far").distinct()).withColumn("hop", F.lit(2))
+    chosen = ends.join(nodes.where(F.col("label").isin(*through)).select("id"), "id", "left_semi")
+    return [r["id"] for r in chosen.orderBy("id").limit(most).collect()]
+
+
+def hop2(near: DataFrame, chosen: Sequence[str], nodes: DataFrame, to: Sequence[str], most: int | None = None) -> DataFrame:
+    """Q03: edges (``near``: those at a chosen id, at least) between the frontier and nodes of labels ``to``."""
+    one = touching(near, chosen)
+    far = F.explode(F.array_compact(F.array(F.when(F.col("src").isin(*chosen), F.col("dst")), F.when(F.col("dst").isin(*chosen), F.col("src")))))
+    labels = nodes.where(F.col("label").isin(*to)).select(F.col("id").alias("far"))
+    reached = one.withColumn("far", far).join(labels, "far", "left_semi").select(*KEY, "confidence").distinct()
+    return _cut(rated(reached), most).withColumn("hop", F.lit(2))
+
+
+def safety_of(edges: DataFrame, relation: str, name: str) -> DataFrame:
+    """Q04: what the safety relation ties to nodes whose id contains ``name`` (case doesn't count), from either end."""
+    e = edges.where(F.col("rel") == relation).select(*KEY)
+    ends = e.select("rel", F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select("rel", F.col("dst").alias("id"), F.col("src").alias("other")))
+    return ends.where(F.contains(F.lower("id"), F.lit(name.lower()))).select("id", "rel", "other").distinct()
+
+
+def guarded(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:
+    """Q06: a statement over ``tables``, named in braces; statements that hold a write word are refused."""
+    if WRITES.search(statement):
+        raise ValueError("the statement is not read-only")
+    return spark.sql(statement, **tables)
+
+
+def covered(nodes: DataFrame, ids: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Q10: one row, ``ok``: whether any of the ids is a node of one of the labels."""
+    hit = F.col("id").isin(*ids) & F.col("label").isin(*labels)
+    return nodes.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("ok"))
 
 
 def first_of(parts: Sequence[DataFrame]) -> DataFrame:
@@ -87,13 +119,63 @@ def paths(edges: DataFrame, sources: Sequence[str], targets: Sequence[str]) -> D
     return one.select(*KEY).unionByName(halves).distinct()
 
 
-def verify(claims: DataFrame, edges: DataFrame) -> DataFrame:
-    """Q18: claims (s, r, o) with ``how``: exact, reversed, or null where the graph has no such edge."""
+def verify(claims: DataFrame, edges: DataFrame, prefixes: bool = False) -> DataFrame:
+    """Q18: claims (s, r, o) with ``how``: exact, reversed, or null where the graph has no such edge.
+
+    With ``prefixes``, a claim that is neither is also matched, in either direction, with edges of its relation
+    whose ends are the claim's, or start with them and a comma or a blank: ``how`` is then prefix, and ``vs``
+    and ``vo`` are the ends of the first such edge (of the edge itself otherwise). Candidates meet on the
+    relation and on each end's part before the first comma or blank, so no pair of tables is crossed.
+    """
     e = edges.select(*KEY).distinct()
     forward = e.select(F.col("src").alias("s"), F.col("rel").alias("r"), F.col("dst").alias("o"), F.lit(True).alias("forward"))
     backward = e.select(F.col("dst").alias("s"), F.col("rel").alias("r"), F.col("src").alias("o"), F.lit(True).alias("backward"))
     found = claims.join(forward, ["s", "r", "o"], "left").join(backward, ["s", "r", "o"], "left")
-    return found.withColumn("how", F.when(F.col("forward"), "exact").when(F.col("backward"), "reversed")).drop("forward", "backward")
+    found = found.withColumn("how", F.when(F.col("forward"), "exact").when(F.col("backward"), "reversed")).drop("forward", "backward")
+    if not prefixes:
+        return found
+    head = lambda c: F.regexp_extract(c, "^[^, ]*", 0)
+    both = e.unionByName(e.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst")))
+    both = both.select(F.col("rel").alias("r"), "src", "dst", head("src").alias("hs"), head("dst").alias("ho"))
+    starts = lambda x, c: (F.col(x) == F.col(c)) | F.col(x).startswith(F.concat(c, F.lit(","))) | F.col(x).startswith(F.concat(c, F.lit(" ")))
+    rest = found.where("how is null and s <> '' and o <> ''").select("s", "r", "o").distinct().withColumns({"hs": head("s"), "ho": head("o")})
+    hits = rest.join(both, ["r", "hs", "ho"]).where(starts("src", "s") & starts("dst", "o"))
+    first = hits.groupBy("s", "r", "o").agg(F.min(F.struct("src", "dst")).alias("first"))
+    out = found.join(first, ["s", "r", "o"], "left")
+    how = F.coalesce("how", F.when(F.col("first").isNotNull(), "prefix"))
+    pick = lambda end, own: F.when(F.col("how").isin("exact", "reversed"), F.col(own)).otherwise(F.col(f"first.{end}"))
+    return out.withColumns({"vs": pick("src", "s"), "vo": pick("dst", "o"), "how": how}).drop("first")
+
+
+def repaired_paths(hops: DataFrame, edges: DataFrame, top: DataFrame) -> DataFrame:
+    """Q19: proposed paths (path, nth, s, r, o; one row a hop) cut to the hops that verify, in their order.
+
+    A hop keeps its direction and takes the ends of the edge that verifies it and that edge's confidence. A path
+    without any such hop becomes the first edge of ``top`` (src, rel, dst, confidence).
+    """
+    ok = verify(hops, edges, prefixes=True).where("how is not null")
+    known = rated(edges).select(*KEY, "confidence")
+    both = known.unionByName(known.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"), "confidence")).groupBy(*KEY).agg(F.max("confidence").alias("confidence"))
+    kept = ok.join(both, (ok["vs"] == both["src"]) & (ok["r"] == both["rel"]) & (ok["vo"] == both["dst"]))
+    kept = kept.select("path", "nth", F.col("vs").alias("src"), "rel", F.col("vo").alias("dst"), "confidence", F.lit(False).alias("fallback"))
+    one = F.broadcast(rated(top).orderBy(F.desc("confidence"), *KEY).limit(1))  # one row
+    lost = hops.select("path").distinct().join(kept.select("path"), "path", "left_anti")
+    return kept.unionByName(lost.join(one).select("path", F.lit(0).cast(hops.schema["nth"].dataType).alias("nth"), *KEY, "confidence", F.lit(True).alias("fallback")))
+
+
+def flagged(recommendations: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Q22: recommendations (id, title, drug) with ``verified``, if title or drug resolves to a node, and ``node`` of the title; none goes."""
+    side = lambda c: resolved.select(F.col("term").alias(c), F.col("id").alias(f"{c}_node"))
+    x = recommendations.join(side("title"), "title", "left").join(side("drug"), "drug", "left")
+    return x.select("id", "title", "drug", (F.col("title_node").isNotNull() | F.col("drug_node").isNotNull()).alias("verified"), F.col("title_node").alias("node"))
+
+
+def translated(terms: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Q24: distinct terms with their entry (term, meaning), case and outer blanks aside, and the terms that remain for a call."""
+    key = lambda c: F.lower(F.trim(c))
+    entries = dictionary.groupBy(key("term").alias("key")).agg(F.min("meaning").alias("meaning"))
+    x = terms.select("term").where("term is not null").distinct().withColumn("key", key("term")).join(entries, "key", "left").select("term", "meaning")
+    return x.where("meaning is not null"), x.where("meaning is null").select("term")
 
 
 def backfill(chosen: DataFrame, ranked: DataFrame, n: int) -> DataFrame:

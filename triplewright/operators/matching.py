@@ -60,6 +60,19 @@ def resolve(terms: DataFrame, nodes: DataFrame, least: float = 0.4) -> DataFrame
     return exact.select("term", "id", "score").unionByName(best)
 
 
+def grounded(terms: DataFrame, names: DataFrame, least: float = 0.35) -> DataFrame:
+    """Q21: terms with ``grounded``: whether the words shared with some name are ``least`` of the words of both.
+
+    Commas and parentheses separate words. Both sides meet on a shared word.
+    """
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.translate(c, ",()", "   ")), r"\s+"), lambda w: w != ""))
+    t = terms.select("term").distinct().withColumn("tw", split("term"))
+    n = names.select(split("name").alias("nw")).distinct()
+    met = t.withColumn("w", F.explode("tw")).join(n.withColumn("w", F.explode("nw")), "w").select("term", "tw", "nw").distinct()
+    hit = met.where(jaccard(F.col("tw"), F.col("nw")) >= least).select("term").distinct().withColumn("hit", F.lit(True))
+    return t.select("term").join(hit, "term", "left").select("term", F.coalesce("hit", F.lit(False)).alias("grounded"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -7,6 +7,10 @@ safety relation CONTRAINDICATED_WITH.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,30 +28,59 @@ def _id(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column))
 
 
-def _edge(df: DataFrame, src: Column, rel: str, dst: Column, confidence: Column | None = None) -> DataFrame:
-    none = F.lit(None).cast("double")
-    return df.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), (none if confidence is None else confidence).alias("confidence"))
+class Part(NamedTuple):
+    """Edges of one relation: the table and columns of its ends, and how several rows of one edge are rated."""
+
+    rel: str
+    table: str
+    src: tuple[str, str]  # kind (first letter of an id) and key column
+    dst: tuple[str, str]
+    only: str = "true"
+    repeated: bool = False
+    rating: str = "cast(null as double)"  # an aggregate where edges repeat
+
+
+PARTS = (
+    Part("PLACED", "orders", ("C", "o_custkey"), ("O", "o_orderkey")),
+    Part("CONTAINS", "lineitem", ("O", "l_orderkey"), ("P", "l_partkey"), repeated=True, rating="100.0D * (1 - max(l_discount))"),
+    Part("SUPPLIED_BY", "lineitem", ("P", "l_partkey"), ("S", "l_suppkey"), repeated=True),
+    Part("LOCATED_IN", "customer", ("C", "c_custkey"), ("N", "c_nationkey")),
+    Part("LOCATED_IN", "supplier", ("S", "s_suppkey"), ("N", "s_nationkey")),
+    Part("PART_OF", "nation", ("N", "n_nationkey"), ("R", "n_regionkey")),
+    Part(SAFETY, "lineitem", ("S", "l_suppkey"), ("P", "l_partkey"), f"l_returnflag = 'R' AND l_quantity >= {HEAVY_RETURN}", True, "2.0D * max(l_quantity)"),
+)
+
+
+def _edges(spark: SparkSession, sf_dir: str, part: Part, chosen: Column | None = None) -> DataFrame:
+    rows = table(spark, sf_dir, part.table).where(part.only)
+    if chosen is not None:
+        rows = rows.where(chosen)
+    keys, rating = [part.src[1], part.dst[1]], F.expr(part.rating).alias("confidence")
+    rows = rows.groupBy(*keys).agg(rating) if part.repeated else rows.select(*keys, rating)
+    return rows.select(_id(*part.src).alias("src"), F.lit(part.rel).alias("rel"), _id(*part.dst).alias("dst"), "confidence")
+
+
+EDGE_SCHEMA = "src string, rel string, dst string, confidence double"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edges(src, rel, dst, confidence), distinct on (src, rel, dst); confidence is null where none was rated."""
-    t = lambda name: table(spark, sf_dir, name)
-    lineitem = t("lineitem")
-    contains = lineitem.groupBy("l_orderkey", "l_partkey").agg(F.max("l_discount").alias("d"))
-    returned = lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= HEAVY_RETURN)).groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
-    parts = [
-        _edge(t("orders"), _id("C", "o_custkey"), "PLACED", _id("O", "o_orderkey")),
-        _edge(contains, _id("O", "l_orderkey"), "CONTAINS", _id("P", "l_partkey"), 100.0 * (1 - F.col("d"))),
-        _edge(lineitem.select("l_partkey", "l_suppkey").distinct(), _id("P", "l_partkey"), "SUPPLIED_BY", _id("S", "l_suppkey")),
-        _edge(t("customer"), _id("C", "c_custkey"), "LOCATED_IN", _id("N", "c_nationkey")),
-        _edge(t("supplier"), _id("S", "s_suppkey"), "LOCATED_IN", _id("N", "s_nationkey")),
-        _edge(t("nation"), _id("N", "n_nationkey"), "PART_OF", _id("R", "n_regionkey")),
-        _edge(returned, _id("S", "l_suppkey"), SAFETY, _id("P", "l_partkey"), 2.0 * F.col("q")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [_edges(spark, sf_dir, p) for p in PARTS])
+
+
+def edges_at(spark: SparkSession, sf_dir: str, ids: Sequence[str], rels: Sequence[str] | None = None) -> DataFrame:
+    """The edges with one of a few ids at either end. The ids reach the scans as literals on the raw keys, so files and
+    row groups without them are skipped, and relations whose ends can't be of these kinds aren't read at all."""
+    keys: dict[str, list[int]] = {}
+    for x in ids:
+        if x[1:].isdecimal():
+            keys.setdefault(x[0], []).append(int(x[1:]))
+    found = []
+    for p in PARTS:
+        ends = [F.col(column).isin(keys[kind]) for kind, column in (p.src, p.dst) if kind in keys]
+        if ends and (rels is None or p.rel in rels):
+            found.append(_edges(spark, sf_dir, p, reduce(Column.__or__, ends)))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], EDGE_SCHEMA)
 
 
 EDGES = f"""edges AS (
