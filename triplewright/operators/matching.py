@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triplewright.functions.entities import STOPWORDS
+
 # Words that link nothing.
 LINK_STOPWORDS = ("disease", "diseases", "mellitus", "type", "in", "of", "and", "or", "patients", "with")
 GRAM = 3
+SCHEMA_BLOCK = 1024
 
 
 def words(c: Column | str) -> Column:
@@ -81,11 +84,16 @@ def top_k(queries: DataFrame, schema: DataFrame, k: int) -> DataFrame:
     """The k schema rows (name, vector) of the greatest dot product per query (id, vector), ties by name.
 
     The schema is a few dozen definitions, so every task holds it whole as one array; queries aren't shuffled
-    and the cut is taken inside each row.
+    and the cut is taken inside each row. A larger one is cut into blocks of about ``SCHEMA_BLOCK`` rows; each
+    gives its best k, and these are merged per query (ids are then taken to be unique).
     """
-    rows = F.broadcast(schema.agg(F.collect_list(F.struct("name", F.col("vector").alias("v"))).alias("all")))
+    block = F.pmod(F.xxhash64("name"), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy()) / SCHEMA_BLOCK)))
+    rows = schema.withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct("name", F.col("vector").alias("v"))).alias("all"))
     scored = F.transform("all", lambda s: F.struct((-dot(F.col("vector"), s["v"])).alias("minus"), s["name"].alias("name")))
-    best = queries.join(rows).select("id", F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("pos", "m"))
+    near = queries.join(F.broadcast(rows)).select("id", F.slice(F.array_sort(scored), 1, k).alias("near"))
+    if schema.count() > SCHEMA_BLOCK:  # each block gave its best k: merge them
+        near = near.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    best = near.select("id", F.posexplode("near").alias("pos", "m"))
     return best.select("id", (F.col("pos") + 1).alias("place"), F.col("m.name").alias("name"), (-F.col("m.minus")).alias("score"))
 
 
@@ -104,6 +112,33 @@ def canonicalise(items: DataFrame, schema: DataFrame, chosen: DataFrame) -> Data
     return x.where(~new).withColumn("enriched", F.lit(False)).unionByName(open_).select("id", "name", "canon", "swap", "enriched")
 
 
+def slot_types(entries: DataFrame, names: DataFrame, target: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entries with their types in the canonical spelling of ``names`` (type, canon), and the counts of slots.
+
+    Both slots go through one look-up. ``target``: only entries whose two types are among these stay.
+    """
+    slots = entries.select("doc_id", "ord", F.explode(F.array(F.struct(F.lit("subject").alias("slot"), F.col("subject_type").alias("type")), F.struct(F.lit("object").alias("slot"), F.col("object_type").alias("type")))).alias("x")).select("doc_id", "ord", "x.*")
+    found = slots.join(names, "type", "left")
+    counts = found.agg(F.count_if(F.col("canon").isNotNull()).alias("aligned"), F.count_if(F.col("canon").isNull()).alias("failed"))
+    back = found.groupBy("doc_id", "ord").agg(*(F.max(F.when(F.col("slot") == s, F.col("canon"))).alias(f"{s}_type_canon") for s in ("subject", "object")))
+    out = entries.drop("subject_type_canon", "object_type_canon").join(back, ["doc_id", "ord"])
+    if target is not None:
+        out = out.where(F.col("subject_type_canon").isin(*target) & F.col("object_type_canon").isin(*target))
+    return out, counts
+
+
+def nearest_type(names: DataFrame, types: DataFrame) -> DataFrame:
+    """(id, type) of the type whose vector has the greatest cosine with the name's; Unknown for a zero vector, the first ``pos`` on ties.
+
+    Types are the few entity types of a schema: each task holds them as one array.
+    """
+    norm = lambda c: F.sqrt(dot(c, c))
+    every = F.broadcast(types.agg(F.collect_list(F.struct("pos", "type", F.col("vector").alias("v"))).alias("all")))
+    scored = F.transform("all", lambda t: F.struct((-F.try_divide(dot(F.col("vector"), t["v"]), norm(t["v"]))).alias("minus"), t["pos"].alias("pos"), t["type"].alias("type")))
+    best = F.array_min(F.filter(scored, lambda t: t["minus"].isNotNull()))
+    return names.join(every).select("id", F.when(norm(F.col("vector")) == 0, "Unknown").otherwise(F.coalesce(best["type"], F.lit("Unknown"))).alias("type"))
+
+
 def options(candidates: DataFrame) -> DataFrame:
     """Two options per candidate, as it is and with subject and object exchanged, lettered in order."""
     both = candidates.select("id", "place", "name", F.explode(F.array(F.lit(False), F.lit(True))).alias("swap"))
@@ -125,8 +160,33 @@ def vocabulary_hits(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return every.withColumn("least", F.min("strategy").over(w)).where("strategy = least").withColumn("idx", page).where("idx < 10").drop("least")
 
 
-def rerank(hits: DataFrame) -> DataFrame:
-    """Lexical score of each hit, best first with ``rank``; earlier hits win ties."""
+# Semantic types that a term may be mapped to, and those that each label allows.
+SAFE_TYPES = ("T047", "T184", "T033", "T037", "T121", "T200", "T116", "T125", "T109", "T123", "T061", "T059", "T060", "T023", "T029", "T034", "T081")
+LABEL_TYPES = {
+    "Disease": ("T047", "T184", "T033", "T037"),
+    "Symptom": ("T047", "T184", "T033", "T037"),
+    "Drug": ("T121", "T200", "T116", "T125", "T109", "T123"),
+    "Anatomical Site": ("T023", "T029"),
+    "Clinical Metric": ("T034", "T081", "T059", "T060", "T061"),
+    "Treatment Procedure": ("T061", "T060", "T059", "T034", "T081"),
+}
+
+# Words too common to be a document's context.
+CONTEXT_STOPWORDS = ("the", "and", "a", "of", "in", "to", "for", "with", "on", "at", "by", "an", "is", "or", "that", "this", "are", "was", "were", "be", "been")
+
+
+def context_words(triples: DataFrame, most: int = 60) -> DataFrame:
+    """One row with ``context``: of the ``most`` commonest words of subjects and objects (s, o), those that count.
+
+    Ties go to the lesser word.
+    """
+    found = triples.select(F.explode(F.array("s", "o")).alias("x")).select(F.explode(F.regexp_extract_all(F.lower("x"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    top = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
+    return top.where(~F.col("w").isin(*CONTEXT_STOPWORDS) & (F.length("w") > 2)).agg(F.array_sort(F.collect_list("w")).alias("context"))
+
+
+def rerank(hits: DataFrame, context: Column | None = None) -> DataFrame:
+    """Lexical score of each hit, best first with ``rank``; earlier hits win ties. ``context``: words that raise names which hold them."""
     t, n = F.lower("term"), F.lower("name")
     tw, nw = F.array_distinct(F.split(t, " ")), F.array_distinct(F.split(n, " "))
     lexical = F.when(n == t, 10.0).when(n.startswith(F.concat(t, F.lit(" "))) | n.endswith(F.concat(F.lit(" "), t)), 5.0).when(F.contains(n, t), 2.0).otherwise(0.0)
@@ -134,15 +194,42 @@ def rerank(hits: DataFrame) -> DataFrame:
     odd = F.when(F.contains("name", F.lit("^")) | (F.length("name") - F.length(F.replace("name", F.lit(":"), F.lit(""))) >= 2), 8.0).otherwise(0.0)
     long = F.when((F.size(nw) > 2 * F.size(tw)) & (F.size(tw) <= 3), 4.0).otherwise(0.0)
     extra = 1.5 * F.greatest(F.size(nw) - F.size(tw), F.lit(0))
-    score = 0.1 - 0.01 * F.col("idx") + lexical + overlap - odd - long - extra
+    near = F.lit(0.0)
+    if context is not None:
+        near = F.least(F.lit(4.0), 1.5 * F.size(F.array_intersect(F.filter(nw, lambda w: ~w.isin(*STOPWORDS)), context)))
+    score = 0.1 - 0.01 * F.col("idx") + lexical + overlap + near - odd - long - extra
     scored = hits.withColumn("score", score)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "idx")))
 
 
-def accept(ranked: DataFrame, safe: tuple[str, ...], least: float = 3.0) -> DataFrame:
-    """Of the best five hits the first that scores ``least`` and has a safe type."""
-    ok = ranked.where((F.col("rank") <= 5) & (F.col("score") >= least) & F.col("type").isin(*safe))
-    return ok.groupBy("term").agg(F.min_by(F.struct("code", "name", "score", "type"), "rank").alias("m")).select("term", "m.*")
+def accept(ranked: DataFrame, safe: tuple[str, ...] = SAFE_TYPES, least: float = 3.0, labels: str | None = None) -> DataFrame:
+    """Of the best five hits the first that scores ``least``, has a safe type and, if one of its ``labels`` (an array
+    column) is specific, a type that one of these allows."""
+    ok = (F.col("rank") <= 5) & (F.col("score") >= least) & F.col("type").isin(*safe)
+    if labels is not None:
+        own = F.map_from_entries(F.array(*(F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, v)).alias("v")) for k, v in LABEL_TYPES.items())))
+        allowed = F.flatten(F.filter(F.transform(F.coalesce(F.col(labels), F.array().cast("array<string>")), lambda l: F.try_element_at(own, l)), lambda x: x.isNotNull()))
+        ok &= (F.size(allowed) == 0) | F.array_contains(allowed, F.col("type"))
+    return ranked.where(ok).groupBy("term").agg(F.min_by(F.struct("code", "name", "score", "type"), "rank").alias("m")).select("term", "m.*")
+
+
+# Sources of definitions, best first; any other comes last.
+DEFINITION_SOURCES = ("NCI", "MSH", "CHV")
+
+
+def definition_of(entries: DataFrame) -> DataFrame:
+    """(code, definition) from (code, source, value, pos): the first non-empty value of the best source."""
+    value = F.trim("value")
+    known = F.upper("source")
+    priority = F.coalesce(*(F.when(known == x, i) for i, x in enumerate(DEFINITION_SOURCES)), F.lit(len(DEFINITION_SOURCES)))
+    return entries.where(value != "").groupBy("code").agg(F.min_by(value, F.struct(priority, "pos")).alias("definition"))
+
+
+def source_codes(atoms: DataFrame, sources: tuple[str, ...] = ("ICD10CM", "RXNORM")) -> DataFrame:
+    """Per code its first atom's identifier of each source (last part of its path), NONE without one; columns are named by source."""
+    own = atoms.select("code", "source", "pos", F.element_at(F.split("path", "/"), -1).alias("x"))
+    firsts = own.groupBy("code").agg(*(F.min_by(F.when(F.col("source") == s, F.col("x")), F.when(F.col("source") == s, F.col("pos"))).alias(s) for s in sources))
+    return firsts.select("code", *(F.when(F.coalesce(F.col(s), F.lit("")) == "", "NONE").otherwise(F.col(s)).alias(s) for s in sources))
 
 
 def map_triples(triples: DataFrame, resolved: DataFrame, metric_types: tuple[str, ...], drug_types: tuple[str, ...]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,16 @@ def check_types(triples: DataFrame, rules: DataFrame, discard: bool = True) -> D
     return x.withColumn("keep", fit & ~bad).drop("rule", "st_set", "ot_set")
 
 
+def correct_open(triples: DataFrame, typed: DataFrame, rules: DataFrame, discard: bool = True) -> DataFrame:
+    """Open triples (doc_id, s, r, o) checked by the types of the typed entry of the same document, subject,
+    relation and object (of several, the last by ``ord``). Triples without an entry pass; turned ones exchange types too.
+    """
+    entry = typed.groupBy("doc_id", "s", "r", "o").agg(F.max_by(F.struct("st", "ot"), "ord").alias("e")).select("doc_id", "s", "r", "o", "e.st", "e.ot", F.lit(True).alias("matched"))
+    x = triples.join(entry, ["doc_id", "s", "r", "o"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    checked = check_types(x, rules, discard)
+    return checked.where(~F.col("matched") | F.col("keep")).drop("keep")
+
+
 def _says(pattern: str) -> Callable[[Column], Column]:
     return lambda x: x.rlike(pattern) & ~x.rlike(r"\bnot\b.*\b(?:not|no|un\w+)\b")
 
@@ -80,6 +91,6 @@ def relabel(triples: DataFrame, evidence: dict[str, str]) -> DataFrame:
 
 
 def on_topic(triples: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """Triples with a topic word in subject or object."""
-    pattern = "(?i)" + "|".join(words)
-    return triples.where(F.col("s").rlike(pattern) | F.col("o").rlike(pattern))
+    """Triples with a topic word, taken literally and without regard to case, in subject or object."""
+    says = lambda c: reduce(Column.__or__, (F.contains(F.lower(c), F.lit(w.lower())) for w in words), F.lit(False))
+    return triples.where(says("s") | says("o"))
