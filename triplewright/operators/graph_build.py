@@ -12,8 +12,14 @@ from triplewright.functions.entities import dedup_key, label
 from triplewright.functions.values import clean_value, is_value, relation_key
 
 ORDER = ["doc_id", "ord"]
+# Semantic types and codes that tell drugs, tests and procedures.
 DRUG_TYPES = ("T121", "T200", "T116", "T125")
+DRUG_SUBJECT_TYPES = (*DRUG_TYPES, "T109", "T123")
 LAB_TYPES = ("T059", "T060", "T061", "T034", "T081")
+PROCEDURE_TYPES = ("T059", "T060")
+PROCEDURE_CODES = ("C0474680", "C0202042", "C0583513")
+METRIC_LABELS = ("Clinical Metric", "Treatment Procedure")
+PROPERTIES = ("code", "canonical", "type", "target_threshold", "dosage_value")
 
 
 def informative(c: Column) -> Column:
@@ -41,6 +47,36 @@ def first_nodes(split: DataFrame, types: DataFrame) -> DataFrame:
     return keyed.join(types, ["doc_id", "key"], "left").select("id", "seen", F.array_compact(F.array(F.lit("Concept"), "type")).alias("labels"))
 
 
+def graph_nodes(split: DataFrame, types: DataFrame) -> DataFrame:
+    """The ends of concept triples and the subjects of values that become properties, (id, seen, labels).
+
+    ``seen`` orders a document's concept triples before its values, as nodes are made in that order.
+    """
+    first = first_nodes(split, types).select("id", F.struct(F.col("seen.doc_id"), F.lit(0).alias("turn"), F.col("seen.ord"), F.col("seen.slot")).alias("seen"), "labels")
+    ends = free_values(split).groupBy(F.col("s").alias("id")).agg(F.min(F.struct("doc_id", F.lit(1).alias("turn"), "ord", F.lit(0).alias("slot"))).alias("seen"))
+    only = ends.join(first, "id", "left_anti").withColumn("doc_id", F.col("seen.doc_id")).withColumn("key", F.lower(F.trim("id")))
+    only = only.join(types, ["doc_id", "key"], "left").select("id", "seen", F.array_compact(F.array(F.lit("Concept"), "type")).alias("labels"))
+    return first.unionByName(only)
+
+
+def reverted(nodes: DataFrame, split: DataFrame) -> DataFrame:
+    """Nodes (id, labels, code, canonical, type) without their vocabulary fields where these contradict a relation.
+
+    The subject of "treated by" or "contraindicated with" is no procedure or metric unless it is labelled a
+    disease or symptom, and the subject of "treated by" is no drug.
+    """
+    subjects = split.where(~F.col("is_value") & F.upper("key").isin("TREATED_BY", "CONTRAINDICATED_WITH"))
+    subjects = subjects.groupBy(F.col("s").alias("id")).agg(F.bool_or(F.col("key") == "treated_by").alias("treated"))
+    x = nodes.join(subjects, "id", "left")
+    tuis = F.regexp_extract_all(F.coalesce("type", F.lit("")), F.lit(r"T\d{3}"), F.lit(0))
+    holds = lambda a, values: F.arrays_overlap(a, F.array(*map(F.lit, values)))
+    procedure = (holds(tuis, PROCEDURE_TYPES) | F.col("code").isin(*PROCEDURE_CODES) | holds("labels", METRIC_LABELS)) & ~holds("labels", ("Disease", "Symptom"))
+    drug = F.col("treated") & (holds(tuis, DRUG_SUBJECT_TYPES) | F.array_contains("labels", "Drug"))
+    bad = F.col("treated").isNotNull() & F.coalesce(procedure | drug, F.lit(False))
+    raw = {"code": F.lit("NONE"), "canonical": F.col("id"), "type": F.lit("Unknown")}
+    return x.select(*(F.when(bad, raw[c]).otherwise(F.col(c)).alias(c) if c in raw else F.col(c) for c in nodes.columns))
+
+
 def titration_edges(split: DataFrame) -> DataFrame:
     """Titration edges with the document's last threshold of their object and last adjustment of their subject."""
     last = lambda keys, name, col: split.where(F.col("is_value") & F.col("key").isin(*keys) & F.col("value").isNotNull()).groupBy("doc_id", F.col("s").alias(name)).agg(F.max_by("value", F.struct("ord", "value")).alias(col))
@@ -50,14 +86,19 @@ def titration_edges(split: DataFrame) -> DataFrame:
     return edges.join(thresholds, ["doc_id", "o"], "left").join(adjustments, ["doc_id", "s"], "left").select(*ORDER, "s", "key", "o", "threshold", "adjustment")
 
 
+def free_values(split: DataFrame) -> DataFrame:
+    """Values whose subject no titration edge of this or an earlier document touches."""
+    titrated = split.where(~F.col("is_value") & (F.col("key") == "has_titration_rule"))
+    since = titrated.select("doc_id", F.explode(F.array("s", "o")).alias("s")).groupBy("s").agg(F.min("doc_id").alias("since"))
+    return split.where("value is not null").join(since, "s", "left").where("since is null or since > doc_id")
+
+
 def value_properties(split: DataFrame) -> DataFrame:
     """Values that become properties of their subject: those whose subject no titration edge of this or an earlier document touches.
 
     The least document of a titration edge per end stands for all of them, so one join replaces the running check.
     """
-    titrated = split.where(~F.col("is_value") & (F.col("key") == "has_titration_rule"))
-    since = titrated.select("doc_id", F.explode(F.array("s", "o")).alias("s")).groupBy("s").agg(F.min("doc_id").alias("since"))
-    free = split.where("value is not null").join(since, "s", "left").where("since is null or since > doc_id")
+    free = free_values(split)
     name = F.when(F.col("key").isin("has_clinical_threshold", "has_titration_rule"), "target_threshold").otherwise("dosage_value")
     return free.groupBy("s", name.alias("property")).agg(F.max_by("value", F.struct(*ORDER, "value")).alias("value"))
 
@@ -114,23 +155,68 @@ def alias_targets(merged: DataFrame) -> DataFrame:
     return merged.where(~coded).select("canon", dedup_key("canon").alias("key")).join(index, "key").where("canon <> target").select("canon", "target")
 
 
-def remap_edges(edges: DataFrame, canon: DataFrame, labels: DataFrame, scores: DataFrame) -> DataFrame:
+def remap_edges(edges: DataFrame, canon: DataFrame, labels: DataFrame, scores: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Edges (doc_id, ord, s, key, o) between canonical nodes; self-loops go, the first of equal edges stays.
 
-    A metric treated by a drug is turned round into "decreases". The confidence is that of the triple before
-    any correction, by the keys of its ends, else 100.
+    A metric treated by a drug, by labels or by semantic types where ``labels`` has a ``type``, is turned round into
+    "decreases". The confidence is that of the triple before any correction, by the keys of its ends, else 100.
+    ``carried``: further columns that stay with an edge.
     """
+    typed = "type" in labels.columns
     ends = lambda n: canon.select(F.col("id").alias(n), F.col("canon").alias(f"{n}_canon"))
-    tags = lambda n: labels.select(F.col("canon").alias(f"{n}_canon"), F.col("labels").alias(f"{n}_labels"))
+    tags = lambda n: labels.select(F.col("canon").alias(f"{n}_canon"), F.col("labels").alias(f"{n}_labels"), (F.col("type") if typed else F.lit(None).cast("string")).alias(f"{n}_type"))
     e = edges.join(ends("s"), "s", "left").join(ends("o"), "o", "left")
     e = e.withColumn("s_canon", F.coalesce("s_canon", "s")).withColumn("o_canon", F.coalesce("o_canon", "o")).where("s_canon <> o_canon")
     e = e.join(tags("s"), "s_canon", "left").join(tags("o"), "o_canon", "left")
-    metric = F.arrays_overlap("s_labels", F.array(F.lit("Clinical Metric"), F.lit("Treatment Procedure")))
-    turn = F.coalesce((F.col("key") == "treated_by") & metric & F.array_contains("o_labels", "Drug"), F.lit(False))
+    of = lambda n, types: F.coalesce(F.col(f"{n}_type"), F.lit("")).rlike("|".join(types))
+    metric = F.coalesce(F.arrays_overlap("s_labels", F.array(*map(F.lit, METRIC_LABELS))), F.lit(False)) | of("s", LAB_TYPES)
+    drug = F.coalesce(F.array_contains("o_labels", "Drug"), F.lit(False)) | of("o", DRUG_TYPES)
+    turn = (F.col("key") == "treated_by") & metric & drug & F.col("s_labels").isNotNull() & F.col("o_labels").isNotNull()
     e = e.join(scores.select(F.col("s").alias("_s"), F.col("key").alias("_k"), F.col("o").alias("_o"), "score"), (dedup_key("s") == F.col("_s")) & (F.col("key") == F.col("_k")) & (dedup_key("o") == F.col("_o")), "left")
-    out = e.select(*ORDER, F.when(turn, F.col("o_canon")).otherwise(F.col("s_canon")).alias("src"), F.when(turn, "decreases").otherwise(F.col("key")).alias("rel"), F.when(turn, F.col("s_canon")).otherwise(F.col("o_canon")).alias("dst"), F.coalesce("score", F.lit(100.0)).alias("confidence"))
+    out = e.select(*ORDER, F.when(turn, F.col("o_canon")).otherwise(F.col("s_canon")).alias("src"), F.when(turn, "decreases").otherwise(F.col("key")).alias("rel"), F.when(turn, F.col("s_canon")).otherwise(F.col("o_canon")).alias("dst"), F.coalesce("score", F.lit(100.0)).alias("confidence"), *carried)
     order = Window.partitionBy("src", "rel", "dst").orderBy(*ORDER, "confidence")
-    return out.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("src", "rel", "dst", "confidence")
+    return out.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("src", "rel", "dst", "confidence", *carried)
+
+
+def with_aliases_merged(merged: DataFrame, targets: DataFrame) -> DataFrame:
+    """Nodes with the ones of ``targets`` merged into theirs: their names become aliases, their values fill gaps."""
+    x = merged.join(targets, "canon", "left").withColumn("into", F.coalesce("target", "canon"))
+    own = F.col("target").isNull()
+    rank = F.struct((~own).cast("int").alias("guest"), "seen")
+    firsts = [F.min_by(informative(F.col(p)), F.when(informative(F.col(p)).isNotNull(), rank)).alias(p) for p in PROPERTIES]
+    out = x.groupBy("into").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
+        F.array_distinct(F.flatten(F.collect_list(F.concat("aliases", F.array("canon"))))).alias("names"),
+        F.min(F.when(own, F.col("seen"))).alias("seen"),
+        *firsts,
+    )
+    return out.withColumnRenamed("into", "canon").withColumn("aliases", F.array_sort(F.array_except("names", F.array_compact(F.array("canon", "canonical"))))).drop("names")
+
+
+def pack_graph(triples: DataFrame, entries: DataFrame, vocabulary: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G18, the whole packer: nodes (id, labels, aliases, code, canonical, type, target_threshold, dosage_value) and edges
+    (src, rel, dst, confidence, threshold, adjustment).
+
+    Input: triples (doc_id, ord, s, r, o), typed entries as :func:`type_map` takes them, vocabulary rows (term, code,
+    canonical, type; terms without one keep their name) and scores (s, key, o as keys of names; score).
+    """
+    split = split_values(triples)
+    nodes = graph_nodes(split, type_map(entries))
+    known = vocabulary.select(F.col("term").alias("id"), "code", "canonical", "type")
+    nodes = nodes.join(known, "id", "left").select("id", "seen", "labels", F.coalesce("code", F.lit("NONE")).alias("code"), F.coalesce("canonical", "id").alias("canonical"), F.coalesce("type", F.lit("Unknown")).alias("type"))
+    nodes = reverted(nodes, split)
+    values = value_properties(split).groupBy(F.col("s").alias("id")).agg(*(F.max(F.when(F.col("property") == p, F.col("value"))).alias(p) for p in ("target_threshold", "dosage_value")))
+    named = canonical_ids(nodes.join(values, "id", "left"))
+    merged = merge_nodes(named, PROPERTIES).withColumn("labels", inferred_labels(F.col("labels"), F.coalesce("type", F.lit(""))))
+    targets = alias_targets(merged)
+    packed = with_aliases_merged(merged, targets)
+    canon = named.select("id", "canon").join(targets, "canon", "left").select("id", F.coalesce("target", "canon").alias("canon"))
+    rest = split.where(~F.col("is_value") & (F.col("key") != "has_titration_rule"))
+    none = F.lit(None).cast("string")
+    edges = titration_edges(split).unionByName(rest.select(*ORDER, "s", "key", "o", none.alias("threshold"), none.alias("adjustment")))
+    edges = remap_edges(edges, canon, packed.select("canon", "labels", "type"), scores, ("threshold", "adjustment"))
+    fill = lambda c, d: F.coalesce(c, d).alias(c)
+    return packed.select(F.col("canon").alias("id"), "labels", "aliases", fill("code", F.lit("NONE")), fill("canonical", F.col("canon")), fill("type", F.lit("Unknown")), "target_threshold", "dosage_value"), edges
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
