@@ -6,6 +6,8 @@ first, which is exact for them, and the rule then filters the few candidates.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,21 +30,32 @@ def jaccard(a: Column, b: Column) -> Column:
 def candidates(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     """Q11, Q12: (term, id) where the term or an id/alias contains the other, or two words that count are shared.
 
-    If one name contains the other, the shorter one's leading gram occurs in the longer, so both sides meet on
-    a gram: the term's leading gram among the name's grams or the reverse. Names below the gram length are
-    matched by their length's own grams. Shared words meet on a word. An empty term links nothing.
+    If one name contains the other, all grams of the shorter occur in the longer, so both sides meet on the
+    shorter one's gram that the fewest of the others hold; names below the gram length are grams themselves.
+    Shared words meet on each side's words. Distinct spellings are compared once, then expanded to
+    terms and ids. An empty term links nothing.
     """
-    names = nodes.select("id", F.explode(F.concat(F.array("name"), "aliases")).alias("name")).select("id", F.lower(F.trim("name")).alias("n")).where("n <> ''").distinct()
-    t = terms.select("term", F.lower(F.trim("term")).alias("t")).where("t <> ''").distinct()
-    grams = lambda c, size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(size)))
-    every = lambda c: F.array_distinct(F.concat(*(grams(c, s) for s in range(1, GRAM + 1))))
-    lead = lambda c: F.substring(F.col(c), F.lit(1), F.least(F.length(c), F.lit(GRAM)))
-    inside = t.withColumn("g", lead("t")).join(names.withColumn("g", F.explode(every("n"))), "g").where(F.contains("n", F.col("t")))
-    around = t.withColumn("g", F.explode(every("t"))).join(names.withColumn("g", lead("n")), "g").where(F.contains("t", F.col("n")))
+    named = nodes.select("id", F.explode(F.concat(F.array("name"), "aliases")).alias("name")).select("id", F.lower(F.trim("name")).alias("n")).where("n <> ''").distinct()
+    said = terms.select("term", F.lower(F.trim("term")).alias("t")).where("t <> ''").distinct()
+    n, t = named.select("n").distinct(), said.select("t").distinct()
+    inside = _holding(t, "t", n, "n")
+    around = _holding(n, "n", t, "t")
     useful = lambda c: F.filter(words(c), lambda w: ~w.isin(*LINK_STOPWORDS))
-    by_word = t.withColumn("w", F.explode(useful("t"))).join(names.withColumn("w", F.explode(useful("n"))), "w")
-    shared = by_word.groupBy("term", "id", "n").agg(F.count_distinct("w").alias("k")).where("k >= 2")
-    return inside.select("term", "id").unionByName(around.select("term", "id")).unionByName(shared.select("term", "id")).distinct()
+    by_word = t.withColumn("w", F.explode(useful("t"))).join(n.withColumn("w", F.explode(useful("n"))), "w")
+    shared = by_word.groupBy("t", "n").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
+    pairs = reduce(DataFrame.unionByName, (x.select("t", "n") for x in (inside, around, shared))).distinct()
+    return said.join(pairs, "t").join(named, "n").select("term", "id").distinct()
+
+
+def _holding(short: DataFrame, s: str, long: DataFrame, c: str) -> DataFrame:
+    """Pairs of strings of which the second contains the first."""
+    grams = lambda x, size: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - size + 1, F.lit(1))), lambda i: F.substring(F.col(x), i, size))
+    every = long.withColumn("g", F.explode(F.array_distinct(F.concat(*(grams(c, F.lit(k)) for k in range(1, GRAM + 1))))))
+    often = every.groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    own = short.withColumn("g", F.explode(F.array_distinct(grams(s, F.least(F.length(s), F.lit(GRAM))))))
+    rarest = own.join(often, "g", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g")).alias("m"))
+    key = rarest.where("m.often > 0").select(s, F.col("m.g").alias("g"))
+    return key.join(every, "g").where(F.contains(F.col(c), F.col(s))).select(s, c)
 
 
 def missing(terms: DataFrame, found: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:

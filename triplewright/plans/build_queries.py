@@ -83,7 +83,7 @@ oracle(pack_stats, f"WITH {CANON_SQL} SELECT count(*) AS before, count(DISTINCT
 
 def _titration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples in which orders adjust parts: rules, thresholds of parts, adjustments of suppliers."""
-    l = v.table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 1")
+    l = v.table(spark, sf_dir, "lineitem")
     s, p = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey")
     k = F.col("l_linenumber") % 3
     rows = l.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.when(k == 2, p).otherwise(s).alias("s"), F.when(k == 0, "has titration rule").when(k == 1, "has dose adjustment").otherwise("has clinical threshold").alias("r"), F.when(k == 0, p).when(k == 1, F.concat(F.lit("increase by "), F.col("l_quantity").cast("int"), F.lit("%"))).otherwise(F.concat(F.lit("< "), F.col("l_quantity").cast("int"))).alias("o"))
@@ -91,7 +91,7 @@ def _titration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TITRATION = """t AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, l_linenumber % 3 AS k, CASE WHEN l_linenumber % 3 = 2 THEN concat('P', l_partkey) ELSE concat('S', l_suppkey) END AS s,
-  CASE l_linenumber % 3 WHEN 0 THEN concat('P', l_partkey) WHEN 1 THEN concat('+', l_quantity::INT, '%') ELSE concat('<', l_quantity::INT) END AS x FROM lineitem WHERE l_orderkey % 7 = 1)"""
+  CASE l_linenumber % 3 WHEN 0 THEN concat('P', l_partkey) WHEN 1 THEN concat('+', l_quantity::INT, '%') ELSE concat('<', l_quantity::INT) END AS x FROM lineitem)"""
 
 
 @query
@@ -244,14 +244,14 @@ SELECT id, name, CASE WHEN known THEN name WHEN NOT def THEN NULL WHEN ch THEN '
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q11, Q12: terms from part names against part nodes."""
     nodes = v.nodes(spark, sf_dir).where("label = 'Part'")
-    terms = v.table(spark, sf_dir, "part").where("p_partkey % 97 = 1").select(F.when(F.col("p_partkey") % 2 == 0, F.substring("p_name", 1, 6)).otherwise(F.concat("p_name", F.lit(" "), "p_brand")).alias("term")).distinct()
+    terms = v.table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.substring("p_name", 1, 6)).otherwise(F.concat("p_name", F.lit(" "), "p_brand")).alias("term")).distinct()
     return m.candidates(terms, nodes).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
 oracle(
     link_candidates,
     """WITH n AS (SELECT concat('P', p_partkey) AS id, lower(unnest([p_name, p_brand, p_type])) AS n FROM part),
-t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN substring(p_name, 1, 6) ELSE concat(p_name, ' ', p_brand) END AS term FROM part WHERE p_partkey % 97 = 1),
+t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN substring(p_name, 1, 6) ELSE concat(p_name, ' ', p_brand) END AS term FROM part),
 c AS (SELECT DISTINCT term, id FROM t, n WHERE contains(n, trim(lower(term))) OR contains(trim(lower(term)), n)
   OR len(list_filter(list_intersect(list_distinct(regexp_extract_all(lower(term), '[a-z0-9_]+')), list_distinct(regexp_extract_all(n, '[a-z0-9_]+'))), lambda w: w NOT IN ('disease', 'diseases', 'mellitus', 'type', 'in', 'of', 'and', 'or', 'patients', 'with'))) >= 2)
 SELECT term, count(*) AS n, min(id) AS first FROM c GROUP BY term""",

@@ -139,7 +139,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("agent", (F.col("event_id") % 3).cast("int"))
     order = Window.partitionBy("user_id", "agent").orderBy("ts", "event_id")
     verdict = F.when(F.col("event_type").isin("purchase", "signup"), "CORRECT").when(F.col("event_type") == "error", "INCORRECT").otherwise("UNCERTAIN")
-    rated = e.withColumn("round", F.row_number().over(order)).where("round <= 3")
+    rated = e.withColumn("round", F.row_number().over(order))
     return rated.select(F.col("user_id").alias("item"), "round", "agent", verdict.alias("verdict"), F.pmod(F.floor("value").cast("int"), F.lit(101)).alias("confidence"))
 
 
@@ -149,7 +149,7 @@ RESPONSES = """responses AS (
            row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) AS round,
            CASE WHEN event_type IN ('purchase', 'signup') THEN 'CORRECT' WHEN event_type = 'error' THEN 'INCORRECT' ELSE 'UNCERTAIN' END AS verdict,
            CAST(((floor(value)::INTEGER % 101) + 101) % 101 AS INTEGER) AS confidence
-    FROM events) WHERE round <= 3
+    FROM events)
 )"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triplewright.functions.parsing import read_triples
@@ -15,17 +15,23 @@ RECORD = f"index int, input_text string, entity_hint string, relation_hint strin
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text), one row per line; doc_id is the line's place.
+    """(doc_id, text), one row per line; doc_id is the line's place over all files in the order of their paths.
 
-    Places come from per-file order: a text file keeps its lines in order, and the numbering is one window
-    over (file, position) ranges, counted per partition first.
+    Within a block of a file, rows are read in order and numbered by the scan; what precedes a block is summed
+    over the blocks' counts, one row for each block.
     """
-    rows = spark.read.text(path)
-    return spark.createDataFrame(rows.rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0])), "doc_id long, text string")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")
+    placed = rows.join(F.broadcast(blocks.select("file", "block", "first", before.alias("before"))), ["file", "block"])
+    return placed.select((F.col("before") + F.col("at") - F.col("first")).alias("doc_id"), F.col("value").alias("text"))
 
 
-def definitions(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(name, definition) of a two-column CSV: further columns belong to the definition, the last row of a name wins."""
+def definitions(spark: SparkSession, path: str, header: bool = True, underscores: bool = False) -> DataFrame:
+    """(name, definition) of a two-column CSV: further columns belong to the definition, the last row of a name wins.
+
+    ``underscores``: blanks of a name become underscores, as benchmark relations are written.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
@@ -37,9 +43,16 @@ def definitions(spark: SparkSession, path: str, header: bool = True) -> DataFram
     rows = lines(spark, path).mapInPandas(run, "pos long, name string, definition string")
     if header:
         rows = rows.where("pos > 0")
+    if underscores:
+        rows = rows.withColumn("name", F.translate("name", " ", "_"))
     return rows.groupBy("name").agg(F.max_by("definition", "pos").alias("definition"))
 
 
+def request(spark: SparkSession, **fields: str | None) -> DataFrame:
+    """A request as one row; its fields are columns."""
+    return spark.range(1).select(*(F.lit(x).cast("string").alias(name) for name, x in fields.items()))
+
+
 def stage_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of an extraction run, a JSON array."""
     return spark.read.schema(RECORD).json(path, multiLine=True)
