@@ -322,27 +322,27 @@ class Trainer:
         seen = _in_windows(rows)
         q, k, v = rows[1:, :, :DIM], seen[:, :, DIM : 2 * DIM], seen[:, :, 2 * DIM :]
         w = _attend(q, k, _bias(d["near"].reshape(-1)), blocks[:-1, 0] == m.vocabulary)
-        w /= w.sum(2, keepdims=True)
-        one = np.ones((n * _STEP, 1), e.dtype)
-        x = np.concatenate([(w @ v).reshape(-1, DIM), e[_STEP:], one], 1)
+        w *= 1 / w.sum(2, keepdims=True)
+        x = np.empty((n * _STEP, 2 * DIM + 1), e.dtype)  # the mix, the input itself, and 1 for the bias
+        np.matmul(w, v, out=x.reshape(n, _STEP, -1)[:, :, :DIM])
+        x[:, DIM:-1], x[:, -1] = e[_STEP:], 1
         z = x @ np.concatenate([d["out"], d["skip"], d["bias"].reshape(-1, 1)], 1).T
         np.minimum(z, _MOST, out=z)
-        p = np.exp(z, out=z)
-        p /= p.sum(1, keepdims=True)
+        dz = np.exp(z, out=z)
         goal = targets.reshape(-1)
-        real, each = goal >= 0, np.arange(len(goal))
+        real, each, total = goal >= 0, np.arange(len(goal)), dz.sum(1)
         goal = self.classes[goal]
-        picked = p[each, goal]
+        picked = dz[each, goal] / total
         loss = -np.log(picked[real] + 1e-12).mean() if real.any() else 0.0
-        p[each, goal] -= 1
-        p *= (real / max(1, real.sum())).astype(p.dtype)[:, None]
-        dz = p
+        share = (real / max(1, real.sum())).astype(dz.dtype)
+        dz *= (share / total)[:, None]
+        dz[each, goal] -= share
         g_dense = dz.T @ x
         dx = dz @ np.concatenate([d["out"], d["skip"]], 1)  # to the mix and to the input itself
         da = dx[:, :DIM].reshape(n, _STEP, DIM)
         back = np.zeros((n + 1, _STEP, 3 * DIM), e.dtype)  # to query, key and value of each input
         dw = da @ v.transpose(0, 2, 1)
-        dw -= (dx[:, :DIM] * x[:, :DIM]).sum(1).reshape(n, _STEP, 1)
+        dw -= np.einsum("ij,ij->i", dx[:, :DIM], x[:, :DIM]).reshape(n, _STEP, 1)
         dw *= w
         back[1:, :, :DIM] = dw @ k
         dk, dv = dw.transpose(0, 2, 1) @ q, w.transpose(0, 2, 1) @ da
@@ -353,7 +353,7 @@ class Trainer:
         de = back @ into.T
         de[_STEP:] += dx[:, DIM:]
         into_g = e.T @ back
-        by_back = np.bincount(np.clip(_BACK, 0, WINDOW - 1).reshape(-1), (dw.sum(0) * _SEEN).reshape(-1), WINDOW)
+        by_back = np.bincount(np.clip(_BACK, 0, WINDOW - 1).reshape(-1), (np.ones(n, e.dtype) @ dw.reshape(n, -1)) * _SEEN.reshape(-1), WINDOW)
         dense = np.concatenate([into_g[:, :DIM] * scale, into_g[:, DIM : 2 * DIM], into_g[:, 2 * DIM :], g_dense[:, :DIM], g_dense[:, DIM : 2 * DIM], g_dense[:, -1].reshape(-1, DIM), by_back.reshape(-1, DIM).astype(e.dtype)])
 
         ids = blocks.reshape(-1)
