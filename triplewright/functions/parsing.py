@@ -106,6 +106,16 @@ def literal_triples(line: str | None) -> list[list[str]]:
         return []
 
 
+def strict_triples(line: str | None) -> list[list[str]] | None:
+    """A list of triples of strings written as a Python literal; null if it is anything else."""
+    try:
+        found = ast.literal_eval((line or "").strip())
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return None
+    ok = isinstance(found, list) and all(isinstance(t, (list, tuple)) and len(t) == 3 and all(isinstance(x, str) for x in t) for t in found)
+    return [list(t) for t in found] if ok else None
+
+
 _BLANK = {"", "_", "..."}
 
 
@@ -133,7 +143,7 @@ def bracket_triples(raw: str | None) -> list[list[str]]:
 
 def read_triples(df: DataFrame, column: str, how: str = "brackets") -> DataFrame:
     """Rows of ``df`` with ``triples``: array of arrays; a bracket matcher has no built-in form, so batches go through pandas."""
-    f = {"brackets": bracket_triples, "literal": literal_triples}[how]
+    f = {"brackets": bracket_triples, "literal": literal_triples, "strict": strict_triples}[how]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

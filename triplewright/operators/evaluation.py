@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -9,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from triplewright.functions.entities import concept_name, written_out
+from triplewright.functions.parsing import read_triples
+
 TRIPLE = ["doc_id", "s", "r", "o"]
 
 
@@ -57,10 +63,34 @@ def compact(*parts: str) -> Column:
     return F.lower(F.regexp_replace(F.concat(*parts), r"[\s_]+", ""))
 
 
-def normal_name(c: Column | str, is_object: bool = False) -> Column:
-    """E01 without accent folding: camel case split, lower case, underscores and runs of blanks to one blank; objects lose a closing parenthesis."""
+def _accents() -> dict[str, str]:
+    """Latin letters that decompose into an ASCII letter and marks, with that letter."""
+    found = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and base.isascii() and all(unicodedata.combining(m) for m in marks):
+            found[chr(code)] = base
+    return found
+
+
+# Letters that stand for several, or that don't decompose.
+LIGATURES = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ð": "d", "þ": "th"}
+
+
+def folded(c: Column | str) -> Column:
+    """Latin letters without their accents, ligatures spelt out; other scripts stay."""
+    table = _accents()
+    x = F.translate(c, "".join(table), "".join(table.values()))
+    for letter, plain in LIGATURES.items():
+        x = F.replace(x, F.lit(letter), F.lit(plain))
+    return x
+
+
+def normal_name(c: Column | str, is_object: bool = False, fold: bool = False) -> Column:
+    """Camel case split, lower case, underscores and runs of blanks to one blank, accents off if ``fold``; objects lose a closing parenthesis."""
     x = F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2")
     x = F.regexp_replace(F.lower(x), r"[_\s]+", " ")
+    x = folded(x) if fold else x
     x = F.regexp_replace(x, r"^\s+|\s+$", "")
     return F.regexp_replace(x, r" ?\([^()]*\)$", "") if is_object else x
 
@@ -166,11 +196,117 @@ def span_scores(candidate: dict[str, str], reference: dict[str, str]) -> dict[st
     return max((credit(o) for o in orders), key=lambda c: c["exact"])
 
 
+MEASURES = ("type", "partial", "strict", "exact")
+COUNTS = ("correct", "incorrect", "partial", "missing", "spurious")
+Triple = tuple[str, str, str]
+
+
+def span_counts(candidate: Triple | None, reference: Triple | None) -> dict[str, list[int]]:
+    """For each measure how many slots are correct, incorrect, partial, missing and spurious.
+
+    Slots are compared word by word in the order of candidate slots that :func:`span_scores` finds best. A shared run
+    of words is a type match in the same slot and a partial one anywhere; a slot without words on one side is
+    missing or spurious, as are all slots of a triple without a partner.
+    """
+    slots = ("s", "r", "o")
+    c, r = (dict(zip(slots, x or ("", "", ""), strict=True)) for x in (candidate, reference))
+    orders = [slots, ("o", "r", "s"), ("r", "s", "o"), ("s", "o", "r")]
+    order = max(orders, key=lambda o: sum(c[a].split() == r[b].split() != [] for a, b in zip(o, slots, strict=True)))
+    out = {m: [0] * len(COUNTS) for m in MEASURES}
+    for mine, theirs in zip(order, slots, strict=True):
+        a, b = c[mine].split(), r[theirs].split()
+        if not a and not b:
+            continue
+        shared, same = bool(align_spans(a, b)), a == b
+        for m, right, half in (("type", shared and mine == theirs, False), ("partial", same, shared), ("strict", same and mine == theirs, False), ("exact", same, False)):
+            kind = 3 if not a else 4 if not b else 0 if right else 2 if half else 1
+            out[m][kind] += 1
+    return out
+
+
+def _rates(n: list[int], half: bool) -> tuple[float, float, float]:
+    """Precision, recall and F1 of counts; a partial match is worth half where it counts at all."""
+    right = n[0] + (0.5 * n[2] if half else 0.0)
+    act, pos = n[0] + n[1] + n[2] + n[4], n[0] + n[1] + n[2] + n[3]
+    p, r = right / act if act else 0.0, right / pos if pos else 0.0
+    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
+def span_evaluation(pairs: DataFrame) -> DataFrame:
+    """Rows (doc_id, cands, refs; arrays of triples) to (doc_id, measure, pairs, counts, precision, recall, f1).
+
+    Candidates are assigned to references one to one so that the sum of the mean F1 of the four measures is greatest;
+    what is left over has no partner. Counts are summed over a document's pairs, rates are summed too, so that
+    :func:`span_summary` can average them over pairs.
+    """
+    id_type = pairs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, cands, refs in zip(pdf.doc_id, pdf.cands, pdf.refs, strict=True):
+                cands, refs = ([tuple(t) for t in x] for x in (cands, refs))
+                table = [[span_counts(a, b) for b in refs] for a in cands]
+                score = np.array([[np.mean([_rates(n[m], m == "partial")[2] for m in MEASURES]) for n in row] for row in table]).reshape(len(cands), len(refs))
+                matched = assign(score) if score.size else []
+                found = [table[i][j] for i, j in matched]
+                found += [span_counts(cands[i], None) for i in set(range(len(cands))) - {i for i, _ in matched}]
+                found += [span_counts(None, refs[j]) for j in set(range(len(refs))) - {j for _, j in matched}]
+                for m in MEASURES:
+                    rates = np.array([_rates(n[m], m == "partial") for n in found]).reshape(-1, 3).sum(0)
+                    rows.append((doc, m, len(found), *np.array([n[m] for n in found]).reshape(-1, len(COUNTS)).sum(0).tolist(), *rates.tolist()))
+            yield pd.DataFrame(rows, columns=["doc_id", "measure", "pairs", *COUNTS, "precision", "recall", "f1"])
+
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    return pairs.select("doc_id", "cands", "refs").mapInPandas(run, f"doc_id {id_type}, measure string, pairs long, {counts}, precision double, recall double, f1 double")
+
+
+def span_summary(evaluated: DataFrame) -> DataFrame:
+    """Per measure the summed counts and the mean rates over all pairs."""
+    mean = [F.round(F.try_divide(F.sum(c), F.sum("pairs")), 6).alias(c) for c in ("precision", "recall", "f1")]
+    return evaluated.groupBy("measure").agg(F.sum("pairs").alias("pairs"), *(F.sum(c).alias(c) for c in COUNTS), *mean)
+
+
+def aligned_pairs(predicted: DataFrame, gold: DataFrame, most_apart: int | None = None) -> DataFrame:
+    """(doc_id, cands, refs) from lines (doc_id, text) that hold literal lists of triples.
+
+    A document goes if its prediction is no list of three strings each, if either line is missing, or if the
+    numbers of triples differ by more than ``most_apart``.
+    """
+    side = lambda df, name: read_triples(df.select("doc_id", "text"), "text", "strict").select("doc_id", F.col("triples").alias(name)).where(F.col(name).isNotNull())
+    both = side(predicted, "cands").join(side(gold, "refs"), "doc_id")
+    return both if most_apart is None else both.where(F.abs(F.size("cands") - F.size("refs")) <= most_apart)
+
+
+def scored_predictions(triples: DataFrame, synonyms: dict[str, str], topics: tuple[str, ...]) -> DataFrame:
+    """Predictions (doc_id, ord, s, r, o) as they are scored: concept names, on topic, the first of equal ones per document."""
+    x = triples.select("doc_id", "ord", concept_name("s", synonyms).alias("s"), F.trim("r").alias("r"), concept_name("o", synonyms).alias("o")).where("s is not null and o is not null")
+    topic = reduce(Column.__or__, (F.contains(c, F.lit(t)) for t in topics for c in (F.col("s"), F.col("o"))), F.lit(False))
+    return x.where(topic).groupBy("doc_id", "s", "r", "o").agg(F.min("ord").alias("ord"))
+
+
+def relevant_docs(docs: DataFrame, mentions: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents that mention one of the identifiers."""
+    return docs.join(mentions.join(ids.select("id"), "id", "left_semi").select("doc_id"), "doc_id", "left_semi")
+
+
+def gold_triples(relations: DataFrame, mentions: DataFrame, topics: tuple[str, ...]) -> DataFrame:
+    """Gold triples (doc_id, pos, s, r, o) of relations (doc_id, pos, rel, e1, e2) by their mentions' names (doc_id, id, name).
+
+    A name that is an abbreviation is written out; triples off topic go, of equal ones the first place stays,
+    relations with an unnamed end go.
+    """
+    name = lambda n: mentions.select("doc_id", F.col("id").alias(f"e{n}"), written_out("name").alias(f"n{n}")).where(f"n{n} <> ''")
+    x = relations.join(name(1), ["doc_id", "e1"]).join(name(2), ["doc_id", "e2"]).select("doc_id", "pos", F.col("n1").alias("s"), F.col("rel").alias("r"), F.col("n2").alias("o"))
+    topic = reduce(Column.__or__, (F.contains(F.lower(c), F.lit(t)) for t in topics for c in ("s", "o")), F.lit(False))
+    return x.where(topic).groupBy("doc_id", "s", "r", "o").agg(F.min("pos").alias("pos"))
+
+
 # --- benchmark generation --------------------------------------------------------
 
 
 def positives(relations: DataFrame, mentions: DataFrame, schema_map: DataFrame) -> DataFrame:
-    """Document relations (doc_id, rel, e1, e2) with both ends' names and types, mapped by (rel, t1, t2), else swapped."""
+    """Document relations (doc_id, rel, e1, e2) with both ends' names and types, mapped by (rel, t1, t2), else swapped."""
     m = lambda n: mentions.select("doc_id", F.col("id").alias(f"e{n}"), F.col("name").alias(f"n{n}"), F.col("type").alias(f"t{n}"))
     full = relations.join(m(1), ["doc_id", "e1"]).join(m(2), ["doc_id", "e2"])
     straight = schema_map.select("rel", "t1", "t2", F.col("target").alias("straight"))

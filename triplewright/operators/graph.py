@@ -58,10 +58,9 @@ def hop2(near: DataFrame, chosen: Sequence[str], nodes: DataFrame, to: Sequence[
 
 
 def safety_of(edges: DataFrame, relation: str, name: str) -> DataFrame:
-    """Q04: what the safety relation ties to nodes whose id contains ``name`` (case doesn't count), from either end."""
-    e = edges.where(F.col("rel") == relation).select(*KEY)
-    ends = e.select("rel", F.col("src").alias("id"), F.col("dst").alias("other")).unionByName(e.select("rel", F.col("dst").alias("id"), F.col("src").alias("other")))
-    return ends.where(F.contains(F.lower("id"), F.lit(name.lower()))).select("id", "rel", "other").distinct()
+    """Q04: (id, other, rel) of the safety relation's edges from nodes whose id contains ``name`` (case doesn't count)."""
+    e = edges.where((F.col("rel") == relation) & F.contains(F.lower("src"), F.lit(name.lower())))
+    return e.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lower("rel").alias("rel")).distinct()
 
 
 def guarded(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:

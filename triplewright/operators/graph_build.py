@@ -219,6 +219,18 @@ def pack_graph(triples: DataFrame, entries: DataFrame, vocabulary: DataFrame, sc
     return packed.select(F.col("canon").alias("id"), "labels", "aliases", fill("code", F.lit("NONE")), fill("canonical", F.col("canon")), fill("type", F.lit("Unknown")), "target_threshold", "dosage_value"), edges
 
 
+# Labels that a node may be loaded with.
+NODE_LABELS = ("Disease", "Symptom", "Drug", "Treatment_Procedure", "Dosage_Value", "Clinical_Metric", "Biomarker", "Nutrient", "Clinical_Rule", "Risk_Factor", "Anatomical_Site")
+
+
+def loadable_nodes(nodes: DataFrame, allowed: tuple[str, ...] = NODE_LABELS) -> DataFrame:
+    """Nodes with their ``labels`` in the allowed spelling, case, blanks and dashes aside; nodes without any don't load."""
+    key = lambda c: F.lower(F.translate(F.trim(c), " -", "__"))
+    spelt = F.create_map(*(F.lit(x) for label_ in allowed for x in (label_.lower(), label_)))
+    known = F.array_sort(F.array_distinct(F.array_compact(F.transform("labels", lambda x: F.try_element_at(spelt, key(x))))))
+    return nodes.withColumn("labels", known).where(F.size("labels") > 0)
+
+
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` replace what is stored column by column where they have a value; other rows stay."""
     a, b = stored.alias("a"), new.alias("b")

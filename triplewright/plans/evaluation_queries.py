@@ -206,7 +206,7 @@ FROM (SELECT lang, source, doc_id % 10 = 3 AS i, regexp_matches(lower(text), 'li
 
 @query
 def canonical_surface_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent surface form of each type; ties by length, then by first place."""
+    """The most frequent surface form of each type; ties by length, then by first place."""
     p = v.table(spark, sf_dir, "part").select(F.explode(F.array_union(F.array("p_type"), F.split("p_type", " "))).alias("concept"), F.col("p_name").alias("form"), F.col("p_partkey").alias("pos"))
     n = p.groupBy("concept", "form").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     best = n.groupBy("concept").agg(F.min(F.struct(-F.col("n"), F.length("form").alias("l"), "first", "form", "n")).alias("m"))

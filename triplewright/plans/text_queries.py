@@ -105,7 +105,7 @@ SELECT page_id, concat_ws(' > ', CASE WHEN h1 <> '' THEN 'Header 1: ' || h1 END,
 
 @query
 def table_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language with a table rule, before and after one is added to every third."""
+    """Documents by language with a table rule, before and after one is added to every third."""
     d = _docs(spark, sf_dir)
     ruled = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n| a | b |\n|---|:-:|\n"))).otherwise(F.col("text"))
     return d.groupBy("lang").agg(F.count_if(t.has_table("text")).alias("as_is"), F.count_if(t.has_table(ruled)).alias("ruled"))
@@ -125,14 +125,14 @@ def thinking_and_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("turn") % 4
     x = F.when(k == 0, F.concat(F.lit("<think>a\nb</think>"), "text")).when(k == 1, F.concat("text", F.lit("<think>open"))).when(k == 2, F.concat("text", F.lit("</think>Output: "), "role")).otherwise(F.col("text"))
     y = t.without_thinking(x)
-    return c.select("conv_id", "turn", F.length(y).alias("chars"), F.substring(t.final_answer(y), 1, 40).alias("answer"))
+    return c.select("conv_id", "turn", F.length(y).alias("chars"), t.final_answer(y).alias("answer"))
 
 
 oracle(
     thinking_and_answer,
     r"""WITH x AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN concat('<think>a', chr(10), 'b</think>', text) WHEN 1 THEN concat(text, '<think>open') WHEN 2 THEN concat(text, '</think>Output: ', role) ELSE text END AS x FROM conversations),
 y AS (SELECT conv_id, turn, regexp_replace(replace(regexp_replace(regexp_replace(x, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', ''), '</think>', ''), '^\s+|\s+$', '', 'g') AS y FROM x)
-SELECT conv_id, turn, CAST(length(y) AS INTEGER) AS chars, substring(CASE WHEN contains(y, 'Output:') THEN y[length(y) - strpos(reverse(y), ':tuptuO') - 5:] ELSE right(y, 600) END, 1, 40) AS answer FROM y""",
+SELECT conv_id, turn, CAST(length(y) AS INTEGER) AS chars, CASE WHEN contains(y, 'Output:') THEN y[length(y) - strpos(reverse(y), ':tuptuO') - 5:] ELSE right(y, 600) END AS answer FROM y""",
 )
 
 
