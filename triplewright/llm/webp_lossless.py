@@ -1,20 +1,26 @@
-"""Media columns in lossless WebP (VP8L): a decoder for the whole bit stream and a plain encoder, in numpy.
+"""Media columns in lossless WebP (VP8L): a decoder for the whole bit stream and an encoder, in numpy.
 
 The decoder reads prefix codes (simple and normal), meta prefix codes, back-references, the colour cache and
 the four transforms (predictor, cross-colour, subtract-green, palette with pixel bundling), and gives ARGB
-pixel arrays. Images whose codes all have one length per channel and hold literals only are read
-in one vectorised step; every other stream is read symbol by symbol.
-
-The encoder stores bytes as the green channel of images 64 pixels wide, under a flat prefix code over the
-values that occur. More than 2**20 bytes become several images, one RIFF file after another.
-
-Defined results: a null text counts as empty, its payload is 64 zero bytes; equal texts give equal values;
+pixel arrays. Where only the green channel varies, each bit of a block is taken as the start of a symbol and looked
+up at once; the symbols that count are those reached from the first one, and back-references are then copied in
+order. Every other stream is read symbol by symbol.
+
+The encoder stores bytes as grey pixels, 64 to a row: subtract-green leaves the other channels 0, repeats of at
+least ``MIN_MATCH`` bytes become back-references, and literals, lengths and distances go under prefix codes made
+for the image. Bytes of at most 16 values are stored as a palette with bundled indices. More than 2**20 bytes
+become several images, one RIFF file after another. The encoder uses no predictor, no cross-colour transform,
+no colour cache and no meta codes, as these gain nothing on text; the decoder's are run by hand-made streams in the tests.
+
+Defined results: a null text counts as empty, its payload is 64 zero bytes; equal texts give equal values; of
+several earlier places of a repeat the nearest is taken; a very long text is stored image by image;
 an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,9 @@ from triplewright.llm.packing import in_chunks
 
 WIDTH = 64
 MAX_HEIGHT = 16384
+MIN_MATCH = 8
+_BLOCK = 1 << 15  # bytes of the stream that are looked up at once
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK_CHARS = 2_000_000
 
 # Fixed values of the format.
@@ -47,13 +56,19 @@ class BitReader:
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data, 0, 8 * len(data)
 
-    def read(self, n: int) -> int:
+    def peek(self, n: int) -> int:
+        """The next n bits; 0 beyond the end."""
         lo = self.at >> 3
-        word = int.from_bytes(self.data[lo : lo + (n + 14 >> 3)], "little")
-        found = word >> (self.at & 7) & ((1 << n) - 1)
+        return int.from_bytes(self.data[lo : lo + (n + 14 >> 3)], "little") >> (self.at & 7) & ((1 << n) - 1)
+
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > self.end:
             raise ValueError("the stream ends early")
+
+    def read(self, n: int) -> int:
+        found = self.peek(n)
+        self.skip(n)
         return found
 
 
@@ -73,22 +88,17 @@ class PrefixCode:
         if len(used) != 1 and (not used or code != 1 << last):
             raise ValueError("not a complete prefix code")
 
-    def flat(self) -> int | None:
-        """The length that all codes share, or None."""
-        if self.only is not None:
-            return 0
-        return self.symbols[0][0] if self.symbols[0][0] == self.symbols[-1][0] else None
-
     def read(self, bits: BitReader) -> int:
         if self.only is not None:
             return self.only
-        code = n = 0
-        while True:
-            code, n = code << 1 | bits.read(1), n + 1
+        ahead, code = bits.peek(15), 0
+        for n in range(1, 16):
+            code = code << 1 | ahead & 1
+            ahead >>= 1
             if (n, code) in self.table:
+                bits.skip(n)
                 return self.table[n, code]
-            if n > 15:
-                raise ValueError("no such prefix code")
+        raise ValueError("no such prefix code")
 
 
 def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
@@ -112,7 +122,8 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
             lengths[at], at = s, at + 1
             before = s or before
         else:
-            again = (3 + bits.read(2), 3 + bits.read(3), 11 + bits.read(7))[s - 16]
+            n, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            again = least + bits.read(n)
             if at + again > alphabet:
                 raise ValueError("code lengths run over")
             lengths[at : at + again] = [before if s == 16 else 0] * again
@@ -127,27 +138,120 @@ def _extra(bits: BitReader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << n) + bits.read(n) + 1
 
 
-def _read_flat(bits: BitReader, codes: list[PrefixCode], n: int) -> np.ndarray:
-    """All pixels at once: each channel has codes of one length and no symbol beyond the literals."""
-    widths = [c.flat() for c in codes[:4]]
-    total = sum(widths)
-    pixels = np.zeros(n, np.uint32)
-    lo = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8, offset=lo)
-    if bits.at + n * total > bits.end:
+def _mirror(width: int) -> np.ndarray:
+    """Each number of so many bits with its bits in reverse order."""
+    if width not in _MIRRORED:
+        _MIRRORED[width] = sum((np.arange(1 << width) >> k & 1) << width - 1 - k for k in range(width))
+    return _MIRRORED[width]
+
+
+_MIRRORED: dict[int, np.ndarray] = {}
+
+
+def _looked_up(code: PrefixCode) -> tuple[int, np.ndarray, np.ndarray]:
+    """Width of a window on the stream, and by window the symbol that starts there and its bits."""
+    if code.only is not None:
+        return 1, np.full(2, code.only, np.uint16), np.zeros(2, np.uint8)
+    width = code.symbols[-1][0]
+    size, symbol = np.array(code.symbols).T  # in code order, so each takes the next stretch of windows read from the left
+    stretch, mirrored = 1 << width - size, _mirror(width)
+    return width, np.repeat(symbol.astype(np.uint16), stretch)[mirrored], np.repeat(size.astype(np.uint8), stretch)[mirrored]
+
+
+def _peek(raw: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """The n bits (at most 24) from each bit offset on; ``raw`` has four bytes to spare."""
+    byte = at >> 3
+    word = raw[byte].astype(np.int64)
+    for k in (1, 2, 3):
+        word |= raw[byte + k].astype(np.int64) << 8 * k
+    return word >> (at & 7) & (1 << np.asarray(n, np.int64)) - 1
+
+
+def _prefix_value(prefix: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    n = np.maximum(0, prefix - 2 >> 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + extra + 1)
+
+
+def _read_green(bits: BitReader, codes: list[PrefixCode], width: int, n: int) -> np.ndarray:
+    """All pixels of an image in which only green varies: literals and back-references."""
+    (wide, symbol, size), (far_wide, far_symbol, far_size) = _looked_up(codes[0]), _looked_up(codes[4])
+    raw = np.concatenate([np.frombuffer(bits.data, np.uint8), np.zeros(16, np.uint8)])
+    found, copied, left, at = [], [], n, bits.at
+    while left > 0:
+        if at >= bits.end and codes[0].only is None:
+            raise ValueError("the stream ends early")
+        if codes[0].only is not None and codes[0].only < 256:  # no bits at all
+            found.append(np.full(left, codes[0].only, np.int64))
+            copied.append(np.zeros((2, 0), np.int64))
+            break
+        lo, hi = at >> 3, min(len(raw) - 8, (at >> 3) + _BLOCK)
+        word = raw[lo:hi].astype(np.uint32)
+        word |= raw[lo + 1 : hi + 1].astype(np.uint32) << np.uint32(8)
+        word |= raw[lo + 2 : hi + 2].astype(np.uint32) << np.uint32(16)
+        window = (word[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32((1 << wide) - 1)).reshape(-1)
+        here, skip = symbol[window], size[window]
+        refs = np.flatnonzero(here >= 256)
+        length = far = np.zeros(0, np.int64)
+        if len(refs):
+            prefix = here[refs].astype(np.int64) - 256
+            pos = 8 * lo + refs + skip[refs]
+            inside = pos < 8 * (len(raw) - 12)  # the others lie beyond the stream's end
+            refs, prefix, pos = refs[inside], prefix[inside], pos[inside]
+            extra = np.maximum(0, prefix - 2 >> 1)
+            length = _prefix_value(prefix, _peek(raw, pos, extra))
+            pos = np.minimum(pos + extra, 8 * (len(raw) - 8))
+            code = _peek(raw, pos, far_wide)
+            prefix = far_symbol[code].astype(np.int64)
+            pos = np.minimum(pos + far_size[code], 8 * (len(raw) - 8))
+            extra = np.maximum(0, prefix - 2 >> 1)
+            far = _prefix_value(prefix, _peek(raw, pos, extra))
+            skip[refs] = np.minimum(255, pos + extra - 8 * lo - refs)
+        steps, end, p = skip.tobytes(), len(skip), at - 8 * lo
+        starts = []
+        add = starts.append
+        for _ in range(left):  # each symbol gives a pixel at least
+            if p >= end:
+                break
+            add(p)
+            p += steps[p]
+        starts = np.array(starts, np.int64)
+        part = here[starts].astype(np.int64)
+        hit = starts[part >= 256]
+        which = np.searchsorted(refs, hit)
+        known = np.append(refs, -1)[which] == hit  # what follows the last pixel may be anything
+        pixels = np.ones(len(part), np.int64)
+        pixels[part >= 256] = np.where(known, np.append(length, 0)[which], left + 1)
+        enough = int(np.searchsorted(pixels.cumsum(), left)) + 1  # symbols that the image takes
+        part, kept = part[:enough], int((part[:enough] >= 256).sum())
+        if not known[:kept].all():
+            raise ValueError("the stream ends early")
+        found.append(part)
+        copied.append(np.stack([length[which[:kept]], far[which[:kept]]]))
+        left -= int(pixels[:enough].sum())
+        at = 8 * lo + p if enough >= len(starts) else 8 * lo + int(starts[enough])
+    if left < 0:
+        raise ValueError("a back-reference leaves the image")
+    if at > bits.end:
         raise ValueError("the stream ends early")
-    rows = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: n * total].reshape(n, total)
-    bits.at += n * total
-    col = 0
-    for code, width, shift in zip(codes, widths, (8, 16, 0, 24), strict=False):
-        values = np.array([s for _, s in code.symbols], np.uint32)  # in code order
-        if width:
-            index = np.packbits(rows[:, col : col + width], axis=1)[:, 0] >> (8 - width)  # most significant bit first
-            pixels |= values[index] << np.uint32(shift)
+    bits.at = at
+    symbols, copies = np.concatenate(found), np.concatenate(copied, 1)
+    is_copy = symbols >= 256
+    take = np.ones(len(symbols), np.int64)
+    take[is_copy] = copies[0]
+    place = take.cumsum() - take
+    out = np.zeros(n, np.uint8)
+    out[place[~is_copy]] = symbols[~is_copy]
+    for p, k, d in zip(place[is_copy].tolist(), copies[0].tolist(), copies[1].tolist(), strict=True):
+        if d <= 120:
+            dx, dy = _NEAR[d - 1]
+            d = max(1, dx + dy * width)
         else:
-            pixels |= values[0] << np.uint32(shift)
-        col += width
-    return pixels
+            d -= 120
+        if d > p:
+            raise ValueError("a back-reference leaves the image")
+        out[p : p + k] = out[p - d : p - d + k] if d >= k else np.resize(out[p - d : p], k)
+    rest = [c.only for c in codes[1:4]]
+    return out.astype(np.uint32) << np.uint32(8) | np.uint32(rest[2] << 24 | rest[0] << 16 | rest[1])
 
 
 def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -164,9 +268,15 @@ def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarr
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[read_code(bits, size) for size in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and all(c.flat() is not None and (c.flat() or 0) <= 8 for c in codes[0][:4]) and codes[0][0].symbols[-1][1] < 256:
-        return _read_flat(bits, codes[0], n)
-    cache = [0] * cache_size
+    if groups == 1 and not cache_bits and all(c.only is not None for c in codes[0][1:4]):
+        return _read_green(bits, codes[0], width, n)
+    group_of = (lambda at: int(meta[(at // width >> block) * across + (at % width >> block)])) if meta is not None else lambda at: 0
+    return _read_each(bits, codes, width, n, cache_bits, group_of)
+
+
+def _read_each(bits: BitReader, codes: list[list[PrefixCode]], width: int, n: int, cache_bits: int = 0, group_of: Callable[[int], int] = lambda at: 0) -> np.ndarray:
+    """The pixels of any image, symbol by symbol; ``group_of`` tells the codes of a place."""
+    cache = [0] * (1 << cache_bits if cache_bits else 0)
     out: list[int] = []
     put = 0  # pixels up to here are in the cache
 
@@ -177,7 +287,7 @@ def read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarr
 
     while len(out) < n:
         at = len(out)
-        green, red, blue, alpha, distance = codes[int(meta[(at // width >> block) * across + (at % width >> block)])] if meta is not None else codes[0]
+        green, red, blue, alpha, distance = codes[group_of(at)]
         s = green.read(bits)
         if s < 256:
             r = red.read(bits)
@@ -341,38 +451,189 @@ def images(media: bytes) -> Iterator[np.ndarray]:
             at += 8 + size + (size & 1)
 
 
-def _put(n: int, value: int) -> np.ndarray:
-    return np.array([value >> k & 1 for k in range(n)], np.uint8)
-
-
-def _flat_code(values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray | None]:
-    """Bits of the green code over byte values, and per value its code bits in reading order (None: no bits)."""
-    if len(values) == 1:
-        return [_put(3, 0b101), _put(8, int(values[0]))], None
-    width = max(1, int(len(values) - 1).bit_length())
-    spare = np.setdiff1d(np.arange(256), values)[: (1 << width) - len(values)]
-    used = np.sort(np.concatenate([values, spare]))  # a complete code: 2**width values of `width` bits
-    code = np.zeros(256, np.int64)
-    code[used] = np.arange(len(used))
-    bits = (code[:, None] >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8)
-    if width == 1:
-        return [_put(3, 0b111), _put(8, int(used[0])), _put(8, int(used[1]))], bits
-    lengths_used = {0: 1, width: 1}  # one bit each: 0 for an absent value, 1 for a used one
-    head = [_put(1, 0), _put(4, 8), *[_put(3, lengths_used.get(s, 0)) for s in CODE_LENGTH_ORDER[:12]]]
-    absent = np.zeros(256, np.uint8)
-    absent[used] = 1
-    return [*head, _put(1, 1), _put(3, 3), _put(8, 254), absent], bits  # 2 + 254 lengths follow
+class BitWriter:
+    """Fields of up to 24 bits, least significant bit first."""
+
+    def __init__(self):
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def put(self, n: int, value: int) -> None:
+        self.many([value], [n])
+
+    def many(self, values, sizes) -> None:  # noqa: ANN001  (sequences)
+        self.values.append(np.asarray(values, np.int64))
+        self.sizes.append(np.asarray(sizes, np.int64))
+
+    def data(self) -> bytes:
+        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        ends = sizes.cumsum()
+        bit = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+        return np.packbits((np.repeat(values, sizes) >> bit & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a prefix code over the symbols that occur, none longer than ``most``; ties go by symbol."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    weight = counts[used].astype(np.int64)
+    while True:
+        heap = [(int(w), i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        up, n = {}, len(used)
+        while len(heap) > 1:
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i] = up[j] = n
+            heapq.heappush(heap, (a + b, n))
+            n += 1
+        depth = [0] * n
+        for i in range(n - 2, -1, -1):
+            depth[i] = depth[up[i]] + 1
+        if max(depth) <= most:
+            out[used] = depth[: len(used)]
+            return out
+        weight = weight + 1 >> 1
+
+
+def code_words(lengths: np.ndarray) -> np.ndarray:
+    """Canonical codes of the symbols, with the bit that is read first as the lowest."""
+    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
+    for n, s in sorted((int(n), s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code, last = code + 1, n
+    return out
+
+
+def _write_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code for the symbols that occur; gives their code words and lengths (0 if there is only one)."""
+    used = np.flatnonzero(counts)
+    if len(used) == 0 or len(used) == 1 and used[0] < 256:
+        w.many([1, 0, 1, used[0] if len(used) else 0], [1, 1, 1, 8])
+        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    if len(used) == 1:  # a symbol beyond the simple codes: a second one completes the code
+        counts = counts.copy()
+        counts[0] = 1
+    lengths = code_lengths(counts, 15)
+    tokens, extra_bits, extras, at = [], [], [], 0
+    for s in [*np.flatnonzero(lengths).tolist(), len(lengths)]:
+        while at < s:  # runs of zeros have codes of their own
+            run = min(s - at, 138)
+            kind, bits, least = (18, 7, 11) if run >= 11 else (17, 3, 3) if run >= 3 else (0, 0, run)
+            tokens += [kind] * (run if run < 3 else 1)
+            extra_bits += [bits] * (run if run < 3 else 1)
+            extras += [run - least] * (run if run < 3 else 1)
+            at += run
+        if s < len(lengths):
+            tokens.append(int(lengths[s]))
+            extra_bits.append(0)
+            extras.append(0)
+            at = s + 1
+    size = code_lengths(np.bincount(tokens, minlength=19), 7)
+    if np.count_nonzero(size) == 1:
+        size[0 if size[0] == 0 else 1] = 1
+    word = code_words(size)
+    order = [int(size[s]) for s in CODE_LENGTH_ORDER]
+    while len(order) > 4 and order[-1] == 0:
+        order.pop()
+    w.many([0, len(order) - 4, *order, 0], [1, 4, *[3] * len(order), 1])
+    w.many(np.stack([word[tokens], extras], 1).reshape(-1), np.stack([size[tokens], extra_bits], 1).reshape(-1))
+    return code_words(lengths), lengths
+
+
+def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, number of extra bits and extra bits of values from 1 on."""
+    x = values - 1
+    high = np.where(x > 3, np.floor(np.log2(np.maximum(x, 1))).astype(np.int64), 2)
+    n = np.where(x > 3, high - 1, 0)
+    return np.where(x > 3, 2 * high + (x >> np.maximum(high - 1, 0) & 1), x), n, x & (1 << n) - 1
+
+
+def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and distances of back-references, from the left, each as long as it gets."""
+    none = np.zeros(0, np.int64)
+    n = len(samples) - MIN_MATCH + 1
+    if n < 2:
+        return none, none, none
+    key = np.ndarray((n,), "<u8", samples.tobytes(), strides=(1,)).copy()
+    tagged = np.sort((key * _MIX & ~np.uint64((1 << 20) - 1)) | np.arange(n, dtype=np.uint64))
+    at = (tagged & np.uint64((1 << 20) - 1)).astype(np.int64)
+    same = (tagged[1:] >> np.uint64(20) == tagged[:-1] >> np.uint64(20)) & (key[at[1:]] == key[at[:-1]])
+    before = np.full(n, -1, np.int64)
+    before[at[1:][same]] = at[:-1][same]
+    places = np.flatnonzero(before >= 0)
+    out, free, total = [], 0, len(samples)
+    for p, q in zip(places.tolist(), before[places].tolist(), strict=True):
+        if p < free:
+            continue
+        k, step = MIN_MATCH, 32
+        most = min(4096, total - p)
+        while k < most:
+            m = min(step, most - k)
+            differ = samples[p + k : p + k + m] != samples[q + k : q + k + m]
+            if differ.any():
+                k += int(differ.argmax())
+                break
+            k, step = k + m, 4 * step
+        out.append((p, k, p - q))
+        free = p + k
+    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (none, none, none)
+
+
+def _write_green(w: BitWriter, samples: np.ndarray, alpha: int) -> None:
+    """An entropy-coded image of which only the green channel varies; red and blue are 0."""
+    place, length, far = repeats(samples)
+    covered = np.zeros(len(samples) + 1, np.int64)
+    covered[place] += 1
+    np.add.at(covered, place + length, -1)
+    literal = np.flatnonzero(covered[:-1].cumsum() == 0)
+    at = np.concatenate([literal, place])
+    order = np.argsort(at, kind="stable")
+    sym, n, extra = _prefixed(length)
+    far_sym, far_n, far_extra = _prefixed(far + 120)  # short distances have no codes of their own here
+    symbol = np.concatenate([samples[literal], 256 + sym])[order]
+    w.many([0, 0], [1, 1])  # no colour cache, no meta codes
+    words, sizes = _write_code(w, np.bincount(symbol, minlength=280))
+    for constant in (0, 0, alpha):
+        _write_code(w, np.bincount([constant], minlength=256))
+    far_words, far_sizes = _write_code(w, np.bincount(far_sym, minlength=40))
+    none = np.zeros(len(literal), np.int64)
+    fields = [(words[symbol], sizes[symbol])]
+    fields += [(np.concatenate([none, x])[order], np.concatenate([none, y])[order]) for x, y in ((extra, n), (far_words[far_sym], far_sizes[far_sym]), (far_extra, far_n))]
+    w.many(np.stack([f[0] for f in fields], 1).reshape(-1), np.stack([f[1] for f in fields], 1).reshape(-1))
+
+
+def _write_palette(w: BitWriter, values: np.ndarray) -> None:
+    """The palette of grey values, as the differences of successive colours."""
+    grey = np.diff(values, prepend=0) & 255
+    alpha = np.where(np.arange(len(values)) == 0, 255, 0)
+    w.put(1, 0)  # no colour cache
+    codes = [_write_code(w, np.bincount(c, minlength=size)) for c, size in ((grey, 280), (grey, 256), (grey, 256), (alpha, 256), (np.zeros(0, np.int64), 40))]
+    pixels = [(codes[k][0][c], codes[k][1][c]) for k, c in enumerate((grey, grey, grey, alpha))]
+    w.many(np.stack([p[0] for p in pixels], 1).reshape(-1), np.stack([p[1] for p in pixels], 1).reshape(-1))
 
 
 def encode_bytes(payload: np.ndarray) -> bytes:
-    """A WebP file with the bytes as green channel, 64 to a row; red and blue are 0, alpha is 255."""
-    height = len(payload) // WIDTH
-    code, bits = _flat_code(np.unique(payload))
-    constant = lambda v: [_put(3, 0b101), _put(8, v)]
-    head = [_put(8, 0x2F), _put(14, WIDTH - 1), _put(14, height - 1), _put(1, 0), _put(3, 0), _put(1, 0), _put(1, 0), _put(1, 0)]
-    body = [bits[payload].reshape(-1)] if bits is not None else []
-    stream = np.concatenate([*head, *code, *constant(0), *constant(0), *constant(255), *constant(0), *body])
-    return riff(np.packbits(stream, bitorder="little").tobytes())
+    """A WebP file with the bytes as grey pixels, 64 to a row, alpha 255."""
+    height, w = len(payload) // WIDTH, BitWriter()
+    w.many([0x2F, WIDTH - 1, height - 1, 0, 0], [8, 14, 14, 1, 3])
+    values = np.flatnonzero(np.bincount(payload, minlength=256))
+    samples = payload.astype(np.int64)
+    if len(values) <= 16:
+        bundle = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+        w.many([1, PALETTE, len(values) - 1], [1, 2, 8])
+        _write_palette(w, values)
+        index = np.searchsorted(values, samples).reshape(-1, 1 << bundle)
+        packed = (index << np.arange(1 << bundle) * (8 >> bundle)).sum(1)
+        w.put(1, 0)
+        _write_green(w, packed.astype(np.uint8), 0)
+    else:
+        w.many([1, SUBTRACT_GREEN, 0], [1, 2, 1])
+        _write_green(w, payload, 255)
+    return riff(w.data())
 
 
 def to_media(payload: bytes) -> bytes:
