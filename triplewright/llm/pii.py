@@ -5,13 +5,18 @@ tokens (runs without white space) that hold a digit or an at sign; every other t
 so leaving it out changes nothing. Its potentials are
 
 * for a token, a multinomial logistic model over the parts of its shape;
-* for neighbouring tokens, and for skip edges between successive tokens of one document with the same stem
-  (the digits of a number, the local part of an address), the pointwise mutual information of their labels.
-
-Both come from counts over all documents, with the base spans as labels: shapes and label pairs are few, so
-only a small table of counts reaches the driver. Loopy belief propagation spreads labels along both kinds of
-edges; a token that reaches ``ADD_AT`` for a kind and touches no base span becomes a span, together with
-neighbours of the same kind. Base spans always stay.
+* for neighbouring tokens (chain), for successive tokens of one document with the same stem (skip: the digits of a
+  number, the local part of an address) and for successive ones that are alike (similar: the same last seven
+  digits, or the same letters before the at sign), a table of label pairs.
+
+They are trained by pseudo-likelihood: of each token given the labels around it, with base spans as labels. A
+token without a base span that is tied to one with it may be an entity that the patterns miss, so it counts as
+unlabelled; the others that are tied train the pairs a second time with their shape hidden, as such entities
+look unlike any that the patterns find. Training starts from the logistic model alone and the pointwise mutual information of label pairs.
+Shapes and labels around a token are few, so only a table of counts over all documents reaches the driver.
+Loopy belief propagation spreads labels along all edges, those of base spans being certain; a token that reaches ``ADD_AT`` for a kind, touches no base
+span and is tied to a token of that kind, directly or through others, becomes a span, together with neighbours
+of the same kind. Base spans always stay.
 
 Defined results: a null text counts as empty and has no spans; offsets are code points, ends exclusive;
 of spans with one start, kinds go in the order listed; a very long text or token is read whole, in linear time;
@@ -25,7 +30,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
 TOLERANCE = 1e-7  # of a log message
 DAMPED_AFTER = 64  # rounds: later messages go half way, so that they do not swing
-ADD_AT = 0.95
+ADD_AT = 0.8
 CLIP = 4.0
+DECAY = 1e-3
+CERTAIN = 50.0  # log odds of a base span's label
 AGREE = 1.0  # prior count of equal labels at the ends of a skip edge
 
 _ANY = re.compile(r"[0-9@]")
@@ -103,7 +110,25 @@ class Tokens:
     end: list[int]
     shape: list[str]
     chain: list[tuple[int, int]]  # neighbours with nothing but white space and punctuation between
-    skip: list[tuple[int, int]]
+    skip: list[tuple[int, int]]  # successive tokens with the same stem
+    similar: list[tuple[int, int]] = field(default_factory=list)  # and with like ones
+
+    def tied(self, labelled: list[int]) -> list[set[int]]:
+        """For each token the labels (but 0) of the tokens that it reaches by skip and similar edges."""
+        up = list(range(len(self.start)))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for a, b in [*self.skip, *self.similar]:
+            up[root(a)] = root(b)
+        found: dict[int, set[int]] = {}
+        for i, label in enumerate(labelled):
+            found.setdefault(root(i), set()).update({label} - {0})
+        return [found[root(i)] for i in range(len(up))]
 
 
 def _bucket(n: int, edges: tuple[int, ...]) -> int:
@@ -133,7 +158,7 @@ def _runs(text: str) -> Iterator[tuple[int, str]]:
 
 
 def tokens_of(text: str) -> Tokens:
-    out, last, seen = Tokens([], [], [], [], []), -1, {}
+    out, last, seen, alike = Tokens([], [], [], [], []), -1, {}, {}
     for at, raw in _runs(text):
         token = raw.strip(_EDGE)
         if not token:
@@ -151,6 +176,11 @@ def tokens_of(text: str) -> Tokens:
             if stem in seen:
                 out.skip.append((seen[stem], i))
             seen[stem] = i
+            kin = "".join(filter(str.isalpha, stem.partition("+")[0])) if "@" in token else stem[-7:] if len(stem) >= 7 else ""
+            if len(kin) >= 4:
+                if kin in alike and alike[kin] != (out.skip[-1][0] if out.skip and out.skip[-1][1] == i else -1):
+                    out.similar.append((alike[kin], i))
+                alike[kin] = i
     return out
 
 
@@ -167,21 +197,30 @@ def labels_of(tokens: Tokens, spans: list[Span]) -> list[int]:
     return out
 
 
+EDGES = ("chain", "skip", "similar")
+
+
 @dataclass
 class Field:
     parts: list[str]  # position and character of each one-hot part of a shape
     weights: np.ndarray  # (parts + 1, labels)
-    pair: dict[str, np.ndarray]  # chain and skip potentials, (labels, labels)
+    pair: dict[str, np.ndarray]  # potentials of each kind of edge, (labels, labels)
 
     def unary(self, shapes: list[str]) -> np.ndarray:
         x = _one_hot(shapes, self.parts) @ self.weights
         return x - np.logaddexp.reduce(x, axis=1, keepdims=True)
 
-    def marginals(self, tokens: Tokens) -> np.ndarray:
-        """Label probabilities by sum-product messages along chain and skip edges, passed until none changes by
-        more than ``TOLERANCE``; without that, the rounds end at twice the tokens and 1000 more."""
+    def marginals(self, tokens: Tokens, given: list[int] | None = None) -> np.ndarray:
+        """Label probabilities by sum-product messages along all edges, passed until none changes by
+        more than ``TOLERANCE``; without that, the rounds end at twice the tokens and 1000 more.
+
+        ``given``: labels that are certain, 0 where none is.
+        """
         unary = self.unary(tokens.shape)
-        edges = [(a, b, self.pair[k]) for k in ("chain", "skip") for a, b in getattr(tokens, k)]
+        for i, label in enumerate(given or ()):
+            if label:
+                unary[i] = np.where(np.arange(len(LABELS)) == label, 0.0, -CERTAIN)
+        edges = [(a, b, self.pair[k]) for k in EDGES for a, b in getattr(tokens, k)]
         if edges:
             a, b = np.array([e[:2] for e in edges]).T
             psi = np.stack([e[2] for e in edges])
@@ -209,13 +248,14 @@ class Field:
         tokens = tokens_of(text)
         if not tokens.start or len(self.weights) < 2:
             return base
-        p = self.marginals(tokens)
-        best = p.argmax(1)
         touched = labels_of(tokens, base)
+        p = self.marginals(tokens, touched)
+        best = p.argmax(1)
+        tied = tokens.tied(touched)
         added: list[Span] = []
         joined = {b for a, b in tokens.chain}
         for i in np.flatnonzero((best > 0) & (p.max(1) >= ADD_AT)):
-            if touched[i]:
+            if touched[i] or best[i] not in tied[i]:
                 continue
             kind = int(best[i]) - 1
             if added and i in joined and added[-1][2] == kind and added[-1][1] == tokens.end[i - 1]:
@@ -237,12 +277,12 @@ def _one_hot(shapes: list[str], parts: list[str]) -> np.ndarray:
 
 
 def train(counts: list[tuple[str, str, int, int, int]]) -> Field:
-    """A field from counts (what, shape, label, other label, n); what: token, chain or skip."""
+    """A field from counts (what, shape, label, other label, n) that are taken as independent; what: token or a kind of edge."""
     shapes = sorted({c[1] for c in counts if c[0] == "token"})
     parts = sorted({f"{k}{c}" for s in shapes for k, c in enumerate(s)})
     y = np.zeros((len(shapes), len(LABELS)))
     row = {s: i for i, s in enumerate(shapes)}
-    pair = {k: np.zeros((len(LABELS), len(LABELS))) for k in ("chain", "skip")}
+    pair = {k: np.zeros((len(LABELS), len(LABELS))) for k in EDGES}
     for what, shape, a, b, n in counts:
         if what == "token":
             y[row[shape], a] += n
@@ -259,32 +299,97 @@ def train(counts: list[tuple[str, str, int, int, int]]) -> Field:
             velocity = 0.9 * velocity - 0.5 * (x.T @ (weight * (p - goal)) + 1e-4 * weights)
             weights = weights + velocity
     for k, n in pair.items():
-        n = n + 0.1 + AGREE * (k == "skip") * np.eye(len(LABELS))
+        n = n + 0.1 + AGREE * (k != "chain") * np.eye(len(LABELS))
         expected = n.sum(1, keepdims=True) * n.sum(0, keepdims=True) / n.sum()
         pair[k] = np.clip(np.log(n / expected), -CLIP, CLIP)
     return Field(parts, weights, pair)
 
 
+Around = tuple[str, int, int, int, int, int, int, int]  # shape, label, labels before and after by each kind of edge (-1: none)
+
+
+def around(tokens: Tokens, labels: list[int]) -> list[Around]:
+    """Each labelled token with the labels around it. Unlabelled ones (see the module's text) count as absent."""
+    unknown = [not label and bool(kin) for label, kin in zip(labels, tokens.tied(labels), strict=True)]
+    near = [[-1] * (2 * len(EDGES)) for _ in labels]
+    for k, kind in enumerate(EDGES):
+        for a, b in getattr(tokens, kind):
+            near[b][2 * k] = -1 if unknown[a] else labels[a]
+            near[a][2 * k + 1] = -1 if unknown[b] else labels[b]
+    return [(s, label, *n) for s, label, n, u in zip(tokens.shape, labels, near, unknown, strict=True) if not u]
+
+
+def _scores(x: np.ndarray, near: np.ndarray, weights: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    z = x @ weights
+    for k in range(len(EDGES)):
+        z = z + np.vstack([pair[k], np.zeros(len(LABELS))])[near[:, 2 * k]] + np.vstack([pair[k].T, np.zeros(len(LABELS))])[near[:, 2 * k + 1]]
+    return z
+
+
+def pseudo_likelihood(field_: Field, counts: list[tuple]) -> float:
+    """Mean log probability of each token's label given those around it; ``counts``: rows of :func:`around` with their number."""
+    x, near = _one_hot([c[0] for c in counts], field_.parts), np.array([c[2:8] for c in counts])
+    z = _scores(x, near, field_.weights, np.stack([field_.pair[k] for k in EDGES]))
+    z -= np.logaddexp.reduce(z, axis=1, keepdims=True)
+    n = np.array([c[8] for c in counts], float)
+    return float((z[np.arange(len(counts)), [c[1] for c in counts]] * n).sum() / n.sum())
+
+
+def refine(start: Field, counts: list[tuple], rounds: int = 600) -> Field:
+    """``start`` trained further by pseudo-likelihood on rows of :func:`around` with their number."""
+    if len(start.weights) < 2 or not counts:
+        return start
+    counts = [*counts, *(("", *c[1:]) for c in counts if max(c[4:8]) >= 0)]  # tied tokens also with their shape hidden
+    x, near = _one_hot([c[0] for c in counts], start.parts), np.array([c[2:8] for c in counts])
+    goal = np.eye(len(LABELS))[[c[1] for c in counts]]
+    weight = np.sqrt(np.array([[c[8]] for c in counts], float))
+    weight /= weight.sum()
+    weights, pair = start.weights.copy(), np.stack([start.pair[k] for k in EDGES])
+    first, speed, speeds = pair.copy(), np.zeros_like(weights), np.zeros_like(pair)
+    for _ in range(rounds):
+        z = _scores(x, near, weights, pair)
+        error = weight * (np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True)) - goal)
+        speed = 0.9 * speed - 0.5 * (x.T @ error + DECAY * weights)
+        g = np.zeros_like(pair)
+        for k in range(len(EDGES)):
+            before, after = near[:, 2 * k], near[:, 2 * k + 1]
+            np.add.at(g[k], before[before >= 0], error[before >= 0])
+            np.add.at(g[k].T, after[after >= 0], error[after >= 0])
+        speeds = 0.9 * speeds - 0.5 * (g + DECAY * (pair - first))  # pairs that are rare stay near where they start
+        weights, pair = weights + speed, np.clip(pair + speeds, -CLIP, CLIP)
+    return Field(start.parts, weights, dict(zip(EDGES, pair, strict=True)))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n: Counter = Counter()
     for b in batches:
         for text in b.column(0).to_pylist():
             if text and _ANY.search(text):
                 t = tokens_of(text)
-                labels = labels_of(t, base_spans(text))
-                n.update(("token", s, a, 0) for s, a in zip(t.shape, labels, strict=True))
-                for what in ("chain", "skip"):
-                    n.update((what, "", labels[a], labels[b]) for a, b in getattr(t, what))
+                n.update(around(t, labels_of(t, base_spans(text))))
     if n:
         cols = list(zip(*n, strict=True))
-        yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(list(n.values()), pa.int64())], ["what", "shape", "a", "b", "n"])
+        yield pa.record_batch([pa.array(cols[0]), *(pa.array(c, pa.int32()) for c in cols[1:]), pa.array(list(n.values()), pa.int64())], [*_AROUND, "n"])
+
+
+_AROUND = ("shape", "label", *(f"{k}_{side}" for k in EDGES for side in ("before", "after")))
+
+
+def learn(counts: list[tuple]) -> Field:
+    """A field from rows of :func:`around` with their number."""
+    n: Counter = Counter()
+    for c in counts:
+        n["token", c[0], c[1], 0] += c[8]
+        for k, kind in enumerate(EDGES):
+            if c[2 + 2 * k] >= 0:
+                n[kind, "", c[2 + 2 * k], c[1]] += c[8]
+    return refine(train(sorted((*k, v) for k, v in n.items())), counts)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Field:
-    """A field from the counts of all documents; at most a few thousand rows of counts reach the driver."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "what string, shape string, a int, b int, n long")
-    rows = counted.groupBy("what", "shape", "a", "b").agg(F.sum("n").alias("n")).collect()
-    return train(sorted(tuple(r) for r in rows))
+    """A field from the counts of all documents; at most some thousand rows of counts reach the driver."""
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "shape string, " + ", ".join(f"{c} int" for c in _AROUND[1:]) + ", n long")
+    return learn(sorted(tuple(r) for r in counted.groupBy(*_AROUND).agg(F.sum("n").alias("n")).collect()))
 
 
 def written(spans: list[Span]) -> str:
