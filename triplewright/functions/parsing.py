@@ -116,29 +116,42 @@ def strict_triples(line: str | None) -> list[list[str]] | None:
     return [list(t) for t in found] if ok else None
 
 
-_BLANK = {"", "_", "..."}
+# Parts that say nothing.
+BLANKS = ("", "_", "...")
+
+
+def _bracketed(raw: str) -> Iterator[str]:
+    """Every balanced stretch in square brackets, in the order in which they close."""
+    depth: dict[int, int] = {}  # how deep, and where the bracket of that depth opened
+    level = 0
+    for m in re.finditer(r"[\[\]]", raw):
+        if m[0] == "[":
+            level += 1
+            depth[level] = m.start()
+        elif level:
+            yield raw[depth[level] : m.end()]
+            level -= 1
+
+
+def _parts(span: str) -> list[str]:
+    """The parts of a bracketed list of strings. Inner lists are joined by commas; a list that is no literal is cut at its
+    commas if it holds no further brackets. Anything else has no parts."""
+    try:
+        found = ast.literal_eval(span)
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        inside = span[1:-1]
+        return [] if "[" in inside else [re.sub(r"^[\s'\"]+|[\s'\"]+$", "", x) for x in inside.split(",")]
+    joined = [", ".join(map(str, x)) if isinstance(x, list) else x for x in found]
+    return [x.strip() for x in joined] if all(isinstance(x, str) for x in joined) else []
 
 
 def bracket_triples(raw: str | None) -> list[list[str]]:
-    """Every balanced pair of square brackets, innermost first, that reads as three non-empty strings.
+    """Of all bracketed stretches, innermost first, those that read as three strings that say something.
 
-    Inner lists of an element are joined by commas; without quotes, the text between commas counts.
+    An unquoted list around others is no triple: its commas belong to the inner ones.
     """
-    out, open_ = [], []
-    for i, c in enumerate(raw or ""):
-        if c == "[":
-            open_.append(i)
-        elif c == "]" and open_:
-            span = raw[open_.pop() : i + 1]
-            try:
-                found = ast.literal_eval(span)
-            except (ValueError, SyntaxError, MemoryError, RecursionError):
-                found = None if re.search(r"[\[\]]", span[1:-1]) else [p.strip().strip("'\"") for p in span[1:-1].split(",")]
-            if isinstance(found, list) and len(found) == 3:
-                parts = [", ".join(map(str, x)) if isinstance(x, list) else x for x in found]
-                if all(isinstance(x, str) and x.strip() not in _BLANK for x in parts):
-                    out.append([x.strip() for x in parts])
-    return out
+    found = map(_parts, _bracketed(raw or ""))
+    return [x for x in found if len(x) == 3 and not any(p in BLANKS for p in x)]
 
 
 def read_triples(df: DataFrame, column: str, how: str = "brackets") -> DataFrame:

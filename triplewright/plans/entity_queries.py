@@ -86,11 +86,28 @@ SELECT len(w) BETWEEN 1 AND 5 AND w[1] <> 'Monitor:' AS atomic, regexp_matches(n
 
 @query
 def entity_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V01, V02, V09; checked on hand examples in the tests."""
+    """V01, V02, V09."""
     n = _names(spark, sf_dir).withColumn("raw", F.concat(F.lit("MESH: "), "name", F.lit(" levels in mice")))
     return n.select("p_partkey", e.simplify(e.without_ontology("raw")).alias("name"), e.without_ontology("raw", narrow=True).alias("narrow"))
 
 
+_TRIM = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_ROUND = "x"
+for _p in e.NAME_PATTERNS:
+    _ROUND = _TRIM(f"regexp_replace({_ROUND}, '{_p}', '', 'gi')")
+_SHORT = f"MAP {{{', '.join(f'{chr(39)}{a}{chr(39)}: {chr(39)}{b}{chr(39)}' for a, b in e.SHORT_NAMES.items())}}}"
+oracle(
+    entity_simplify,
+    rf"""WITH RECURSIVE {NAMES}, raw AS (SELECT p_partkey, regexp_replace(concat(name, ' levels in mice'), '^[A-Z]+[0-9]*\s+', '') AS wide, regexp_replace(concat(name, ' levels in mice'), '^[A-Z]{{1,2}}[0-9]{{1,3}}\s+', '') AS narrow FROM names),
+symbol AS (SELECT *, regexp_extract(wide, '\(([^)]+)\)', 1) AS inside, regexp_replace(regexp_extract(wide, '\(([^)]+)\)', 1), '{e.SYMBOL_ENDING}', '', 'gi') AS sym FROM raw),
+start AS (SELECT p_partkey, wide, CASE WHEN inside = '' THEN wide WHEN length(sym) BETWEEN 2 AND 10 AND NOT regexp_matches(lower(sym), '{"|".join(e.NO_SYMBOL)}') THEN sym ELSE regexp_replace(wide, '\s*\([^)]+\)', '', 'g') END AS x FROM symbol),
+short AS (SELECT p_partkey, wide, x, list_filter(map_entries({_SHORT}), lambda s: starts_with(concat(lower(x), ' '), concat(s.key, ' '))) AS hits FROM start),
+rounds AS (SELECT p_partkey, x, 0 AS n FROM short WHERE len(hits) = 0 UNION ALL SELECT p_partkey, y, n + 1 FROM (SELECT p_partkey, x, n, {_ROUND} AS y FROM rounds) WHERE x <> y),
+stable AS (SELECT p_partkey, trim(arg_max(x, n), ' -_,.') AS x FROM rounds GROUP BY p_partkey)
+SELECT raw.p_partkey, coalesce(hits[1].value, CASE WHEN stable.x = '' THEN raw.wide ELSE coalesce({_SHORT}[lower(stable.x)], stable.x) END) AS name, raw.narrow FROM raw JOIN short USING (p_partkey) LEFT JOIN stable USING (p_partkey)""",
+)
+
+
 @query
 def ontology_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V01, V02 alone, and V14 on segments."""
