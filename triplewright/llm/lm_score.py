@@ -63,8 +63,8 @@ def word_counts(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                n.update(words_of(text))
+            for _, texts in in_chunks(b, 0, _CHUNK_CHARS):
+                n.update(" ".join(texts).encode().lower().split())
                 if len(n) > _COUNTED:
                     yield pa.record_batch([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "c"])
                     n = Counter()
@@ -144,6 +144,16 @@ class Lexicon:
         return ids, np.add.reduceat(size, counts.cumsum() - counts), numbers, counts
 
 
+_LEXICONS: dict[tuple[str, int], Lexicon] = {}
+
+
+def _lexicon(path: str, end_id: int) -> Lexicon:
+    """A lexicon without logs that the tasks of a worker share: the words that they have seen stay."""
+    if (path, end_id) not in _LEXICONS:
+        _LEXICONS[path, end_id] = Lexicon(_encoder(path), end_id)
+    return _LEXICONS[path, end_id]
+
+
 def subword_counts(counts: DataFrame, path: str, vocabulary: int) -> np.ndarray:
     """Count of each subword id over all training texts, from the word counts (each distinct word is encoded once)."""
 
@@ -340,19 +350,21 @@ class Trainer:
         g_dense = dz.T @ x
         dx = dz @ np.concatenate([d["out"], d["skip"]], 1)  # to the mix and to the input itself
         da = dx[:, :DIM].reshape(n, _STEP, DIM)
-        back = np.zeros((n + 1, _STEP, 3 * DIM), e.dtype)  # to query, key and value of each input
         dw = da @ v.transpose(0, 2, 1)
         dw -= np.einsum("ij,ij->i", dx[:, :DIM], x[:, :DIM]).reshape(n, _STEP, 1)
         dw *= w
-        back[1:, :, :DIM] = dw @ k
-        dk, dv = dw.transpose(0, 2, 1) @ q, w.transpose(0, 2, 1) @ da
-        for to, g in ((slice(DIM, 2 * DIM), dk), (slice(2 * DIM, None), dv)):
-            back[:-1, :, to] = g[:, :_STEP]
-            back[1:, :, to] += g[:, _STEP:]
-        back = back.reshape(-1, 3 * DIM)
-        de = back @ into.T
+        dq = (dw @ k).reshape(-1, DIM)
+        each_window = np.empty((n, WINDOW, 2 * DIM), e.dtype)  # to keys and values; an input is in two windows
+        np.matmul(dw.transpose(0, 2, 1), q, out=each_window[:, :, :DIM])
+        np.matmul(w.transpose(0, 2, 1), da, out=each_window[:, :, DIM:])
+        dkv = np.empty((n + 1, _STEP, 2 * DIM), e.dtype)
+        dkv[:-1], dkv[-1] = each_window[:, :_STEP], 0
+        dkv[1:] += each_window[:, _STEP:]
+        dkv = dkv.reshape(-1, 2 * DIM)
+        de = dkv @ into[:, DIM:].T
+        de[_STEP:] += dq @ into[:, :DIM].T
         de[_STEP:] += dx[:, DIM:]
-        into_g = e.T @ back
+        into_g = np.concatenate([e[_STEP:].T @ dq, e.T @ dkv], 1)
         by_back = np.bincount(np.clip(_BACK, 0, WINDOW - 1).reshape(-1), (np.ones(n, e.dtype) @ dw.reshape(n, -1)) * _SEEN.reshape(-1), WINDOW)
         dense = np.concatenate([into_g[:, :DIM] * scale, into_g[:, DIM : 2 * DIM], into_g[:, 2 * DIM :], g_dense[:, :DIM], g_dense[:, DIM : 2 * DIM], g_dense[:, -1].reshape(-1, DIM), by_back.reshape(-1, DIM).astype(e.dtype)])
 
@@ -381,7 +393,7 @@ def train(training: DataFrame, path: str, classes: np.ndarray, vocabulary: int,
         shared = spark.sparkContext.broadcast((model.matrix, classes))  # about 4 MB, fixed by the vocabulary
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            lexicon, (matrix, classes) = Lexicon(_encoder(path), begin), shared.value
+            lexicon, (matrix, classes) = _lexicon(path, begin), shared.value
             t = Trainer(Attention(matrix.copy(), vocabulary), classes)
             blocks, targets = np.zeros((0, _STEP), np.int32), np.zeros((0, _STEP), np.int32)
             for b in batches:
