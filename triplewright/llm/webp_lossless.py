@@ -19,8 +19,8 @@ an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -76,29 +76,33 @@ class PrefixCode:
     """Canonical code from code lengths. A code with one symbol reads no bits."""
 
     def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.only = used[0][1] if len(used) == 1 else None
-        self.symbols = sorted(used)
-        self.table: dict[tuple[int, int], int] = {}
-        code = last = 0
-        for n, s in self.symbols:
-            code <<= n - last
-            self.table[n, code] = s
-            code, last = code + 1, n
-        if len(used) != 1 and (not used or code != 1 << last):
+        self.symbols = sorted((n, s) for s, n in enumerate(lengths) if n)
+        self.only = self.symbols[0][1] if len(self.symbols) == 1 else None
+        if len(self.symbols) != 1 and sum(1 << 15 - n for n, _ in self.symbols) != 1 << 15:
             raise ValueError("not a complete prefix code")
 
+    @cached_property
+    def table(self) -> dict[tuple[int, int], int]:
+        """The symbol of each length and code, the bit that is read first being the highest."""
+        found, at = {}, 0
+        for n, s in self.symbols:
+            found[n, at >> 15 - n] = s
+            at += 1 << 15 - n
+        return found
+
+    @cached_property
+    def windows(self) -> tuple[int, list[int], list[int]]:
+        """Width of a window on the stream, and by window the symbol that starts there and its bits."""
+        width, symbol, size = _looked_up(self)
+        return width, symbol.tolist(), size.tolist()
+
     def read(self, bits: BitReader) -> int:
         if self.only is not None:
             return self.only
-        ahead, code = bits.peek(15), 0
-        for n in range(1, 16):
-            code = code << 1 | ahead & 1
-            ahead >>= 1
-            if (n, code) in self.table:
-                bits.skip(n)
-                return self.table[n, code]
-        raise ValueError("no such prefix code")
+        width, symbol, size = self.windows
+        ahead = bits.peek(width)
+        bits.skip(size[ahead])
+        return symbol[ahead]
 
 
 def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
@@ -110,24 +114,30 @@ def read_code(bits: BitReader, alphabet: int) -> PrefixCode:
             lengths[bits.read(8)] = 1
         return PrefixCode(lengths)
     of_lengths = [0] * 19
-    for k in range(4 + bits.read(4)):
-        of_lengths[CODE_LENGTH_ORDER[k]] = bits.read(3)
+    n = 4 + bits.read(4)
+    ahead = bits.read(3 * n)
+    for k in range(n):
+        of_lengths[CODE_LENGTH_ORDER[k]] = ahead >> 3 * k & 7
     code = PrefixCode(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
+    width, symbol, size = code.windows
+    ahead, used = bits.peek(14 * min(left, alphabet)), 0  # no length takes more
     at, before = 0, 8
     while at < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        window = ahead >> used & (1 << width) - 1
+        s, used = symbol[window], used + size[window]
         if s < 16:
             lengths[at], at = s, at + 1
             before = s or before
         else:
             n, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-            again = least + bits.read(n)
+            again, used = least + (ahead >> used & (1 << n) - 1), used + n
             if at + again > alphabet:
                 raise ValueError("code lengths run over")
             lengths[at : at + again] = [before if s == 16 else 0] * again
             at += again
+    bits.skip(used)
     return PrefixCode(lengths)
 
 
@@ -150,7 +160,7 @@ _MIRRORED: dict[int, np.ndarray] = {}
 
 def _looked_up(code: PrefixCode) -> tuple[int, np.ndarray, np.ndarray]:
     """Width of a window on the stream, and by window the symbol that starts there and its bits."""
-    if code.only is not None:
+    if code.only is not None:  # no bits are read
         return 1, np.full(2, code.only, np.uint16), np.zeros(2, np.uint8)
     width = code.symbols[-1][0]
     size, symbol = np.array(code.symbols).T  # in code order, so each takes the next stretch of windows read from the left
@@ -481,30 +491,33 @@ def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
         return out
     weight = counts[used].astype(np.int64)
     while True:
-        heap = [(int(w), i) for i, w in enumerate(weight)]
-        heapq.heapify(heap)
-        up, n = {}, len(used)
-        while len(heap) > 1:
-            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
-            up[i] = up[j] = n
-            heapq.heappush(heap, (a + b, n))
-            n += 1
-        depth = [0] * n
-        for i in range(n - 2, -1, -1):
-            depth[i] = depth[up[i]] + 1
+        order = np.argsort(weight, kind="stable")
+        leaves, n = [*weight[order].tolist(), 1 << 62, 1 << 62], len(order)
+        joined, up, i, j = [], [0] * (2 * n - 1), 0, 0  # joined weights rise, so two queues give the two least
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if j < len(joined) and joined[j] < leaves[i]:
+                    total, up[n + j], j = total + joined[j], k, j + 1
+                else:
+                    total, up[i], i = total + leaves[i], k, i + 1
+            joined.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[up[k]] + 1
         if max(depth) <= most:
-            out[used] = depth[: len(used)]
+            out[used[order]] = depth[:n]
             return out
         weight = weight + 1 >> 1
 
 
 def code_words(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes of the symbols, with the bit that is read first as the lowest."""
-    out, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    for n, s in sorted((int(n), s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code, last = code + 1, n
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    stretch = 1 << 15 - lengths[used]
+    out = np.zeros(len(lengths), np.int64)
+    out[used] = _mirror(15)[stretch.cumsum() - stretch]  # the first bits of 15; those below are 0
     return out
 
 
