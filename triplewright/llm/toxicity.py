@@ -1,28 +1,28 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-Words that ordinary texts use about as often as toxic ones say nothing and are left out; the words that
-remain form windows of ``WINDOW`` words after a run of blanks (zstandard stores very short input as it is;
-the blanks, which cost the same everywhere, keep a window above that length). One dictionary is trained on
-those remaining words that recur in toxic texts, one on words that occur in one ordinary text and in no toxic
-one; both read every window of the sample, but neither sees a whole text. A window's evidence is its compressed
-length under the ordinary dictionary less that under the toxic one. A text is described by its strongest
-evidence and by the counts and shares of windows beyond 1, 2 and 3 bytes; a logistic calibration on labelled
-texts that trained neither dictionary turns these into a score.
+Texts are cut into windows of ``WINDOW`` words, one after another; the words are the runs without white space,
+lower-cased, and all of them count. One dictionary is trained on the toxic texts of the sample, one on the
+ordinary ones, and a background of ordinary text follows either: what ordinary texts say anyway is found there
+and costs the same, so the compressed lengths of a window differ by what only one of the dictionaries holds. A
+window's evidence is its length under the ordinary dictionary less that under the toxic one. A text is described
+by its three strongest windows, its mean evidence, and how many windows reach 1, 2, 3 and 4 bytes, by count and
+by share; a logistic calibration on labelled texts that shaped neither dictionary turns this into a score.
 
 The classifier is fitted on a bounded sample of the labelled rows: up to ``SAMPLE_PER_LABEL`` texts of each
-label, those with the smallest hash of their id. Scores read every whole text.
-
-Defined results: a null text counts as empty; a text without informative words has one window of evidence
-0; without labelled texts of both kinds every score is 0; repeated rows get equal scores; an empty table
-gives an empty table; other columns are ignored; a label row without a document is not used.
+label, those with the smallest hash of their id, and fewer where they would exceed about ``SAMPLE_BYTES`` bytes.
+Scores read every whole text.
+
+Defined results: a null text counts as empty; a text without words has one window of evidence
+0; without labelled texts of both kinds every score is 0; of sampled rows with one text the first by id counts;
+a very long text is scored window by window, a very long word is a window's word like others; repeated rows get
+equal scores; an empty table gives an empty table; other columns are ignored; a label row without a document is
+not used.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,53 +34,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_PER_LABEL = 3000
+SAMPLE_BYTES = 24_000_000  # of text, for each label
 DICTIONARY_SHARE = 0.65  # of the sample; the rest calibrates
-DICTIONARY_BYTES = 8192
-TOXIC_SHARE = 0.02  # of the toxic texts must hold a word for it to shape the toxic dictionary
-RATIO = 5.0
-WINDOW = 1
+DICTIONARY_BYTES = 32_768
+BACKGROUND_BYTES = 8_000_000
+WINDOW = 16
 TRAIN_WINDOW = 8
-PAD = b" " * 48
-MAX_SEEN = 200_000
+LEVEL = 9
+PAD = b" " * 16  # zstandard stores very short input as it is
 PREDICT_AT = 0.7
 
-_WORD = re.compile(r"[^\W\d_]+")
-
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return text.lower().split()
 
 
 def windows_of(words: list[str], size: int = WINDOW) -> list[str]:
     return [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
 
 
-def compressor(dictionary: zstandard.ZstdCompressionDict) -> zstandard.ZstdCompressor:
-    """The strongest level, matching three bytes and more, without any header that says the same each time."""
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """A compressor with raw content as its dictionary, matching three bytes and more, without any header that says the same each time."""
     lean = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    p = zstandard.ZstdCompressionParameters.from_level(19, source_size=128, dict_size=65536, min_match=3, **lean)
-    return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=p)
+    p = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=128, dict_size=len(content), min_match=3, **lean)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
 
 
 def train_dictionary(windows: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict:
     """A trained dictionary, or the windows themselves as raw content where there are too few to train on."""
-    total = sum(map(len, windows))
-    while size >= 1024:
-        if total >= 8 * size:
+    total, least = sum(map(len, windows)), size
+    while least >= 1024:
+        if total >= 8 * least:
             try:
-                return zstandard.train_dictionary(size, windows)
+                return zstandard.train_dictionary(least, windows)
             except zstandard.ZstdError:
                 pass
-        size //= 2
-    return zstandard.ZstdCompressionDict(b"".join(windows)[-DICTIONARY_BYTES:] or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        least //= 2
+    return zstandard.ZstdCompressionDict(b"".join(windows)[-size:] or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 @dataclass
 class ToxicityModel:
-    neutral: frozenset[str]
+    """Both dictionaries have one length, so the background lies equally far from a window."""
+
     toxic: bytes
     ordinary: bytes
-    raw: tuple[bool, bool]
+    background: bytes
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
@@ -89,27 +88,18 @@ class ToxicityModel:
 class Scorer:
     def __init__(self, model: ToxicityModel):
         self.m = model
-        kinds = [zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_FULLDICT for raw in model.raw]
-        dicts = [zstandard.ZstdCompressionDict(d, dict_type=k) for d, k in zip((model.toxic, model.ordinary), kinds, strict=True)]
-        self.toxic, self.ordinary = map(compressor, dicts)
-        self.seen: dict[str, int] = {}
-
-    def evidence(self, window: str) -> int:
-        found = self.seen.get(window)
-        if found is None:
-            data = PAD + window.encode() + b" "
-            found = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
-            if len(self.seen) > MAX_SEEN:
-                self.seen.clear()
-            if len(window) <= 64:
-                self.seen[window] = found
-        return found
+        self.toxic, self.ordinary = (compressor(d + model.background) for d in (model.toxic, model.ordinary))
+
+    def evidence(self, text: str) -> np.ndarray:
+        """Bytes by which the toxic dictionary is the better one, for each window."""
+        data = [PAD + w.encode() + b" " for w in windows_of(words_of(text))]
+        return np.array([len(self.ordinary.compress(d)) - len(self.toxic.compress(d)) for d in data] or [0], float)
 
     def describe(self, text: str) -> list[float]:
-        words, neutral = words_of(text), self.m.neutral
-        e = np.array([self.evidence(w) for w in windows_of([w for w in words if w not in neutral])] or [0], float)
-        counts = [(e >= k).sum() for k in (1, 2, 3)]
-        return [e.max(), *np.log1p(counts), *(100 * c / (len(words) + 50) for c in counts), np.log1p(len(words))]
+        e = self.evidence(text)
+        top = np.sort(np.concatenate([e, np.zeros(3)]))[::-1][:3]
+        counts = np.array([(e >= k).sum() for k in (1, 2, 3, 4)])
+        return [*top, *np.log1p(counts), *(100 * counts / (len(e) + 8)), e.mean(), np.log1p(len(e))]
 
     def score(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.describe(t) for t in texts]).reshape(len(texts), -1)
@@ -143,18 +133,15 @@ def train(sample: pd.DataFrame, share: float | None = None) -> ToxicityModel | N
     if shaping.toxic.nunique() < 2:
         return None
     texts = {k: [words_of(t) for t in g] for k, g in shaping.groupby("toxic").text}
-    seen = {k: Counter(w for t in g for w in set(t)) for k, g in texts.items()}
-    n = {k: len(g) for k, g in texts.items()}
-    neutral = frozenset(w for w, c in seen[0].items() if c / n[0] * RATIO >= seen[1].get(w, 0) / n[1])
-    least = max(2, TOXIC_SHARE * n[1])
-    windows = {
-        1: [x for t in texts[1] for x in windows_of([w for w in t if w not in neutral and seen[1][w] >= least], TRAIN_WINDOW)],
-        0: [x for t in texts[0] for x in windows_of([w for w in t if seen[0][w] <= 1 and w not in seen[1]], TRAIN_WINDOW)],
-    }
     order = np.random.default_rng(0)
-    dicts = {k: train_dictionary([f" {v[i]} ".encode() for i in order.permutation(len(v))]) for k, v in windows.items()}
-    raw = tuple(d.dict_id() == 0 for d in (dicts[1], dicts[0]))
-    model = ToxicityModel(neutral, dicts[1].as_bytes(), dicts[0].as_bytes(), raw, np.zeros(1), np.ones(1), np.zeros(1))
+    dicts = {}
+    for k, g in texts.items():
+        windows = [x for t in g for x in windows_of(t, TRAIN_WINDOW)]
+        dicts[k] = train_dictionary([f" {windows[i]} ".encode() for i in order.permutation(len(windows))]).as_bytes()
+    size = max(map(len, dicts.values()))
+    toxic, ordinary = (b" " * (size - len(dicts[k])) + dicts[k] for k in (1, 0))
+    background = " ".join(" ".join(t) for t in texts[0]).encode()[-BACKGROUND_BYTES:]
+    model = ToxicityModel(toxic, ordinary, background, np.zeros(1), np.ones(1), np.zeros(1))
     scorer = Scorer(model)
     x = np.array([scorer.describe(t) for t in rest.text])
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
@@ -174,6 +161,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
     cut = F.when(F.col("toxic") == 1, min(1.0, per_label / counts[1])).otherwise(min(1.0, per_label / counts[0]))
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(labels.where(draw < cut)), "doc_id")
+    held = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    for k, n in held.items():
+        if n > SAMPLE_BYTES:
+            sample = sample.where((F.col("toxic") != k) | (draw < min(1.0, per_label / counts[k]) * SAMPLE_BYTES / n))
     return train(sample.toPandas(), counts[1] / (counts[0] + counts[1]))
 
 
