@@ -62,3 +62,30 @@ def test_hubs_keep_every_pair_that_may_be_linked(monkeypatch, few):
             want += near
             assert not near or root(i) == root(j)
     assert want > 20
+
+
+def test_windows_and_pivots_spare_comparisons(monkeypatch):
+    """Two far clusters of chains: regions and the distances to pivots rule most pairs out, and no link is lost."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for c in range(2):
+        now = np.unique(rng.integers(0, 2**40, 300).astype(np.uint64))
+        for _ in range(60):
+            now = np.unique(np.concatenate([rng.permutation(now)[8:], rng.integers(0, 2**40, 8).astype(np.uint64)]))
+            sets.append(now)
+    compared = []
+    shared = J.Sets.shared
+    monkeypatch.setattr(J.Sets, "shared", lambda self, i, among=None: (compared.append(0 if among is None else len(among)), shared(self, i, among))[1])
+    roots = J.join_region(sets, 80)
+    assert set(roots.tolist()) == {0, 60}
+    near = J.linked(np.array([len(np.intersect1d(sets[0], s)) for s in sets]), len(sets[0]), np.array([len(s) for s in sets]), 80)
+    assert near.sum() < 30  # the chains' ends aren't linked directly
+    assert sum(compared) < 120 * 119 / 2 / 4
+
+
+def test_known_groups_are_not_compared_again(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 2**40, 200).astype(np.uint64))
+    sets = [np.unique(np.append(base, np.uint64(i))) for i in range(20)]
+    monkeypatch.setattr(J.Sets, "shared", lambda self, i, among=None: pytest.fail("compared"))
+    assert J.join_region(sets, 80, [b"one"] * 20).tolist() == [0] * 20

@@ -34,7 +34,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tw_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of :func:`materialize` behind ``df``, once nothing that is still to run reads it."""
+    spark, path = df.sparkSession, getattr(df, "tw_path", None)
+    if path:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def id_crc(column: Column | str) -> Column:

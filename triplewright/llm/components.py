@@ -2,7 +2,7 @@
 
 Each step is two shuffles: a partially combined minimum per node, and a join of that minimum with the edges
 (large nodes are split by the adaptive skew join). Every round is written to the shared folder, so a lost
-executor costs at most one round. The number of rounds grows with the logarithm of the longest path.
+executor costs at most one round, and the round before it is deleted. The number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from triplewright.llm.common import materialize
+from triplewright.llm.common import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     while True:
         after = materialize(_star(_star(now, True), False), label)
         changed = not after.exceptAll(now).isEmpty() or after.count() != now.count()
+        release(now)
         now = after
         if not changed:
             break
