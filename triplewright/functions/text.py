@@ -1,7 +1,9 @@
-"""Column functions that clean and split text. All stay inside the JVM; folds run over arrays of lines."""
+"""Column functions that clean and split text. All stay inside the JVM, in time linear in the text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,39 +69,50 @@ def has_table(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).rlike(r"\|[\s\-:]+\|")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once; a column named inside a lambda is computed again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _stretches(items: Column, ends: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of each stretch of ``items`` up to an element number in ``ends`` (rising, the last is that of all items)."""
+    starts = F.concat(F.array(F.lit(1)), F.transform(ends, lambda e: e + 1))
+    pairs = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda x: x["e"].isNotNull())
+    return F.transform(pairs, lambda x: f(F.slice(items, x["s"], x["e"] - x["s"] + 1)))
+
+
 def chunks(c: Column | str, most: int = 1500) -> Column:
     """Paragraphs packed in order; a chunk is closed when the next paragraph would pass ``most`` characters.
 
     The running length counts two more for each paragraph added to a chunk, but not for its first after a
-    close. A paragraph above the limit stays whole.
+    close. A paragraph above the limit stays whole. The fold keeps only the numbers of the last paragraphs.
     """
     paragraphs = F.filter(F.transform(F.split(c, "\n\n"), strip), lambda p: p != "")
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("size"))
+    start = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("size"), F.lit(0).alias("n"))
 
     def step(acc: Column, p: Column) -> Column:
-        full = (acc["size"] + F.length(p) > most) & (F.size(acc["now"]) > 0)
-        closed = F.struct(F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n\n"))).alias("done"), F.array(p).alias("now"), F.length(p).alias("size"))
-        added = F.struct(acc["done"].alias("done"), F.concat(acc["now"], F.array(p)).alias("now"), (acc["size"] + F.length(p) + 2).alias("size"))
-        return F.when(full, closed).otherwise(added)
+        full = (acc["size"] + F.length(p) > most) & (acc["n"] > 0)
+        ends = F.when(full, F.concat(acc["ends"], F.array(acc["n"]))).otherwise(acc["ends"])
+        size = F.when(full, F.length(p)).otherwise(acc["size"] + F.length(p) + 2)
+        return F.struct(ends.alias("ends"), size.alias("size"), (acc["n"] + 1).alias("n"))
 
-    last = lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n\n")))).otherwise(acc["done"])
-    return F.aggregate(paragraphs, start, step, last)
+    ends = lambda ps: F.aggregate(ps, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["ends"], F.array(acc["n"]))).otherwise(acc["ends"]))
+    return let(paragraphs, lambda ps: let(ends(ps), lambda e: _stretches(ps, e, lambda x: F.array_join(x, "\n\n"))))
 
 
 def sentences(c: Column | str) -> Column:
-    """P10: split after ". ", "? " and "! ", unless the word before is an abbreviation."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit("").alias("now"))
+    """P10: split after ". ", "? " and "! ", unless the word before is an abbreviation. Whether a piece ends a sentence shows in the piece alone."""
+
+    def closes(piece: Column) -> Column:
+        word = F.lower(F.regexp_replace(F.regexp_extract(strip(piece), r"\S+$", 0), r"[^A-Za-z0-9_\-]", ""))
+        return piece.rlike(r"[.?!]$") & ~word.isin(*ABBREVIATIONS)
 
-    def step(acc: Column, piece: Column) -> Column:
-        now = F.concat(acc["now"], piece)
-        word = F.lower(F.regexp_replace(F.element_at(F.split(strip(now), r"\s+"), -1), r"[^A-Za-z0-9_\-]", ""))
-        open_ = word.isin(*ABBREVIATIONS) | ~piece.rlike(r"[.?!]$")
-        return F.when(open_, F.struct(acc["done"].alias("done"), F.concat(now, F.lit(" ")).alias("now"))).otherwise(F.struct(F.concat(acc["done"], F.array(strip(now))).alias("done"), F.lit("").alias("now")))
+    def joined(ps: Column) -> Column:
+        n = F.size(ps)
+        numbered = F.transform(ps, lambda x, i: F.when(closes(x) | (i == n - 1), i + 1))
+        return let(F.array_compact(numbered), lambda ends: F.filter(_stretches(ps, ends, lambda x: strip(F.array_join(x, " "))), lambda x: x != ""))
 
-    finish = lambda acc: F.filter(F.concat(acc["done"], F.array(strip(acc["now"]))), lambda s: s != "")
-    return F.aggregate(F.split(c, r"(?<=[.?!]) "), start, step, finish)
+    return let(F.split(c, r"(?<=[.?!]) "), joined)
 
 
 def without_thinking(c: Column | str) -> Column:
@@ -131,36 +144,75 @@ def tidy_rewrite(c: Column | str) -> Column:
     return F.transform(kept, lambda x: strip(F.regexp_replace(x, r"^(?:[-*•]\s*|\d+[.)]\s*)", "")))
 
 
+def _below(lines: Column, head: Callable[[Column], Column], f: Callable[[Column, Column], Column]) -> Column:
+    """``f`` of each line that is no head and what ``head`` gives for the nearest head above it ("" if there is none).
+
+    ``head`` is null for other lines. Lines are cut at the heads, so each is looked at once.
+    """
+
+    def cut(ls: Column) -> Column:
+        marks = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), head(x).alias("said"))), lambda m: m["said"].isNotNull())
+        marks = F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("said"))), marks)
+        n = F.size(ls)
+
+        def part(ms: Column) -> Column:
+            ends = F.concat(F.slice(F.transform(ms, lambda m: m["i"]), 2, F.size(ms)), F.array(n))
+            spans = F.zip_with(ms, ends, lambda m, e: F.struct(m["said"].alias("said"), F.slice(ls, m["i"] + 2, e - m["i"] - 1).alias("lines")))
+            return F.flatten(F.transform(spans, lambda s: F.transform(s["lines"], lambda x: f(x, s["said"]))))
+
+        return let(marks, part)
+
+    return let(lines, cut)
+
+
 def sections(c: Column | str) -> Column:
-    """Lines of Markdown with the path of headings (levels 1 to 3) above them, as (path, line)."""
-    none = F.array().cast("array<struct<path:string,line:string>>")
-    blank = F.lit("")
-    start = F.struct(none.alias("out"), blank.alias("h1"), blank.alias("h2"), blank.alias("h3"))
+    """Lines of Markdown with the path of headings (levels 1 to 3) above them, as (path, line).
+
+    Headings are first given their paths, in a fold over the headings alone.
+    """
+    lines = F.split(c, "\n")
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#{1,3}) ", 1))
+    start = F.struct(F.array().cast("array<string>").alias("paths"), F.lit("").alias("h1"), F.lit("").alias("h2"), F.lit("").alias("h3"))
 
     def step(acc: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, r"^(#{1,3}) ", 1))
         title = F.regexp_extract(line, r"^#{1,3} +(.*)$", 1)
-        h1 = F.when(level == 1, title).otherwise(acc["h1"])
-        h2 = F.when(level == 2, title).when(level == 1, "").otherwise(acc["h2"])
-        h3 = F.when(level == 3, title).when(level > 0, "").otherwise(acc["h3"])
-        path = F.array_join(F.filter(F.array(*(F.when(h != "", F.concat(F.lit(f"Header {n}: "), h)) for n, h in ((1, acc["h1"]), (2, acc["h2"]), (3, acc["h3"])))), lambda x: x.isNotNull()), " > ")
-        out = F.when((level == 0) & (strip(line) != ""), F.concat(acc["out"], F.array(F.struct(path.alias("path"), line.alias("line"))))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), h1.alias("h1"), h2.alias("h2"), h3.alias("h3"))
+        h1 = F.when(level(line) == 1, title).otherwise(acc["h1"])
+        h2 = F.when(level(line) == 2, title).when(level(line) == 1, "").otherwise(acc["h2"])
+        h3 = F.when(level(line) == 3, title).otherwise("")
+        named = F.filter(F.array(*(F.when(h != "", F.concat(F.lit(f"Header {n}: "), h)) for n, h in ((1, h1), (2, h2), (3, h3)))), lambda x: x.isNotNull())
+        return F.struct(F.concat(acc["paths"], F.array(F.array_join(named, " > "))).alias("paths"), h1.alias("h1"), h2.alias("h2"), h3.alias("h3"))
+
+    def placed(ls: Column) -> Column:
+        heads = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda m: level(m["x"]) > 0)
+
+        def cut(hs: Column) -> Column:
+            paths = F.concat(F.array(F.lit("")), F.aggregate(F.transform(hs, lambda h: h["x"]), start, step, lambda acc: acc["paths"]))
+            starts = F.concat(F.array(F.lit(-1)), F.transform(hs, lambda h: h["i"]))
+            ends = F.concat(F.transform(hs, lambda h: h["i"]), F.array(F.size(ls)))
+            after = F.zip_with(starts, ends, lambda s, e: F.slice(ls, s + 2, e - s - 1))
+            spans = F.zip_with(paths, after, lambda p, x: F.struct(p.alias("path"), x.alias("lines")))
+            rows = F.transform(spans, lambda z: F.transform(F.filter(z["lines"], lambda x: strip(x) != ""), lambda x: F.struct(z["path"].alias("path"), x.alias("line"))))
+            return F.flatten(rows)
+
+        return let(heads, cut)
 
-    return F.aggregate(F.split(c, "\n"), start, step, lambda acc: acc["out"])
+    return let(lines, placed)
+
+
+# What shows that a line is a reference to literature.
+REFERENCE = r"(?i)doi:|vol\.|\d{4};\d+"
 
 
 def list_sentences(c: Column | str) -> Column:
-    """Lines that introduce a list with a colon are joined with each item; short lines without a full stop are headings and go."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("out"), F.lit("").alias("intro"))
+    """Lines that introduce a list with a colon are joined with each item; short lines without a full stop are headings
+    and go, as do references to literature outside lists."""
 
-    def step(acc: Column, line: Column) -> Column:
-        item = strip(F.regexp_replace(line, r"^-\s*", ""))
+    def head(line: Column) -> Column:
         heading = (line.rlike(r"^\d+\.\s+") | ((F.length(line) < 60) & ~line.endswith("."))) & ~line.startswith("-")
-        new = F.when(line == "", acc).when(line.endswith(":"), F.struct(acc["out"].alias("out"), F.regexp_replace(line, r"\s*:$", "").alias("intro")))
-        new = new.when(heading, F.struct(acc["out"].alias("out"), F.lit("").alias("intro")))
-        said = F.when(acc["intro"] != "", F.concat(acc["intro"], F.lit(" "), item)).otherwise(item)
-        return new.otherwise(F.struct(F.concat(acc["out"], F.array(said)).alias("out"), acc["intro"].alias("intro")))
+        return F.when(line.endswith(":"), F.regexp_replace(line, r"\s*:$", "")).when(heading & (line != ""), "")
+
+    def said(line: Column, intro: Column) -> Column:
+        item = strip(F.regexp_replace(line, r"^-\s*", ""))
+        return F.when((line == "") | (intro == "") & line.rlike(REFERENCE), None).when(intro != "", F.concat(intro, F.lit(" "), item)).otherwise(item)
 
-    return F.aggregate(F.transform(F.split(repaired(c), "\n"), strip), start, step, lambda acc: acc["out"])
+    return F.array_compact(_below(F.transform(F.split(repaired(c), "\n"), strip), head, said))

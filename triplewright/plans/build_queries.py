@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triplewright.functions.entities import INSTRUCTIONS, NON_ENTITIES, UNANCHORED
 from triplewright.operators import graph_build as b
 from triplewright.operators import matching as m
 from triplewright.operators import validation as val
 from triplewright.plans import views as v
-from triplewright.plans.entity_queries import KEYED, _names
+from triplewright.plans.entity_queries import KEYED, NAMES, _names
 from triplewright.plans.registry import oracle, query
 
 
@@ -206,6 +207,17 @@ def validate_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.validate(t).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ATOMIC = lambda c: f"(len(string_split({c}, ' ')) BETWEEN 1 AND 5 AND regexp_replace(lower(split_part({c}, ' ', 1)), '[,.:]+$', '') NOT IN ({', '.join(repr(w) for w in INSTRUCTIONS)}))"
+_NON_ENTITY = lambda c: f"regexp_matches({c}, '(?i){'|'.join(f'(?:{p})' for p in NON_ENTITIES)}')"
+_ANCHORED = lambda c: f"(contains(lower(text), lower({c})) OR len(list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(w) for w in UNANCHORED)}) AND contains(lower(text), w))) > 0)"
+oracle(
+    validate_triples,
+    f"""WITH {NAMES}, x AS (SELECT a.p_partkey AS doc_id, a.name AS s, b.name AS o, CASE WHEN a.p_partkey % 2 = 0 THEN b.name ELSE 'steel and brass' END AS text, regexp_replace(a.name, '^The ', '') AS cs, CASE WHEN a.p_partkey % 10 = 3 THEN a.name ELSE b.name END AS co FROM names a JOIN names b ON b.p_partkey = a.p_partkey + 5)
+SELECT CASE WHEN {_NON_ENTITY("cs")} THEN 'non-entity subject' WHEN {_NON_ENTITY("co")} THEN 'non-entity object' WHEN NOT {_ATOMIC("cs")} THEN 'verbose subject' WHEN NOT {_ATOMIC("co")} THEN 'verbose object' WHEN lower(cs) = lower(co) THEN 'tautology'
+  WHEN contains(lower(cs), lower(co)) AND length(co) < length(cs) THEN 'object in subject' WHEN NOT ({_ANCHORED("cs")} OR {_ANCHORED("s")}) THEN 'subject not in text' WHEN NOT ({_ANCHORED("co")} OR {_ANCHORED("o")}) THEN 'object not in text' END AS reason, count(*) AS n FROM x GROUP BY 1""",
+)
+
+
 @query
 def topk_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest of ten schema vectors (the first of each label) per embedding."""

@@ -188,6 +188,9 @@ oracle(response_fields, "SELECT p_partkey, p_size AS size, p_brand AS second, CA
 
 @query
 def triple_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples from brackets in free text and from literal lines; checked on hand examples in the tests."""
+    """Triples from brackets in free text and from literal lines; also checked on hand examples in the tests."""
     x = v.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Here: [['"), "p_name", F.lit("', 'is_a', '"), "p_type", F.lit("'], [x, by, "), "p_brand", F.lit("], ['_', 'b', 'c']]")).alias("raw"))
     return p.read_triples(x, "raw").select("p_partkey", F.posexplode("triples").alias("pos", "t")).select("p_partkey", "pos", F.col("t")[0].alias("s"), F.col("t")[1].alias("r"), F.col("t")[2].alias("o"))
+
+
+oracle(triple_parse, "SELECT p_partkey, CAST(0 AS INTEGER) AS pos, p_name AS s, 'is_a' AS r, p_type AS o FROM part UNION ALL SELECT p_partkey, 1, 'x', 'by', p_brand FROM part")

@@ -9,6 +9,7 @@ from triplewright.functions import entities as e
 from triplewright.operators import clients as c
 from triplewright.operators import matching as m
 from triplewright.operators import validation as val
+from triplewright.plans import build_queries as build
 from triplewright.plans import views as v
 from triplewright.plans.registry import oracle, query
 
@@ -85,6 +86,13 @@ oracle(
 )
 
 
+oracle(
+    build.vocabulary_resolution,
+    f"""WITH {VOCAB.split("terms AS (")[0]}terms AS (SELECT DISTINCT p_name AS term FROM part), {RANKED}, accepted AS (SELECT * FROM ranked WHERE rank <= 5 AND score >= 3 AND type = 'T121' QUALIFY row_number() OVER (PARTITION BY term ORDER BY rank) = 1)
+SELECT terms.term, coalesce(code, 'NONE') AS code, coalesce(name, terms.term) AS canonical, coalesce(type, 'Unknown') AS type FROM terms LEFT JOIN accepted ON accepted.term = terms.term""".replace("['T047', 'T121', 'T023', 'T999', 'T034'][(p_partkey % 5)::INT + 1]", "CASE WHEN p_partkey % 4 = 0 THEN 'T999' ELSE 'T121' END").replace(" WHEN p_partkey % 7 = 1 THEN concat(p_name, ' ', p_type, ':', p_brand, ':x')", "").replace(f"[{_IN(CONTEXT)}]", "['']"),
+)
+
+
 @query
 def triple_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples between terms with both ends mapped, unless the subject's type contradicts the relation."""
