@@ -19,6 +19,7 @@ an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -182,6 +183,36 @@ def _prefix_value(prefix: np.ndarray, extra: np.ndarray) -> np.ndarray:
     return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << n) + extra + 1)
 
 
+def _reached(skip: np.ndarray, p: int, most: int) -> tuple[np.ndarray, int]:
+    """The offsets reached from p, each by the ``skip`` of the one before, at least up to ``most`` of them or the end;
+    and the next offset. Four steps are taken at once, as long as they stay inside."""
+    one = skip.astype(np.uint16)
+    inside = max(0, len(skip) - 1024)  # four steps of at most 255
+    at = np.arange(inside)
+    four = one[:inside].copy()
+    for _ in range(3):
+        four += one[at + four]
+    view, fours = memoryview(four), []
+    add = fours.append
+    for _ in range(most // 4):
+        if p >= inside:
+            break
+        add(p)
+        p += view[p]
+    steps, rest = skip.tobytes(), []
+    for _ in range(most - 4 * len(fours)):
+        if p >= len(steps):
+            break
+        rest.append(p)
+        p += steps[p]
+    grid = np.empty((len(fours), 4), np.int64)
+    now = np.array(fours, np.int64)
+    for k in range(4):
+        grid[:, k] = now
+        now = now + one[now]
+    return np.concatenate([grid.reshape(-1), np.array(rest, np.int64)]), p
+
+
 def _read_green(bits: BitReader, codes: list[PrefixCode], width: int, n: int) -> np.ndarray:
     """All pixels of an image in which only green varies: literals and back-references."""
     (wide, symbol, size), (far_wide, far_symbol, far_size) = _looked_up(codes[0]), _looked_up(codes[4])
@@ -216,15 +247,7 @@ def _read_green(bits: BitReader, codes: list[PrefixCode], width: int, n: int) ->
             extra = np.maximum(0, prefix - 2 >> 1)
             far = _prefix_value(prefix, _peek(raw, pos, extra))
             skip[refs] = np.minimum(255, pos + extra - 8 * lo - refs)
-        steps, end, p = skip.tobytes(), len(skip), at - 8 * lo
-        starts = []
-        add = starts.append
-        for _ in range(left):  # each symbol gives a pixel at least
-            if p >= end:
-                break
-            add(p)
-            p += steps[p]
-        starts = np.array(starts, np.int64)
+        starts, p = _reached(skip, at - 8 * lo, left)
         part = here[starts].astype(np.int64)
         hit = starts[part >= 256]
         which = np.searchsorted(refs, hit)
@@ -521,11 +544,16 @@ def code_words(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _write_constant(w: BitWriter, symbol: int) -> None:
+    """A code of one symbol."""
+    w.many([1, 0, 1, symbol], [1, 1, 1, 8])
+
+
 def _write_code(w: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes a code for the symbols that occur; gives their code words and lengths (0 if there is only one)."""
     used = np.flatnonzero(counts)
     if len(used) == 0 or len(used) == 1 and used[0] < 256:
-        w.many([1, 0, 1, used[0] if len(used) else 0], [1, 1, 1, 8])
+        _write_constant(w, int(used[0]) if len(used) else 0)
         return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     if len(used) == 1:  # a symbol beyond the simple codes: a second one completes the code
         counts = counts.copy()
@@ -574,25 +602,28 @@ def repeats(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.ndarray((n,), "<u8", samples.tobytes(), strides=(1,)).copy()
     tagged = np.sort((key * _MIX & ~np.uint64((1 << 20) - 1)) | np.arange(n, dtype=np.uint64))
     at = (tagged & np.uint64((1 << 20) - 1)).astype(np.int64)
-    same = (tagged[1:] >> np.uint64(20) == tagged[:-1] >> np.uint64(20)) & (key[at[1:]] == key[at[:-1]])
+    same = np.flatnonzero((tagged[1:] ^ tagged[:-1]) < np.uint64(1 << 20))  # one hash, and so one key but for rare clashes
     before = np.full(n, -1, np.int64)
-    before[at[1:][same]] = at[:-1][same]
+    before[at[same + 1]] = at[same]
     places = np.flatnonzero(before >= 0)
-    out, free, total = [], 0, len(samples)
-    for p, q in zip(places.tolist(), before[places].tolist(), strict=True):
-        if p < free:
-            continue
-        k, step = MIN_MATCH, 32
-        most = min(4096, total - p)
+    origin, places = before[places].tolist(), places.tolist()
+    out, i, total = [], 0, len(samples)
+    while i < len(places):
+        p, q = places[i], origin[i]
+        k, step, most = 0, MIN_MATCH + 24, min(4096, total - p)
         while k < most:
             m = min(step, most - k)
             differ = samples[p + k : p + k + m] != samples[q + k : q + k + m]
-            if differ.any():
-                k += int(differ.argmax())
+            first = int(differ.argmax())
+            if differ[first]:
+                k += first
                 break
             k, step = k + m, 4 * step
+        if k < MIN_MATCH:
+            i += 1
+            continue
         out.append((p, k, p - q))
-        free = p + k
+        i = bisect_left(places, p + k, i)
     return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (none, none, none)
 
 
@@ -611,7 +642,7 @@ def _write_green(w: BitWriter, samples: np.ndarray, alpha: int) -> None:
     w.many([0, 0], [1, 1])  # no colour cache, no meta codes
     words, sizes = _write_code(w, np.bincount(symbol, minlength=280))
     for constant in (0, 0, alpha):
-        _write_code(w, np.bincount([constant], minlength=256))
+        _write_constant(w, constant)
     far_words, far_sizes = _write_code(w, np.bincount(far_sym, minlength=40))
     none = np.zeros(len(literal), np.int64)
     fields = [(words[symbol], sizes[symbol])]
