@@ -89,3 +89,13 @@ def test_known_groups_are_not_compared_again(monkeypatch):
     sets = [np.unique(np.append(base, np.uint64(i))) for i in range(20)]
     monkeypatch.setattr(J.Sets, "shared", lambda self, i, among=None: pytest.fail("compared"))
     assert J.join_region(sets, 80, [b"one"] * 20).tolist() == [0] * 20
+
+
+def test_pivots_of_a_hub_rule_pairs_out():
+    """Unrelated sets of like size: most pairs are told apart by their distances to pivots alone."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, int(n)).astype(np.uint64)) for n in rng.integers(150, 170, 200)]
+    d = J.pivot_distances(np.concatenate([np.frombuffer(x, np.uint64)[None] for x in J.sketches(sets)]))
+    assert d.shape == (200, J.HUB_PIVOTS)
+    near = (np.abs(d[:, None] - d[None]) <= 5 * 320 // 95).all(2)  # at 90 % and these sizes
+    assert near.mean() < 0.7

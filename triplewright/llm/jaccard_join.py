@@ -7,7 +7,8 @@ at least one holds the same elements of both. Each set is keyed by the contents
 details: size classes, empty parts), and sets that share a key, directly or through others, form a seed
 region. Before regions are formed, sets that share a key are compared by their parity sketches: two sets differ in
 at least as many elements as their sketches differ in bits, so pairs that differ in too many bits are no
-links, and passages that many texts share don't join regions. Links never cross seed regions. Within a region:
+links, and passages that many texts share don't join regions. Differing bits are a metric, too, so here the
+distances to a few pivots rule pairs out by the triangle inequality before sketches are compared. Links never cross seed regions. Within a region:
 
 * pivots partition it into Voronoi regions: each set goes to its nearest pivot;
 * a set is replicated into the region of pivot p if its distance to p is at most that to its own pivot plus
@@ -51,6 +52,7 @@ SKETCH_BITS = 1024
 _SKETCHED_AT_ONCE = 1 << 23  # bits
 HUB_BLOCK = 8192  # sets of one hub compared in a task
 HUB_BYTES = 1 << 25
+HUB_PIVOTS = 4
 FEW = 24  # sets that are compared one by one
 LEAF_SETS = 4096
 LEAF_SHINGLES = 4_000_000  # 32 MB
@@ -441,12 +443,28 @@ def _few(size: list[int], sketch: list[bytes], percent: int) -> Iterator[tuple[i
                     yield x, y
 
 
+def pivot_distances(short: np.ndarray) -> np.ndarray:
+    """(sets, pivots): bits in which sketches of one length differ from those of pivots, each the farthest from the ones before."""
+    at, nearest, out = 0, None, []
+    for _ in range(min(HUB_PIVOTS, len(short))):
+        d = np.bitwise_count(short ^ short[at]).sum(1, dtype=np.int64)
+        out.append(d)
+        nearest = d if nearest is None else np.minimum(nearest, d)
+        at = int(nearest.argmax())
+    return np.stack(out, 1)
+
+
 def _many(size: np.ndarray, sketch: list[bytes], percent: int, group: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The same for many sets, without pairs of one ``group``, which grows as the pairs are taken."""
+    """The same for many sets, without pairs of one ``group``, which grows as the pairs are taken.
+
+    Differing bits are a metric, so sets whose distances to a pivot lie farther apart than the difference that
+    their sizes allow are no pair, and their sketches aren't compared.
+    """
     words = np.array([len(x) // 8 for x in sketch])  # rises with the size
     drawn = {n: np.frombuffer(b"".join([x for x in sketch if len(x) == 8 * n]), np.uint64).reshape(-1, n) for n in np.unique(words).tolist()}
     first = {n: int(np.searchsorted(words, n)) for n in drawn}
     reach = np.searchsorted(size, 100 * size // percent, "right").tolist()  # up to the largest that a set may be linked to
+    far_from = pivot_distances(np.concatenate([folded(drawn[n], SKETCH_BITS // 64) for n in drawn]))
     for short, own in drawn.items():
         at = first[short]
         for long, theirs in drawn.items():
@@ -457,9 +475,12 @@ def _many(size: np.ndarray, sketch: list[bytes], percent: int, group: np.ndarray
             for x in range(at, at + len(own)):
                 rest = np.arange(max(x + 1, far), min(reach[x], far + len(theirs)))
                 rest = rest[group[rest] != group[x]]
+                allowed = (100 - percent) * (size[rest] + size[x]) // (100 + percent)
+                near = (np.abs(far_from[rest] - far_from[x]) <= allowed[:, None]).all(1)
+                rest, allowed = rest[near], allowed[near]
                 if len(rest):
                     differ = np.bitwise_count(theirs[rest - far] ^ own[x - at]).sum(1, dtype=np.int64)
-                    for y in rest[(100 + percent) * differ <= (100 - percent) * (size[rest] + size[x])].tolist():
+                    for y in rest[differ <= allowed].tolist():
                         yield x, y
 
 
