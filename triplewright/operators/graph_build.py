@@ -52,11 +52,11 @@ def graph_nodes(split: DataFrame, types: DataFrame) -> DataFrame:
 
     ``seen`` orders a document's concept triples before its values, as nodes are made in that order.
     """
-    first = first_nodes(split, types).select("id", F.struct(F.col("seen.doc_id"), F.lit(0).alias("turn"), F.col("seen.ord"), F.col("seen.slot")).alias("seen"), "labels")
-    ends = free_values(split).groupBy(F.col("s").alias("id")).agg(F.min(F.struct("doc_id", F.lit(1).alias("turn"), "ord", F.lit(0).alias("slot"))).alias("seen"))
-    only = ends.join(first, "id", "left_anti").withColumn("doc_id", F.col("seen.doc_id")).withColumn("key", F.lower(F.trim("id")))
-    only = only.join(types, ["doc_id", "key"], "left").select("id", "seen", F.array_compact(F.array(F.lit("Concept"), "type")).alias("labels"))
-    return first.unionByName(only)
+    concepts = split.where(~F.col("is_value")).select(*ORDER, F.lit(0).alias("turn"), F.posexplode(F.array("s", "o")).alias("slot", "id"))
+    values = free_values(split).select(*ORDER, F.lit(1).alias("turn"), F.lit(0).alias("slot"), F.col("s").alias("id"))
+    first = concepts.unionByName(values).groupBy("id").agg(F.min(F.struct("doc_id", "turn", "ord", "slot")).alias("seen"))
+    keyed = first.select("id", "seen", F.col("seen.doc_id").alias("doc_id"), F.lower(F.trim("id")).alias("key"))
+    return keyed.join(types, ["doc_id", "key"], "left").select("id", "seen", F.array_compact(F.array(F.lit("Concept"), "type")).alias("labels"))
 
 
 def reverted(nodes: DataFrame, split: DataFrame) -> DataFrame:
