@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triplewright.functions.entities import STOPWORDS
+from triplewright.functions.parsing import read_triples
 
 # Words that link nothing.
 LINK_STOPWORDS = ("disease", "diseases", "mellitus", "type", "in", "of", "and", "or", "patients", "with")
@@ -251,7 +252,21 @@ def map_triples(triples: DataFrame, resolved: DataFrame, metric_types: tuple[str
     x = triples.join(r("s"), "s", "left").join(r("o"), "o", "left")
     key = F.replace(F.upper("r"), F.lit(" "), F.lit("_"))
     wrong = (key == "TREATED_BY") & F.col("s_type").isin(*metric_types, *drug_types) | (key == "CONTRAINDICATED_WITH") & F.col("s_type").isin(*metric_types)
-    return x.select("s", F.when(wrong, F.col("s")).otherwise(F.coalesce("s_name", "s")).alias("subject"), "r", F.coalesce("o_name", "o").alias("object"))
+    own = [c for c in triples.columns if c not in ("s", "r", "o")]
+    return x.select(*own, "s", F.when(wrong, F.col("s")).otherwise(F.coalesce("s_name", "s")).alias("subject"), "r", F.coalesce("o_name", "o").alias("object"))
+
+
+def map_lines(lines: DataFrame, resolved: DataFrame, metric_types: tuple[str, ...], drug_types: tuple[str, ...]) -> DataFrame:
+    """Lines (doc_id, text) that hold literal lists of triples, with all triples mapped, as (doc_id, text, mapped).
+
+    ``text`` is the mapped list as JSON, ``mapped`` whether the line could be read; a line that could not, or that
+    is empty, passes as it is.
+    """
+    read = read_triples(lines.select("doc_id", "text"), "text", "strict").withColumn("mapped", F.col("triples").isNotNull())
+    t = read.select("doc_id", F.posexplode("triples").alias("ord", "t")).select("doc_id", "ord", F.col("t")[0].alias("s"), F.col("t")[1].alias("r"), F.col("t")[2].alias("o"))
+    done = map_triples(t, resolved, metric_types, drug_types).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.array("subject", "r", "object").alias("t")))).alias("x"))
+    json = F.coalesce(F.to_json(F.transform("x", lambda e: e["t"])), F.lit("[]"))
+    return read.join(done, "doc_id", "left").select("doc_id", F.when(F.col("mapped"), json).otherwise(F.col("text")).alias("text"), "mapped")
 
 
 def enriched(nodes: DataFrame, resolved: DataFrame) -> DataFrame:

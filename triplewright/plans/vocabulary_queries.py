@@ -95,7 +95,7 @@ SELECT terms.term, coalesce(code, 'NONE') AS code, coalesce(name, terms.term) AS
 
 @query
 def triple_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples between terms with both ends mapped, unless the subject's type contradicts the relation."""
+    """Triples between terms with both ends mapped, unless the subject's type contradicts the relation."""
     p, k = v.table(spark, sf_dir, "part"), F.col("p_partkey")
     relation = F.when(k % 3 == 0, "treated by").when(k % 3 == 1, "CONTRAINDICATED_WITH").otherwise("has finding")
     t = p.select(F.when(F.col("p_size") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("s"), relation.alias("r"), F.when(k % 2 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("o")).distinct()
@@ -109,6 +109,25 @@ SELECT DISTINCT s, CASE WHEN (r = 'treated by' AND a.type IN ('T034', 'T081', 'T
 )
 
 
+@query
+def line_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of literal triples, mapped; broken lines pass as they are."""
+    p, k = v.table(spark, sf_dir, "part"), F.col("p_partkey") % 5
+    term = F.when(F.col("p_size") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    line = F.concat(F.lit('[["'), term, F.lit('", "treated by", "'), "p_type", F.lit('"], ["'), "p_type", F.lit('", "has finding", "'), term, F.lit('"]]'))
+    lines = p.select(F.col("p_partkey").alias("doc_id"), F.when(k == 0, "").when(k == 1, F.concat(line, F.lit("]"))).when(k == 2, "[]").otherwise(line).alias("text"))
+    return m.map_lines(lines, _accepted(spark, sf_dir), ("T034", "T081"), ("T121",))
+
+
+oracle(
+    line_mapping,
+    f"""WITH {VOCAB}, {RANKED}, {ACCEPTED}, l AS (SELECT p_partkey AS d, p_partkey % 5 AS k, CASE WHEN p_size % 3 = 0 THEN upper(p_name) ELSE p_name END AS s, p_type AS o FROM part),
+x AS (SELECT l.*, CASE WHEN a.type IN ('T034', 'T081', 'T121') THEN s ELSE coalesce(a.name, s) END AS s1, coalesce(b.name, o) AS o1, coalesce(a.name, s) AS s2 FROM l LEFT JOIN accepted a ON a.term = s LEFT JOIN accepted b ON b.term = o)
+SELECT d AS doc_id, CASE k WHEN 0 THEN '' WHEN 1 THEN concat('[["', s, '", "treated by", "', o, '"], ["', o, '", "has finding", "', s, '"]]]') WHEN 2 THEN '[]'
+  ELSE concat('[["', s1, '","treated by","', o1, '"],["', o1, '","has finding","', s2, '"]]') END AS text, k IN (2, 3, 4) AS mapped FROM x""",
+)
+
+
 @query
 def vocabulary_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several definitions of a code that of the best source."""
