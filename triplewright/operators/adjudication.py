@@ -26,10 +26,13 @@ def clamp_score(signed_sum: Column, weight_sum: Column) -> Column:
 
 
 def per_round(responses: DataFrame, veto: int) -> DataFrame:
-    """Per item and round: whether all agree, who vetoes (the first rater by index), and the score."""
+    """Per item and round: whether all agree, who vetoes (the first rater by index), and the score.
+
+    Raters weigh 1, or what a ``weight`` column says.
+    """
     r = with_failures(responses)
     vetoes = (F.col("verdict") == "INCORRECT") & (F.col("confidence") > veto)
-    one = F.lit(1.0)
+    one = F.col("weight") if "weight" in responses.columns else F.lit(1.0)
     return r.groupBy("item", "round").agg(
         (F.count_distinct("verdict") == 1).alias("consensus"),
         F.min(F.when(vetoes, F.col("agent"))).alias("veto_agent"),
@@ -66,9 +69,14 @@ def complete(results: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def prompt_context(responses: DataFrame, most: int = 800) -> DataFrame:
-    """For each rater and round, what the others said before, in rater order, cut to ``most`` characters each."""
+    """For each rater and round, what the others said before, in rater order, with their ``reasoning`` where there is
+    that column, cut to ``most`` characters each."""
     said = F.concat(F.lit("rater "), "agent", F.lit(": "), "verdict", F.lit(" ["), "confidence", F.lit("]"))
-    r = with_failures(responses).withColumn("said", F.substring(said, 1, most))
+    if "reasoning" in responses.columns:
+        said = F.concat(said, F.lit("\n"), F.substring(F.coalesce("reasoning", F.lit("")), 1, most))
+    else:
+        said = F.substring(said, 1, most)
+    r = with_failures(responses).withColumn("said", said)
     a, b = r.alias("a"), r.alias("b")
     others = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("b.round") == F.col("a.round") - 1) & (F.col("a.agent") != F.col("b.agent")))
     lines = F.array_sort(F.collect_list(F.struct("b.agent", "b.said")))

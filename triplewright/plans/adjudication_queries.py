@@ -116,6 +116,48 @@ FROM responses a JOIN responses b ON a.item = b.item AND b.round = a.round - 1 A
 )
 
 
+REASONED = f"""{v.RESPONSES}, reasoned AS (SELECT r.item, r.round, r.agent, coalesce(CASE WHEN confidence % 17 <> 3 THEN verdict END, 'UNCERTAIN') AS verdict, coalesce(CASE WHEN confidence % 13 <> 5 THEN confidence END, 30) AS confidence, w AS weight,
+  CASE WHEN confidence % 5 <> 0 THEN repeat(concat(verdict, ' since ', confidence, '. '), confidence) END AS reasoning FROM responses r JOIN (VALUES (0, 0.5::DOUBLE), (1, 0.25::DOUBLE), (2, 0.0::DOUBLE)) raters(agent, w) USING (agent))"""
+
+
+def _reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of weighted raters, with reasons; some verdicts and confidences are missing, as of failed calls."""
+    raters = spark.createDataFrame([(0, 0.5), (1, 0.25), (2, 0.0)], "agent int, weight double")
+    r, c = v.responses(spark, sf_dir).join(F.broadcast(raters), "agent"), F.col("confidence")
+    reasoning = F.when(c % 5 != 0, F.expr("repeat(concat(verdict, ' since ', confidence, '. '), confidence)"))
+    return r.withColumn("reasoning", reasoning).withColumns({"verdict": F.when(c % 17 != 3, F.col("verdict")), "confidence": F.when(c % 13 != 5, c)})
+
+
+@query
+def debate_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay with weights and failed calls; a round of weight zero scores 50."""
+    return a.replay(_reasoned(spark, sf_dir), THRESHOLD, VETO).select("item", "rounds", F.round("fcs", 6).alias("fcs"), "vetoed", "accepted")
+
+
+_WEIGHED = "sum(CASE verdict WHEN 'CORRECT' THEN confidence * weight WHEN 'INCORRECT' THEN -confidence * weight ELSE 0.3::DOUBLE * confidence * weight END)"
+oracle(
+    debate_weighted,
+    f"""WITH {REASONED}, rounds AS (SELECT item, round, count(DISTINCT verdict) = 1 AS consensus, min(agent) FILTER (verdict = 'INCORRECT' AND confidence > {VETO}) AS veto_agent,
+  greatest(0.0, least(100.0, (CASE WHEN sum(weight) = 0 THEN 0 ELSE {_WEIGHED} / sum(weight) END + 100.0) / 2))::DOUBLE AS fcs FROM reasoned GROUP BY item, round),
+decided AS (SELECT item, arg_max(rounds, CASE WHEN veto_agent IS NOT NULL OR consensus THEN 100000 - round ELSE round END) AS d FROM rounds GROUP BY item)
+SELECT item, d.round AS rounds, round(d.fcs, 6) AS fcs, d.veto_agent IS NOT NULL AS vetoed, d.veto_agent IS NULL AND d.fcs >= {THRESHOLD} AS accepted FROM decided""",
+)
+
+
+@query
+def debate_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts' context with the other raters' reasons, 800 characters of each."""
+    return a.prompt_context(_reasoned(spark, sf_dir)).select("item", "round", "agent", F.sha2("context", 256).alias("sha"), F.length("context").alias("chars"))
+
+
+oracle(
+    debate_reasoning,
+    f"""WITH {REASONED}, c AS (SELECT a.item, a.round, a.agent, string_agg(concat('rater ', b.agent, ': ', b.verdict, ' [', b.confidence, ']', chr(10), substring(coalesce(b.reasoning, ''), 1, 800)), chr(10) ORDER BY b.agent) AS context
+FROM reasoned a JOIN reasoned b ON a.item = b.item AND b.round = a.round - 1 AND a.agent <> b.agent GROUP BY 1, 2, 3)
+SELECT item, round, agent, sha256(context) AS sha, length(context)::INTEGER AS chars FROM c""",
+)
+
+
 # Definitions of relations by display name.
 DEFINITIONS = [("supplied by", "The part is delivered by the supplier."), ("located in", "The party is based in the nation."), ("part of", "The nation belongs to the region.")]
 
