@@ -176,6 +176,16 @@ SELECT doc_id, CAST(count(*) AS INTEGER) AS lines, sha256(string_agg({STRIP("reg
 
 @query
 def list_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P11 on documents introduced as lists; checked against a plain loop in the tests."""
+    """P11 on documents introduced as lists."""
     x = F.concat(F.lit("Insulin is given as:\n- "), "text")
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(t.list_sentences(x)).alias("pos", "sentence"))
+
+oracle(
+    list_expansion,
+    rf"""WITH x AS (SELECT doc_id, string_split(regexp_replace({CITED("concat('Insulin is given as:', chr(10), '- ', text)")}, '([A-Za-z0-9_])\(([A-Za-z0-9_])', '\1 (\2', 'g'), chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, {STRIP("unnest(x)")} AS line, generate_subscripts(x, 1) AS i FROM x),
+h AS (SELECT *, CASE WHEN ends_with(line, ':') THEN regexp_replace(line, '\s*:$', '') WHEN line <> '' AND NOT starts_with(line, '-') AND (regexp_matches(line, '^\d+\.\s+') OR (length(line) < 60 AND NOT ends_with(line, '.'))) THEN '' END AS head FROM l),
+g AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), '') AS intro FROM h),
+s AS (SELECT doc_id, i, CASE WHEN intro <> '' THEN concat(intro, ' ', {STRIP("regexp_replace(line, '^-\\s*', '')")}) ELSE {STRIP("regexp_replace(line, '^-\\s*', '')")} END AS sentence FROM g WHERE head IS NULL AND line <> '' AND NOT (intro = '' AND regexp_matches(line, '{t.REFERENCE}')))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, sentence FROM s""".replace("\\\\", "\\"),
+)
