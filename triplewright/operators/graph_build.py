@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from triplewright.functions.entities import dedup_key, label
 from triplewright.functions.values import clean_value, is_value, relation_key
+from triplewright.operators.lineage import cut
 
 ORDER = ["doc_id", "ord"]
 # Semantic types and codes that tell drugs, tests and procedures.
@@ -200,15 +201,15 @@ def pack_graph(triples: DataFrame, entries: DataFrame, vocabulary: DataFrame, sc
     Input: triples (doc_id, ord, s, r, o), typed entries as :func:`type_map` takes them, vocabulary rows (term, code,
     canonical, type; terms without one keep their name) and scores (s, key, o as keys of names; score).
     """
-    split = split_values(triples)
+    split = cut(split_values(triples))
     nodes = graph_nodes(split, type_map(entries))
     known = vocabulary.select(F.col("term").alias("id"), "code", "canonical", "type")
     nodes = nodes.join(known, "id", "left").select("id", "seen", "labels", F.coalesce("code", F.lit("NONE")).alias("code"), F.coalesce("canonical", "id").alias("canonical"), F.coalesce("type", F.lit("Unknown")).alias("type"))
     nodes = reverted(nodes, split)
     values = value_properties(split).groupBy(F.col("s").alias("id")).agg(*(F.max(F.when(F.col("property") == p, F.col("value"))).alias(p) for p in ("target_threshold", "dosage_value")))
-    named = canonical_ids(nodes.join(values, "id", "left"))
-    merged = merge_nodes(named, PROPERTIES).withColumn("labels", inferred_labels(F.col("labels"), F.coalesce("type", F.lit(""))))
-    targets = alias_targets(merged)
+    named = cut(canonical_ids(nodes.join(values, "id", "left")))
+    merged = cut(merge_nodes(named, PROPERTIES).withColumn("labels", inferred_labels(F.col("labels"), F.coalesce("type", F.lit("")))))
+    targets = cut(alias_targets(merged))
     packed = with_aliases_merged(merged, targets)
     canon = named.select("id", "canon").join(targets, "canon", "left").select("id", F.coalesce("target", "canon").alias("canon"))
     rest = split.where(~F.col("is_value") & (F.col("key") != "has_titration_rule"))
